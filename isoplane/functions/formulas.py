@@ -3,7 +3,8 @@
 Formulas are ordinary Python expressions over column names, ``df['any name']``
 and ``np.<function>``. Undefined results (zero divisors, logs of non-positive
 numbers, NaN) are NULL. Whole-column reductions such as ``x.mean()`` become one
-scalar subquery per formula.
+scalar subquery per formula; a median is selected beforehand without gathering
+the column.
 """
 
 import ast
@@ -11,6 +12,7 @@ import ast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from isoplane.functions.scalars import defined, quotient
+from isoplane.operators.profiling import exact_medians
 from isoplane.sources.tables import col, quoted
 
 
@@ -51,7 +53,7 @@ ELEMENTWISE = {
 KEEP_INTEGER = {"square", "abs", "minimum", "maximum", "clip"}
 
 # np.std is the population deviation, the column method the sample one.
-SHARED = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "median": F.median}
+SHARED = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "median": None}
 AS_FUNCTION = SHARED | {"std": F.stddev_pop, "var": F.var_pop}
 AS_METHOD = SHARED | {"std": F.stddev_samp, "var": F.var_samp}
 
@@ -59,8 +61,11 @@ AS_METHOD = SHARED | {"std": F.stddev_samp, "var": F.var_samp}
 class _Formula:
     """Translates one formula against the columns of one DataFrame."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, light: DataFrame | None = None):
         self.df = df
+        # The columns that hold no reduction themselves: enough for most
+        # reductions, and their plan stays flat however many formulas follow.
+        self.light = light if light is not None else df
         self.types = {f.name: f.dataType for f in df.schema}
         self.stats = {}
 
@@ -77,12 +82,22 @@ class _Formula:
             inner, make = self._reduction(node)
             if nested := [n for n in ast.walk(inner) if self._reduction(n)]:
                 self._aggregate([n for n in nested if ast.dump(n) not in self.stats])
-            if ast.dump(node) not in self.stats:
-                outer.append((ast.dump(node), make(self.number(inner))))
+            if ast.dump(node) in self.stats:
+                continue
+            if make is None:
+                values = self._source([inner]).select(self.number(inner).alias("v"))
+                self.stats[ast.dump(node)] = F.lit(exact_medians(values, ["v"])["v"])
+            else:
+                outer.append((ast.dump(node), make(self.number(inner)), inner))
         if outer:
-            packed = F.struct(*[value.alias(f"s{i}") for i, (_, value) in enumerate(outer)])
-            row = self.df.agg(packed.alias("row")).scalar()
-            self.stats |= {key: row[f"s{i}"] for i, (key, _) in enumerate(outer)}
+            packed = F.struct(*[value.alias(f"s{i}") for i, (_, value, _) in enumerate(outer)])
+            row = self._source([n for _, _, n in outer]).agg(packed.alias("row")).scalar()
+            self.stats |= {key: row[f"s{i}"] for i, (key, _, _) in enumerate(outer)}
+
+    def _source(self, nodes):
+        names = {getattr(n, "id", getattr(n, "value", None)) for node in nodes for n in ast.walk(node)
+                 if isinstance(n, (ast.Name, ast.Constant))}
+        return self.light if not names & (set(self.df.columns) - set(self.light.columns)) else self.df
 
     def _reduction(self, node):
         """``(argument, aggregate)`` when the node reduces a whole column."""
@@ -207,12 +222,16 @@ def derive_columns(df: DataFrame, expressions) -> DataFrame:
     Text without ``=`` is skipped; a formula that cannot be used raises a
     ``ValueError`` naming it.
     """
+    light = df
     for text in expressions or []:
         if "=" not in text:
             continue
         name, formula = (part.strip() for part in text.split("=", 1))
         try:
-            df = df.withColumn(name, _Formula(df).translate(formula))
+            translated = _Formula(df, light)
+            value = translated.translate(formula)
+            df = df.withColumn(name, value)
+            light = light.drop(quoted(name)) if translated.stats else light.withColumn(name, value)
         except Exception as error:
             raise ValueError(f"Error in expression '{text}': {error}") from error
     return df

@@ -5,8 +5,10 @@ Formulas: Rasmussen and Williams 2006, chapter 4, with
 """
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from isoplane.spec import KernelConfig
@@ -34,12 +36,22 @@ def kernel_column(kernel: KernelConfig, d2: Column) -> Column:
     return base if kernel.white_noise else kernel.constant * base
 
 
-def kernel_profile(x: list[Column], support, kernel: KernelConfig) -> Column:
-    """Array of covariances between a row and a size-checked list of support points."""
-    scales = kernel.scales(len(x))
-    points = F.array(*[F.array(*[F.lit(float(v)) for v in p]) for p in support])
-    return F.transform(points, lambda p: kernel_column(
-        kernel, squared_distance(x, [p[k] for k in range(len(x))], scales)))
+def kernel_profile(kernel: KernelConfig, support):
+    """Function of a struct of features: the covariances with every support point.
+
+    ``support`` is a size-checked list; it travels with the function.
+    """
+    z = np.array([list(p) for p in support], dtype=float)
+    params = kernel.params(z.shape[1])
+
+    @F.pandas_udf("array<double>")
+    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            out = [row for rows in row_blocks(x, len(z)) for row in kernel_block(params, x[rows], z)]
+            yield pd.Series(out, dtype=object)
+
+    return profile
 
 
 def kernel_block(params: dict, x: np.ndarray, z: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """One-hot encoding and category combinations."""
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from isoplane.cluster import collect_bounded
 from isoplane.sources.tables import col
@@ -79,9 +79,8 @@ def with_all(combos: list[dict]) -> list[dict]:
 
 
 def combos_frame(spark, combos: list[dict]) -> DataFrame:
-    schema = T.StructType().add("combo_id", "int").add("label", "string").add(
-        "fixed", T.MapType(T.StringType(), T.IntegerType()))
-    return spark.createDataFrame([(c["combo_id"], c["label"], c["fixed"]) for c in combos], schema)
+    return spark.createDataFrame([(c["combo_id"], c["label"], c["fixed"]) for c in combos],
+                                 "combo_id int, label string, fixed map<string,int>")
 
 
 def category_combos(df: DataFrame, cat_cols, include_all: bool = False,

@@ -56,6 +56,14 @@ def prediction_frame(points: DataFrame, swept: dict, medians: dict, fixed: Colum
     return points.select("*", *[v.alias(n) for n, v in made.items()])
 
 
+def combo_frame(model: Model) -> DataFrame:
+    """``combo_id, combo, fixed`` for "All" and every observed combination."""
+    rows = [(c["combo_id"], c["label"], {k: float(v) for k, v in c["fixed"].items()})
+            for c in with_all(model.combos)]
+    return model.conditions.sparkSession.createDataFrame(
+        rows, "combo_id int, combo string, fixed map<string,double>")
+
+
 def _label(model: Model) -> str:
     spec = model.spec
     return spec.target if spec.mode == "mean" or spec.statistic == "mean" else spec.statistic
@@ -68,13 +76,8 @@ def curve_1d(model: Model, x_var: str, n: int = grids.N_CURVE, unscale_std: bool
     ``shift`` adds the measurement mean to an unscaled replicate-spread curve.
     """
     spec = model.spec
-    combos = with_all(model.combos)
-    spark = model.conditions.sparkSession
-    frame = spark.createDataFrame(
-        [(c["combo_id"], c["label"], {k: float(v) for k, v in c["fixed"].items()}) for c in combos],
-        "combo_id int, combo string, fixed map<string,double>")
     lo, hi = _range_of(model, x_var)
-    points = grids.grid_1d_by_combo(frame, lo, hi, n, x_var in spec.log_cols)
+    points = grids.grid_1d_by_combo(combo_frame(model), lo, hi, n, x_var in spec.log_cols)
     inputs = prediction_frame(points, {x_var: "x"}, held_values(model), F.col("fixed"))
     scored = predict_rows(model, inputs, unscale=False, mean="p_mean", std="p_std", encoded=True)
     if unscale_plan(spec.mode, spec.statistic, unscale_std)["curve"]:
@@ -149,8 +152,7 @@ def scatter_2d(model: Model, x_var: str, y_var: str, df: DataFrame | None = None
                exponentiate: bool = False) -> DataFrame:
     """``x, y, z`` of the training data, original units; ``exponentiate`` for a logged target."""
     z = F.exp("y") if exponentiate else F.col("y")
-    points = _training_points(model, df).withColumnRenamed("y", "t_y").withColumn("y", F.col("t_y"))
-    return points.select(col(x_var).alias("x"), col(y_var).alias("y2"), z.alias("z")).withColumnRenamed("y2", "y")
+    return _training_points(model, df).select(col(x_var).alias("x"), col(y_var).alias("y"), z.alias("z"))
 
 
 def pair_curves(std_curve: DataFrame, mean_curve: DataFrame) -> DataFrame:

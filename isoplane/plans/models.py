@@ -131,9 +131,8 @@ def _support(conditions: DataFrame, spec: AnalysisSpec, scalers, levels, noise,
     named = [x.alias(f"f{i}") for i, x in enumerate(inputs)]
     if spec.mode == "std":
         y = value if spec.statistic == "mean" else spread
-        points = conditions.withColumn("std", spread).select(
-            *named, y.alias("y"), gp.noise_column(noise, constant).alias("noise"), "count",
-            F.lit(0.0).alias("within"))
+        points = conditions.select(*named, y.alias("y"), spread.alias("std"), "count").withColumn(
+            "noise", gp.noise_column(noise, constant)).withColumn("within", F.lit(0.0))
     else:
         points = conditions.select(
             *named, value.alias("y"), F.lit(float(constant)).alias("noise"), "count",
@@ -180,7 +179,7 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
     by_row = spec.mode == "mean"
     if small:
         values = ["y", "noise", "count", "within"] + (["n_valid"] if by_row else [])
-        x, y, noise, counts, within, *valid = gp.to_arrays(points.collect(), features, *values)
+        x, y, noise, counts, within, *valid = gp.to_arrays(points.select(*features, *values).collect(), features, *values)
         if len(x) == 0:
             raise ValueError("no condition is left to fit: every group has fewer than two rows")
         if by_row and (valid[0] < counts).any() or not all(np.isfinite(a).all() for a in (x, y, noise)):

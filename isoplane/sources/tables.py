@@ -120,9 +120,11 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def list_columns(df: DataFrame) -> DataFrame:
-    """One row per column: position from 1, name, type."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema, 1)]
-    return df.sparkSession.createDataFrame(rows, "position int, name string, type string")
+    """One row per column: position from 1, name, type and number of values present."""
+    parts = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("name"),
+                      F.lit(f.dataType.simpleString()).alias("type"), F.count(col(f.name)).alias("n_values"))
+             for i, f in enumerate(df.schema, 1)]
+    return df.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
 
 
 def classify_columns(df: DataFrame, target: str | None = None) -> dict:
