@@ -95,9 +95,13 @@ class _Formula:
             self.stats |= {key: row[f"s{i}"] for i, (key, _, _) in enumerate(outer)}
 
     def _source(self, nodes):
-        names = {getattr(n, "id", getattr(n, "value", None)) for node in nodes for n in ast.walk(node)
+        return self.light if all(map(self.is_light, nodes)) else self.df
+
+    def is_light(self, node):
+        """True when the node uses none of the columns built on reductions."""
+        names = {getattr(n, "id", getattr(n, "value", None)) for n in ast.walk(node)
                  if isinstance(n, (ast.Name, ast.Constant))}
-        return self.light if not names & (set(self.df.columns) - set(self.light.columns)) else self.df
+        return not names & (set(self.df.columns) - set(self.light.columns))
 
     def _reduction(self, node):
         """``(argument, aggregate)`` when the node reduces a whole column."""
@@ -228,10 +232,11 @@ def derive_columns(df: DataFrame, expressions) -> DataFrame:
             continue
         name, formula = (part.strip() for part in text.split("=", 1))
         try:
-            translated = _Formula(df, light)
-            value = translated.translate(formula)
+            parsed = _Formula(df, light)
+            value = parsed.translate(formula)
+            stays_light = not parsed.stats and parsed.is_light(ast.parse(formula, mode="eval"))
             df = df.withColumn(name, value)
-            light = light.drop(quoted(name)) if translated.stats else light.withColumn(name, value)
+            light = light.withColumn(name, value) if stays_light else light.drop(name)
         except Exception as error:
             raise ValueError(f"Error in expression '{text}': {error}") from error
     return df

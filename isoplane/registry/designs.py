@@ -53,14 +53,17 @@ def lhs_design(spark, sf):
     return shown(draw_design(spark, df.count(), _ranges(df, WIDE), SEED), 6, "sample_id")
 
 
-_CTES = [
-    gpsql.row_points(PAIR), gpsql.solved("matern32", 2), design_sql("d", list(PAIR), "orders"),
-    "p as (select sample_id pid, (l_discount - m_l_discount) / s_l_discount x1, (l_tax - m_l_tax) / s_l_tax x2 from d, s)",
-    gpsql.predicted("matern32", 2),
-    f"""sc as (select sample_id, l_discount, l_tax, mean * s_{TARGET} + m_{TARGET} as score, std * s_{TARGET} as uncertainty
-          from d join f on f.pid = d.sample_id, s)""",
-]
+def _scored_ctes(with_std=True):
+    return [
+        gpsql.row_points(PAIR), gpsql.solved("matern32", 2), design_sql("d", list(PAIR), "orders"),
+        "p as (select sample_id pid, (l_discount - m_l_discount) / s_l_discount x1, (l_tax - m_l_tax) / s_l_tax x2 from d, s)",
+        gpsql.predicted("matern32", 2, with_std=with_std),
+        f"""sc as (select sample_id, l_discount, l_tax, mean * s_{TARGET} + m_{TARGET} as score, std * s_{TARGET} as uncertainty
+              from d join f on f.pid = d.sample_id, s)""",
+    ]
+
 CEILING = 60_000.0
+_CTES, _MEAN_CTES = _scored_ctes(), _scored_ctes(with_std=False)
 
 
 def _scored(spark, sf):
@@ -99,13 +102,13 @@ def sorted_score_band(spark, sf):
     return shown(scoring.sorted_scores(_scored(spark, sf)), 1, "rank")
 
 
-@query("parameter_importance", gpsql.statement(*_CTES, select=" union all ".join(
+@query("parameter_importance", gpsql.statement(*_MEAN_CTES, select=" union all ".join(
     f"select '{c}' as parameter, round(corr({c}, score), 6) + 0.0 as correlation from sc" for c in PAIR)))
 def parameter_importance(spark, sf):
     return shown(profiling.parameter_correlation(_scored(spark, sf), PAIR, "score"), 6, "parameter")
 
 
-@query("top2_scatter", gpsql.statement(*_CTES, f"""
+@query("top2_scatter", gpsql.statement(*_MEAN_CTES, f"""
     o as (select abs(corr(l_discount, score)) >= abs(corr(l_tax, score)) as first from sc),
     b as (select arg_max(sample_id, score) as id from sc)""", select="""
     select round(case when first then l_discount else l_tax end, 8) + 0.0 as p1,

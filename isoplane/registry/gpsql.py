@@ -75,14 +75,16 @@ def solved(kind, dims, scales=None):
     ki as (select i.i i, j.i j, a[i.i + 1][m + 1 + j.i] v from sol, g i, g j)"""
 
 
-def predicted(kind, dims, scales=None):
+def predicted(kind, dims, scales=None, with_std=True):
     """From ``p`` to ``f(pid, mean, std)`` in normalised units."""
-    return f"""
-    kp as materialized (select p.pid, g.i, {kern(kind, 'p', 'g', dims, scales)} v from p, g),
-    pm as (select pid, sum(v * w) m from kp join w using (i) group by pid),
+    spread = """
     pv as (select a.pid, sum(a.v * ki.v * b.v) q from kp a join ki on a.i = ki.i
              join kp b on b.pid = a.pid and b.i = ki.j group by a.pid),
     f as (select pid, m as mean, sqrt(greatest(1 - q, 0)) as std from pm join pv using (pid))"""
+    return f"""
+    kp as materialized (select p.pid, g.i, {kern(kind, 'p', 'g', dims, scales)} v from p, g),
+    pm as (select pid, sum(v * w) m from kp join w using (i) group by pid),""" + (
+        spread if with_std else " f as (select pid, m as mean, null::double as std from pm)")
 
 
 def at_conditions(dims):
