@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from isoplane.functions.scalars import defined, quotient
 from isoplane.operators.profiling import exact_medians
-from isoplane.sources.tables import col, quoted
+from isoplane.sources.tables import col, number, quoted
 
 
 def _both(a, b, pick):
@@ -124,7 +124,7 @@ class _Formula:
         if isinstance(kind, T.IntegralType):
             return col(name).cast("bigint"), "int"
         if isinstance(kind, T.NumericType):
-            return col(name).cast("double"), "num"
+            return number(name), "num"
         return col(name), "text"
 
     def number(self, node):
@@ -249,11 +249,11 @@ def formula_column(df: DataFrame, formula: str) -> Column:
 
 def _log_violation(df, columns):
     return [c for c, n in zip(columns, df.agg(*[
-        F.count_if(col(c).cast("double") <= 0).alias(quoted(c)) for c in columns]).first()) if n]
+        F.count_if(number(c) <= 0).alias(quoted(c)) for c in columns]).first()) if n]
 
 
 def log10_columns(df: DataFrame, columns, checked: bool = True) -> DataFrame:
     """log10 of raw positive columns; a non-positive value raises."""
     if checked and columns and (bad := _log_violation(df, columns)):
         raise ValueError(f"log columns hold values that are not positive: {bad}")
-    return df.withColumns({c: F.log10(col(c).cast("double")) for c in columns})
+    return df.withColumns({c: F.log10(number(c)) for c in columns})

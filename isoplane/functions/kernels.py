@@ -8,7 +8,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from isoplane.spec import KernelConfig
@@ -44,12 +44,12 @@ def kernel_profile(kernel: KernelConfig, support):
     z = np.array([list(p) for p in support], dtype=float)
     params = kernel.params(z.shape[1])
 
-    @F.pandas_udf("array<double>")
-    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def profile(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            x = batch.to_numpy(dtype=float)
-            out = [row for rows in row_blocks(x, len(z)) for row in kernel_block(params, x[rows], z)]
-            yield pd.Series(out, dtype=object)
+            x = feature_matrix(batch)
+            cells = np.concatenate([kernel_block(params, x[rows], z).ravel() for rows in row_blocks(x, len(z))])
+            yield pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(z), cells)
 
     return profile
 
@@ -71,6 +71,11 @@ def kernel_block(params: dict, x: np.ndarray, z: np.ndarray) -> np.ndarray:
     return params["amplitude"] * base
 
 
+def feature_matrix(batch: pa.Array) -> np.ndarray:
+    """Arrow struct of feature columns as a matrix, missing values as NaN."""
+    return np.column_stack([f.to_numpy(zero_copy_only=False) for f in batch.flatten()])
+
+
 def row_blocks(x: np.ndarray, width: int):
     """Slices of rows small enough that a block against ``width`` points stays in memory."""
     size = max(1, BLOCK_CELLS // max(width, 1))

@@ -10,7 +10,7 @@ import random
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PRIME = 2147483647
@@ -42,16 +42,20 @@ def _unit_samples(ids, n, keys):
     return (x + _mixed(ids, *keys["jitter"]) / PRIME) / n
 
 
+def unit_samples(ids: np.ndarray, n: int, keys: list[dict]) -> np.ndarray:
+    """Samples in [0, 1) of the given ids (0..n-1), one column per parameter."""
+    return np.column_stack([_unit_samples(ids, n, k) for k in keys])
+
+
 def unit_design(n: int, n_dims: int, seed: int = 42):
     """Function of an id column (0..n-1) giving an array of samples in [0, 1)."""
     all_keys = design_keys(n_dims, seed)
 
-    @F.pandas_udf("array<double>")
-    def samples(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def samples(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for ids in batches:
-            ids = ids.to_numpy()
-            unit = np.column_stack([_unit_samples(ids, n, keys) for keys in all_keys])
-            yield pd.Series(list(unit))
+            unit = unit_samples(ids.to_numpy(), n, all_keys)
+            yield pa.ListArray.from_arrays(np.arange(len(unit) + 1, dtype=np.int32) * n_dims, unit.ravel())
 
     return samples
 

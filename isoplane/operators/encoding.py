@@ -49,7 +49,8 @@ def feature_vector(columns) -> Column:
     return F.array(*[col(c).cast("double") for c in columns])
 
 
-def observed_combos(df: DataFrame, cat_cols, max_combos: int = MAX_COMBOS) -> list[dict]:
+def observed_combos(df: DataFrame, cat_cols, max_combos: int = MAX_COMBOS,
+                    max_levels: int = MAX_LEVELS) -> list[dict]:
     """Distinct observed category tuples in label order; bounded, hence a list.
 
     Each entry has ``combo_id`` from 1, ``label``, ``values`` and ``fixed``
@@ -62,6 +63,9 @@ def observed_combos(df: DataFrame, cat_cols, max_combos: int = MAX_COMBOS) -> li
     tuples = sorted(([r[c] for c in cat_cols] for r in rows),
                     key=lambda t: ", ".join(f"{c}={text_of(v)}" for c, v in zip(cat_cols, t)))
     levels = {c: sorted({t[i] for t in tuples if t[i] is not None}) for i, c in enumerate(cat_cols)}
+    wide = [c for c, found in levels.items() if len(found) > max_levels]
+    if wide:
+        raise ValueError(f"more than {max_levels} levels in {wide}")
     return [{
         "combo_id": i,
         "label": ", ".join(f"{c}={text_of(v)}" for c, v in zip(cat_cols, t)),
@@ -71,6 +75,11 @@ def observed_combos(df: DataFrame, cat_cols, max_combos: int = MAX_COMBOS) -> li
     } for i, t in enumerate(tuples, 1)]
 
 
+def combo_levels(combos: list[dict], cat_cols) -> dict:
+    """Sorted non-null levels of each category column, from all observed combinations."""
+    return {c: sorted({e["values"][c] for e in combos} - {None}) for c in cat_cols}
+
+
 def with_all(combos: list[dict]) -> list[dict]:
     """Put an "All" entry, fixing nothing, in front of the real combinations."""
     if any(c["label"] is not None for c in combos):

@@ -1,19 +1,19 @@
 """Column profiles: ranges, medians, histograms, correlation, metrics, best rows."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from isoplane.functions.scalars import quotient
-from isoplane.sources.tables import col
+from isoplane.sources.tables import col, number
 
-BUFFERED_VALUES = 200_000
-COLLECTED_VALUES = 10_000
-PIVOTS = 64
+MEDIAN_BINS = 4096
 
 
 def column_ranges(df: DataFrame, columns) -> DataFrame:
     """``(column, min, max)`` for each column, one pass."""
-    parts = [F.struct(F.lit(c).alias("column"), F.min(col(c)).cast("double").alias("min"),
-                      F.max(col(c)).cast("double").alias("max")) for c in columns]
+    parts = [F.struct(F.lit(c).alias("column"), F.min(number(c)).alias("min"),
+                      F.max(number(c)).alias("max")) for c in columns]
     return df.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
 
 
@@ -21,7 +21,7 @@ def range_row(df: DataFrame, columns) -> Column:
     """The same as one lazy struct: ``row["lo0"], row["hi0"], ...``."""
     parts = []
     for i, c in enumerate(columns):
-        parts += [F.min(col(c)).cast("double").alias(f"lo{i}"), F.max(col(c)).cast("double").alias(f"hi{i}")]
+        parts += [F.min(number(c)).alias(f"lo{i}"), F.max(number(c)).alias(f"hi{i}")]
     return df.agg(F.struct(*parts).alias("row")).scalar()
 
 
@@ -30,58 +30,48 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(col(column)).distinct().orderBy(col(column))
 
 
-def exact_medians(df: DataFrame, columns, weight: str | None = None,
-                  buffered: int = BUFFERED_VALUES, collected: int = COLLECTED_VALUES) -> dict:
+def exact_medians(df: DataFrame, columns, weight: str | None = None, bins: int = MEDIAN_BINS) -> dict:
     """Exact median of each column; ``weight`` counts a row that many times.
 
-    Columns with few distinct values share one aggregate over value counts. Any
-    other is narrowed pass by pass, so no task ever holds the whole column.
+    Every pass counts the still possible values in equal-width bins, for all
+    columns at once, and keeps the bin with the middle rank: what is gathered is
+    ``bins`` counts per column and pass, whatever the size or skew of the data.
     """
-    names = [f"v{i}" for i in range(len(columns))]
-    values = df.select(*[col(c).cast("double").alias(v) for c, v in zip(columns, names)],
+    values = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(columns)],
                        (col(weight) if weight else F.lit(1)).cast("bigint").alias("w"))
-    seen = values.agg(
-        *[F.approx_count_distinct(v).alias(f"d_{v}") for v in names],
-        *[F.sum(F.when(F.col(v).isNotNull(), F.col("w"))).alias(f"n_{v}") for v in names]).first()
-    few = [v for v in names if seen[f"d_{v}"] <= buffered]
-    found = {}
-    if few:
-        row = values.agg(*[F.percentile(v, F.lit(0.5), F.col("w")).alias(v) for v in few]).first()
-        found = {v: row[v] for v in few}
-    for v in [n for n in names if n not in few]:
-        one = values.select(F.col(v).alias("v"), "w").where("v is not null")
-        ranks = {(seen[f"n_{v}"] - 1) // 2, seen[f"n_{v}"] // 2}
-        found[v] = sum(_value_at(one, r, collected) for r in ranks) / len(ranks)
-    return {c: found[v] for c, v in zip(columns, names)}
-
-
-def _value_at(values: DataFrame, rank: int, collected: int) -> float:
-    """Value at a 0-based rank: each pass keeps the rows between two neighbouring pivots."""
-    inside, below = values, 0
-    while True:
-        counts = inside.groupBy("v").agg(F.sum("w").alias("w")).limit(collected + 1).collect()
-        if len(counts) <= collected:
-            for r in sorted(counts, key=lambda r: r.v):
-                below += r.w
-                if below > rank:
-                    return r.v
-        pivots = sorted(set(inside.agg(F.approx_percentile(
-            "v", [i / PIVOTS for i in range(PIVOTS + 1)], 10_000)).first()[0]))
-        sums = inside.agg(*[F.sum(F.when(F.col("v") < p, F.col("w")).otherwise(0)).alias(f"lt{i}")
-                            for i, p in enumerate(pivots)],
-                          *[F.sum(F.when(F.col("v") <= p, F.col("w")).otherwise(0)).alias(f"le{i}")
-                            for i, p in enumerate(pivots)]).first()
-        for i, p in enumerate(pivots):
-            if below + sums[f"lt{i}"] <= rank < below + sums[f"le{i}"]:
-                return p
-        last = max((i for i in range(len(pivots)) if below + sums[f"le{i}"] <= rank), default=None)
-        if last is None:
-            inside = inside.where(F.col("v") < pivots[0])
+    bounds = values.agg(*[e for i in range(len(columns)) for e in (
+        F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"),
+        F.sum(F.when(F.col(f"v{i}").isNotNull(), F.col("w"))).alias(f"n{i}"))]).first()
+    found, open_ranges = {}, {}
+    for i in range(len(columns)):
+        lo, hi, n = bounds[f"lo{i}"], bounds[f"hi{i}"], bounds[f"n{i}"]
+        if n is None or lo == hi:
+            found[i] = lo
+        elif math.isinf(lo) or math.isinf(hi):
+            raise ValueError(f"{columns[i]!r} holds infinite values")
         else:
-            inside = inside.where(F.col("v") > pivots[last])
-            if last + 1 < len(pivots):
-                inside = inside.where(F.col("v") < pivots[last + 1])
-            below += sums[f"le{last}"]
+            open_ranges[i] = (lo, hi, 0)
+    while open_ranges:
+        parts = [F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"), F.lit(lo).alias("lo"),
+                          F.lit(hi).alias("hi"), "w") for i, (lo, hi, _) in open_ranges.items()]
+        inside = values.select(F.inline(F.array(*parts))).where("v between lo and hi")
+        # Halves keep the width finite for any pair of doubles.
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        counts = inside.groupBy("i", F.floor(share * bins).alias("bin")).agg(
+            F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        for i in list(open_ranges):
+            run, n = open_ranges[i][2], bounds[f"n{i}"]
+            holds = []
+            for r in sorted((r for r in counts if r.i == i), key=lambda r: r.lo):
+                holds += [(r, run)] * sum(run <= rank < run + r.w for rank in ((n - 1) // 2, n // 2))
+                run += r.w
+            (first, before), (second, _) = holds
+            if first.lo == second.lo and first.lo < first.hi:
+                open_ranges[i] = (first.lo, first.hi, before)
+            else:
+                found[i] = first.hi + (second.lo - first.hi) * 0.5
+                del open_ranges[i]
+    return {c: found[i] for i, c in enumerate(columns)}
 
 
 def column_medians(df: DataFrame, columns) -> DataFrame:
@@ -95,7 +85,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
     A column with a single value gets a range of half a unit either side.
     """
-    v = col(column).cast("double")
+    v = number(column)
     row = range_row(df, [column])
     flat = row["lo0"] == row["hi0"]
     lo = F.when(flat, row["lo0"] - 0.5).otherwise(row["lo0"])
@@ -121,16 +111,16 @@ def equal_bands(df: DataFrame, column: str, levels: int = 40) -> DataFrame:
     """Each row's contour band 1..levels on a column, equal width."""
     row = range_row(df, [column])
     flat = row["lo0"] == row["hi0"]
-    bucket = F.width_bucket(col(column), row["lo0"], row["hi0"], F.lit(levels))
+    bucket = F.width_bucket(number(column), row["lo0"], row["hi0"], F.lit(levels))
     return df.withColumn("band", F.when(flat, 1).otherwise(F.least(bucket, F.lit(levels))).cast("int"))
 
 
 def parameter_correlation(df: DataFrame, parameters, score: str) -> DataFrame:
     """Signed Pearson correlation with the score per parameter; NULL for a constant one."""
-    y = col(score).cast("double")
+    y = number(score)
     parts = []
     for p in parameters:
-        x = col(p).cast("double")
+        x = number(p)
         # Deviations over the rows that have both values.
         xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
         parts.append(F.struct(F.lit(p).alias("parameter"), quotient(
@@ -145,24 +135,24 @@ def top_parameters(correlations: DataFrame, k: int = 2) -> DataFrame:
 
 def best_row(df: DataFrame, score: str, id_col: str) -> DataFrame:
     """The row with the highest score; the lowest id wins ties."""
-    return df.orderBy(col(score).desc_nulls_last(), col(id_col)).limit(1)
+    return df.orderBy(number(score).desc_nulls_last(), col(id_col)).limit(1)
 
 
 def top_rows(df: DataFrame, score: str, id_col: str, k: int = 10) -> DataFrame:
     """The k highest scores; the lowest ids win ties."""
-    return df.orderBy(col(score).desc_nulls_last(), col(id_col)).limit(k)
+    return df.orderBy(number(score).desc_nulls_last(), col(id_col)).limit(k)
 
 
 def score_summary(df: DataFrame, score: str) -> DataFrame:
     """``mean, best, lowest, count`` of a score."""
-    s = col(score).cast("double")
+    s = number(score)
     return df.agg(F.avg(s).alias("mean"), F.max(s).alias("best"), F.min(s).alias("lowest"),
                   F.count(s).alias("count"))
 
 
 def fit_metrics(df: DataFrame, observed: str, predicted: str, digits: int | None = None) -> DataFrame:
     """One row ``r2, mae, rmse``; R2 compares with the mean, it is no squared correlation."""
-    y, f = col(observed).cast("double"), col(predicted).cast("double")
+    y, f = number(observed), number(predicted)
     sse = F.sum((y - f) * (y - f))
     row = df.agg((1 - quotient(sse, F.count(y) * F.var_pop(y))).alias("r2"),
                  F.avg(F.abs(y - f)).alias("mae"),

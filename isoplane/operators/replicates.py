@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from isoplane.cluster import fits, materialize
 from isoplane.functions.scalars import all_of
-from isoplane.sources.tables import col, quoted
+from isoplane.sources.tables import col, number, quoted
 
 BROADCAST_ROWS = 100_000
 
@@ -12,7 +12,9 @@ BROADCAST_ROWS = 100_000
 def _usable(df, controls, block, categories):
     """Missing numeric conditions are left out; a missing category is a condition of its own."""
     keys = ([block] if block else []) + list(controls)
-    return keys, df.where(all_of(col(k).isNotNull() for k in keys if k not in categories))
+    wanted = [k for k in keys if k not in categories]
+    real = [k for k in wanted if df.schema[k].dataType.typeName() in ("double", "float")]
+    return keys, df.where(all_of([*(col(k).isNotNull() for k in wanted), *(~F.isnan(col(k)) for k in real)]))
 
 
 def rounded_keys(df: DataFrame, controls, digits: int) -> DataFrame:
@@ -22,7 +24,7 @@ def rounded_keys(df: DataFrame, controls, digits: int) -> DataFrame:
 
 def summarise(df: DataFrame, keys, measure: str) -> DataFrame:
     """Mean, sample std, row count and valid count for every distinct key."""
-    y = col(measure).cast("double")
+    y = number(measure)
     return df.groupBy([col(k) for k in keys]).agg(
         F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"),
         F.count(F.lit(1)).alias("count"), F.count(y).alias("n_valid"))
@@ -68,7 +70,7 @@ def _with_flags(rows: DataFrame, keys, measure: str, outlier_sd: float) -> DataF
     stats = materialize(summarise(rows, keys, measure)).withColumnsRenamed(
         {"mean": "s_mean", "std": "s_std"}).withColumn("s_count", F.col("count"))
     joined = join_conditions(rows, stats, keys, ["s_mean", "s_std", "s_count"])
-    y = col(measure).cast("double")
+    y = number(measure)
     tested = (F.col("s_count") > 2) & F.coalesce(F.col("s_std") > 0, F.lit(False))
     inside = F.coalesce(F.abs(y - F.col("s_mean")) <= F.lit(outlier_sd) * F.col("s_std"), F.lit(False))
     return joined.withColumns({
@@ -121,7 +123,7 @@ def _summary(df, controls, measure, block, outlier_sd, categories, key_digits):
     if outlier_sd is None:
         return summarise(rows, keys, measure)
     flagged = _with_flags(rows, keys, measure, outlier_sd)
-    kept = F.when(~F.col("is_outlier"), col(measure).cast("double"))
+    kept = F.when(~F.col("is_outlier"), number(measure))
     return flagged.groupBy([col(k) for k in keys]).agg(
         F.avg(kept).alias("mean"), F.stddev_samp(kept).alias("std"),
         F.count_if(~F.col("is_outlier")).alias("count"), F.count(kept).alias("n_valid"))

@@ -8,8 +8,8 @@ from isoplane.functions.scalars import band, clip
 from isoplane.operators import grids
 from isoplane.operators.encoding import dummy_column, dummy_names, text_of, with_all
 from isoplane.operators.profiling import exact_medians
-from isoplane.plans.models import Model, model_conditions, predict_rows
-from isoplane.sources.tables import col, nan_to_null
+from isoplane.plans.models import Model, model_conditions, model_rows, predict_rows
+from isoplane.sources.tables import col
 from isoplane.spec import unscale_plan
 
 
@@ -98,8 +98,7 @@ def _training_points(model: Model, df: DataFrame | None) -> DataFrame:
             "y", F.col("mean") if spec.statistic == "mean" else F.col("std"))
     if df is None:
         raise ValueError("row mode needs the raw table")
-    return nan_to_null(df.select(*[col(c).cast("double").alias(c) for c in spec.num_cols],
-                                 *[col(c) for c in spec.cat_cols], col(spec.target).cast("double").alias("y")))
+    return model_rows(df, spec)
 
 
 def _shown(model: Model, value: Column, unscale: bool) -> Column:

@@ -10,10 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from isoplane.functions.kernels import kernel_block, row_blocks
-from isoplane.sources.tables import col
+from isoplane.functions.kernels import feature_matrix, kernel_block, row_blocks
+from isoplane.sources.tables import col, number
 from isoplane.spec import KernelConfig
 
 MAX_SUPPORT = 2_000
@@ -124,15 +125,16 @@ def predictor(spark: SparkSession, solution: Solution):
     """
     shared = spark.sparkContext.broadcast(vars(solution))
 
-    @F.pandas_udf("mean double, std double")
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("mean double, std double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = Solution(**shared.value)
         for batch in batches:
-            x = batch.to_numpy(dtype=float)
+            x = feature_matrix(batch)
             known = np.isfinite(x).all(axis=1)
             mean, std = np.full(len(x), np.nan), np.full(len(x), np.nan)
             mean[known], std[known] = evaluate(fitted, x[known])
-            yield pd.DataFrame({"mean": mean, "std": std})
+            yield pa.StructArray.from_arrays(
+                [pa.array(mean, mask=~known), pa.array(std, mask=~known)], names=["mean", "std"])
 
     return predict
 
@@ -142,10 +144,8 @@ def with_prediction(df: DataFrame, solution: Solution, features: list[Column],
     """``df`` with predicted mean and std; rows with a missing feature get NULL."""
     predict = predictor(df.sparkSession, solution)
     inputs = F.struct(*[f.cast("double").alias(f"f{i}") for i, f in enumerate(features)])
-    out = df.withColumn("p_gp", predict(inputs))
-    known = F.isnan("p_gp.mean")
-    return out.withColumns({mean: F.when(~known, F.col("p_gp.mean")),
-                            std: F.when(~known, F.col("p_gp.std"))}).drop("p_gp")
+    return df.withColumn("p_gp", predict(inputs)).withColumns(
+        {mean: F.col("p_gp.mean"), std: F.col("p_gp.std")}).drop("p_gp")
 
 
 def to_arrays(rows, features, *values):
@@ -163,7 +163,7 @@ def condition_collapse(df: DataFrame, controls, target: str,
     ``mean`` of the target, ``count``, ``within`` (sum of squares around the mean)
     and ``noise`` (row noise over the count).
     """
-    y = col(target).cast("double")
+    y = number(target)
     return df.groupBy([col(c) for c in controls]).agg(
         F.avg(y).alias("mean"), F.count(y).alias("count"),
         (F.var_pop(y) * F.count(y)).alias("within"),

@@ -10,15 +10,15 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from isoplane.cluster import fits, materialize
+from isoplane.cluster import materialize, spread
 from isoplane.functions.scalars import all_of
-from isoplane.operators.encoding import category_levels, dummy_column, dummy_names, observed_combos
+from isoplane.operators.encoding import combo_levels, dummy_column, dummy_names, observed_combos
 from isoplane.operators.profiling import fit_metrics
 from isoplane.operators.replicates import join_conditions
 from isoplane.operators.scaling import scaled, unscaled
 from isoplane.plans import gp, sparse
 from isoplane.plans.search import search
-from isoplane.sources.tables import col, nan_to_null, require_columns
+from isoplane.sources.tables import col, number, require_columns
 from isoplane.spec import AnalysisSpec, KernelConfig, unscale_plan
 
 
@@ -58,10 +58,16 @@ class Model:
 
 def _transformed(name: str, spec: AnalysisSpec) -> Column:
     """Raw input as double, log columns as log10."""
-    value = col(name).cast("double")
+    value = number(name)
     return F.log10(value) if name in spec.log_cols else value
 
 
+def model_rows(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
+    """The columns a model uses, numerics as doubles, the target as ``y``."""
+    return df.select(*[number(c).alias(c) for c in spec.num_cols], *[col(c) for c in spec.cat_cols],
+                     number(spec.target).alias("y"))
+
+
 def condition_table(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """One row per distinct raw input setting, missing ones included.
 
@@ -70,11 +76,8 @@ def condition_table(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """
     keys = [*spec.num_cols, *spec.cat_cols]
     require_columns(df, keys, spec.target)
-    rows = nan_to_null(df.select(*[col(c).cast("double").alias(c) for c in spec.num_cols],
-                                 *[col(c) for c in spec.cat_cols],
-                                 col(spec.target).cast("double").alias("t_value")))
-    y = F.col("t_value")
-    return rows.groupBy([col(k) for k in keys]).agg(
+    y = F.col("y")
+    return model_rows(df, spec).groupBy([col(k) for k in keys]).agg(
         F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"),
         F.coalesce(F.var_pop(y) * F.count(y), F.lit(0.0)).alias("within"),
         F.count(F.lit(1)).alias("count"), F.count(y).alias("n_valid"))
@@ -169,17 +172,18 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
     kernel = kernel or KernelConfig()
     conditions = conditions if conditions is not None else materialize(condition_table(df, spec))
     scalers = scalers_from_conditions(conditions, spec)
-    levels = category_levels(conditions, spec.cat_cols)
     combos = observed_combos(conditions, spec.cat_cols)
+    levels = combo_levels(combos, spec.cat_cols)
     trained = model_conditions(conditions, spec)
     points, features = _support(trained, spec, scalers, levels, spec.noise, constant)
-    small = method != "sparse" and fits(points, max_support)
+    by_row = spec.mode == "mean"
+    values = ["y", "noise", "count", "within"] + (["n_valid"] if by_row else [])
+    rows = [] if method == "sparse" else points.select(*features, *values).limit(max_support + 1).collect()
+    small = method != "sparse" and len(rows) <= max_support
     if method == "exact" and not small:
         raise ValueError(f"more than {max_support} conditions; raise max_support or use method='sparse'")
-    by_row = spec.mode == "mean"
     if small:
-        values = ["y", "noise", "count", "within"] + (["n_valid"] if by_row else [])
-        x, y, noise, counts, within, *valid = gp.to_arrays(points.select(*features, *values).collect(), features, *values)
+        x, y, noise, counts, within, *valid = gp.to_arrays(rows, features, *values)
         if len(x) == 0:
             raise ValueError("no condition is left to fit: every group has fewer than two rows")
         if by_row and (valid[0] < counts).any() or not all(np.isfinite(a).all() for a in (x, y, noise)):
@@ -228,9 +232,10 @@ def predict_rows(model: Model, df: DataFrame, unscale: bool = True, mean: str =
                  std: str = "pred_std", encoded: bool = False) -> DataFrame:
     """Raw rows with the predicted mean and its std, in original units by default.
 
-    A map over the rows: no shuffle, and only the model's inputs leave the JVM.
+    A map over the rows of which only the model's inputs leave the JVM. Nothing
+    is shuffled but a small file that would otherwise occupy a single core.
     """
-    out = gp.with_prediction(df, model.solution, model.inputs(encoded), mean, std)
+    out = gp.with_prediction(spread(df), model.solution, model.inputs(encoded), mean, std)
     if unscale:
         out = out.withColumns({mean: model.unscale(F.col(mean)),
                                std: model.unscale(F.col(std), spread=True)})
@@ -253,11 +258,8 @@ def training_frame(model: Model, df: DataFrame | None = None) -> DataFrame:
     if df is None:
         raise ValueError("row mode needs the raw table")
     keys = [*spec.num_cols, *spec.cat_cols]
-    rows = nan_to_null(df.select(*[col(c).cast("double").alias(c) for c in spec.num_cols],
-                                 *[col(c) for c in spec.cat_cols],
-                                 col(spec.target).cast("double").alias("t_value")))
-    joined = join_conditions(rows, fitted, keys, ["predicted"])
-    return joined.select(((F.col("t_value") - mean) / scale).alias("observed"), "predicted")
+    joined = join_conditions(model_rows(df, spec), fitted, keys, ["predicted"])
+    return joined.select(((F.col("y") - mean) / scale).alias("observed"), "predicted")
 
 
 def training_metrics(model: Model, df: DataFrame | None = None, digits: int | None = 4,
@@ -280,7 +282,7 @@ def block_models(df: DataFrame, block: str, controls, measure: str, kernel: Kern
     """
     controls = list(controls)
     summary = materialize(df.select(
-        col(block).alias("block"), *[col(c).cast("double").alias(c) for c in controls],
+        col(block).alias("block"), *[number(c).alias(c) for c in controls],
         F.col("mean"), gp.noise_column(noise, constant).alias("noise"), "count"))
     large = [r.block for r in summary.groupBy("block").count().where(
         F.col("count") > max_support).select("block").collect()]

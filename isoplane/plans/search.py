@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from isoplane.operators.design import unit_design
+from isoplane.operators.design import design_keys, unit_samples
 from isoplane.plans.gp import collapsed_likelihood, log_likelihood
 from isoplane.spec import KernelConfig
 
@@ -23,14 +23,9 @@ SHRINK = 0.35
 def candidate_frame(spark: SparkSession, start, bounds, n: int, seed: int) -> DataFrame:
     """``(candidate_id, theta)`` in log units: the start as 0, then a design over the bounds."""
     low, high = (np.array(v) for v in zip(*bounds))
-    samples = unit_design(n, len(bounds), seed)
-    design = spark.range(0, n, 1, min(n, spark.sparkContext.defaultParallelism)).select(
-        (F.col("id") + 1).alias("candidate_id"),
-        F.zip_with(samples("id"), F.lit([[float(a), float(b - a)] for a, b in zip(low, high)]),
-                   lambda u, b: b[0] + u * b[1]).alias("theta"))
-    first = spark.range(1).select(F.col("id").alias("candidate_id"),
-                                  F.lit([float(v) for v in start]).alias("theta"))
-    return first.unionByName(design)
+    thetas = np.vstack([start, low + unit_samples(np.arange(n), n, design_keys(len(bounds), seed)) * (high - low)])
+    rows = [(i, theta.tolist()) for i, theta in enumerate(thetas)]
+    return spark.createDataFrame(rows, "candidate_id long, theta array<double>")
 
 
 def score_candidates(candidates: DataFrame, kernel: KernelConfig, x, y, noise, counts=None,

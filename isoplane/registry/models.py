@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from isoplane.cluster import collect_bounded
+from isoplane.cluster import collect_bounded, spread
 from isoplane.functions.kernels import kernel_column, kernel_profile, squared_distance
 from isoplane.functions.scalars import band, rounded
 from isoplane.operators import grids, profiling, replicates, scaling
@@ -83,7 +83,7 @@ for _name in KERNEL_CONFIGS:
     select l_orderkey, l_linenumber, round(k_sum, 6) + 0.0 as k_sum, round(k_min, 6) + 0.0 as k_min
     from lineitem li join c on li.l_discount + 0.0 = c.l_discount and li.l_tax + 0.0 = c.l_tax"""))
 def kernel_cross(spark, sf):
-    df = lineitem(spark, sf)
+    df = spread(lineitem(spark, sf))
     fitted = {r.column: (r.mean, r.scale) for r in scaling.fit_scaler(df, PAIR).collect()}
     _, support = _scaled_support(spark, sf)
     x = [scaling.scaled(F.col(c), fitted[c]) for c in PAIR]

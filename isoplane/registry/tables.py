@@ -263,27 +263,27 @@ COND = ["l_discount", "l_tax"]
 # Zeros in the tables carry either sign; both are one condition, shown unsigned.
 LINEITEM = "(select * replace (l_discount + 0.0 as l_discount, l_tax + 0.0 as l_tax) from lineitem)"
 GROUP_SQL = f"""
-    select l_discount, l_tax, round(avg(l_extendedprice), 4) + 0.0 as mean,
-           round(stddev_samp(l_extendedprice), 4) + 0.0 as std, count(*) as count, count(l_extendedprice) as n_valid
+    select l_discount, l_tax, round(avg(l_extendedprice), 7) + 0.0 as mean,
+           round(stddev_samp(l_extendedprice), 5) + 0.0 as std, count(*) as count, count(l_extendedprice) as n_valid
     from {LINEITEM} group by all"""
 
 
 @query("replicate_groups", GROUP_SQL + " having count(*) >= 2")
 def replicate_groups(spark, sf):
     return shown(replicates.replicate_groups(table(spark, sf, "lineitem"), COND, "l_extendedprice"),
-                 4, *COND, "count", "n_valid")
+                 7, *COND, "count", "n_valid", std=5)
 
 
 WIDE = ["l_quantity", "l_discount", "l_tax", "l_suppkey"]
 
 
 @query("replicate_min_count", f"""
-    select l_quantity, l_discount, l_tax, l_suppkey, round(avg(l_extendedprice), 4) + 0.0 as mean,
-           round(stddev_samp(l_extendedprice), 3) + 0.0 as std, count(*) as count
+    select l_quantity, l_discount, l_tax, l_suppkey, round(avg(l_extendedprice), 7) + 0.0 as mean,
+           round(stddev_samp(l_extendedprice), 5) + 0.0 as std, count(*) as count
     from {LINEITEM} group by all having count(*) >= 2""")
 def replicate_min_count(spark, sf):
     out = replicates.replicate_groups(table(spark, sf, "lineitem"), WIDE, "l_extendedprice")
-    return shown(out.drop("n_valid"), 4, *WIDE, "count", std=3)
+    return shown(out.drop("n_valid"), 7, *WIDE, "count", std=5)
 
 
 @query("replicate_dropped", f"""
@@ -301,12 +301,12 @@ TRIM = f"""
 
 
 @query("replicate_outlier_trim", TRIM + """
-    select l_discount, l_tax, round(avg(l_extendedprice), 4) + 0.0 as mean,
-           round(stddev_samp(l_extendedprice), 4) + 0.0 as std, count(*) as count, count(l_extendedprice) as n_valid
+    select l_discount, l_tax, round(avg(l_extendedprice), 7) + 0.0 as mean,
+           round(stddev_samp(l_extendedprice), 5) + 0.0 as std, count(*) as count, count(l_extendedprice) as n_valid
     from f where not out group by all having count(*) >= 2""")
 def replicate_outlier_trim(spark, sf):
     out = replicates.replicate_groups(table(spark, sf, "lineitem"), COND, "l_extendedprice", outlier_sd=1.5)
-    return shown(out, 4, *COND, "count", "n_valid")
+    return shown(out, 7, *COND, "count", "n_valid", std=5)
 
 
 @query("replicate_outlier_flags", TRIM + """
@@ -318,12 +318,12 @@ def replicate_outlier_flags(spark, sf):
 
 
 @query("replicate_blocked", f"""
-    select l_returnflag, l_discount, l_tax, round(avg(l_extendedprice), 4) + 0.0 as mean,
-           round(stddev_samp(l_extendedprice), 4) + 0.0 as std, count(*) as count, count(l_extendedprice) as n_valid
+    select l_returnflag, l_discount, l_tax, round(avg(l_extendedprice), 7) + 0.0 as mean,
+           round(stddev_samp(l_extendedprice), 5) + 0.0 as std, count(*) as count, count(l_extendedprice) as n_valid
     from {LINEITEM} group by all having count(*) >= 2""")
 def replicate_blocked(spark, sf):
     out = replicates.replicate_groups(table(spark, sf, "lineitem"), COND, "l_extendedprice", block="l_returnflag")
-    return shown(out, 4, "l_returnflag", *COND, "count", "n_valid")
+    return shown(out, 7, "l_returnflag", *COND, "count", "n_valid", std=5)
 
 
 @query("column_ranges", " union all ".join(
@@ -384,10 +384,10 @@ def top2_parameters(spark, sf):
 
 
 @query("score_summary", """
-    select round(avg(o_totalprice), 4) + 0.0 as mean, max(o_totalprice) as best, min(o_totalprice) as lowest,
+    select round(avg(o_totalprice), 7) + 0.0 as mean, max(o_totalprice) as best, min(o_totalprice) as lowest,
            count(o_totalprice) as count from orders""")
 def score_summary(spark, sf):
-    return shown(profiling.score_summary(table(spark, sf, "orders"), "o_totalprice"), 4, "best", "lowest", "count")
+    return shown(profiling.score_summary(table(spark, sf, "orders"), "o_totalprice"), 7, "best", "lowest", "count")
 
 
 @query("best_condition", """

@@ -23,6 +23,11 @@ def col(name: str):
     return F.col(quoted(name))
 
 
+def number(name: str):
+    """A column as double with NaN read as missing."""
+    return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
+
+
 def unique_names(header) -> list[str]:
     """Header cells as column names: empty ones numbered, repeats get ``.1``, ``.2``."""
     names = [h if h not in (None, "") else f"Unnamed: {i}" for i, h in enumerate(header)]
@@ -98,7 +103,7 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """Read a table by its file name ending: CSV text or parquet."""
     if re.search(r"\.csv(\.gz)?/?$", path):
         return read_csv(spark, path, **options)
-    return nan_to_null(spark.read.parquet(path))
+    return spark.read.parquet(path)
 
 
 def load_example(spark: SparkSession, catalogue: dict, kind: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_medians_by_narrowing(spark, n, shape):
         v[: n // 3] = 0.1
     if shape == "two":
         v = np.where(v > 0, 1.0, 2.0)
-    got = prof.exact_medians(frame(spark, v.tolist()), ["v"], buffered=0, collected=5)
+    got = prof.exact_medians(frame(spark, v.tolist()), ["v"], bins=4)
     assert got["v"] == pytest.approx(np.median(v), abs=0)
 
 
@@ -29,7 +29,7 @@ def test_weighted_medians(spark):
     df = frame(spark, list(zip(v.tolist(), w.tolist())), "v double, w int")
     want = np.median(np.repeat(v, w))
     assert prof.exact_medians(df, ["v"], "w")["v"] == want
-    assert prof.exact_medians(df, ["v"], "w", buffered=0, collected=4)["v"] == want
+    assert prof.exact_medians(df, ["v"], "w", bins=3)["v"] == want
 
 
 def test_median_skips_missing(spark):
