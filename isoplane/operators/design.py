@@ -21,16 +21,16 @@ def design_keys(n_dims: int, seed: int) -> list[dict]:
     """Round and jitter constants of each parameter."""
     draw = random.Random(seed)
 
-    def odd_pair():
+    def pair():
         return draw.randrange(1, PRIME), draw.randrange(PRIME)
 
-    return [{"rounds": [(draw.randrange(PRIME), *odd_pair()) for _ in range(ROUNDS)],
-             "jitter": odd_pair()} for _ in range(n_dims)]
+    return [{"rounds": [(draw.randrange(1 << 62), *pair()) for _ in range(ROUNDS)],
+             "jitter": pair()} for _ in range(n_dims)]
 
 
 def _mixed(x, a, b):
-    """Keyed value below PRIME; every product stays under 2**62."""
-    y = (x % PRIME * a + b) % PRIME
+    """Keyed value below PRIME; every product stays under 2**62, for any x below that."""
+    y = (x % PRIME * a + x // PRIME + b) % PRIME
     return y * y % PRIME
 
 

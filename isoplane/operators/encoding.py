@@ -14,12 +14,18 @@ def text_of(value) -> str:
 
 
 def category_levels(df: DataFrame, cat_cols, max_levels: int = MAX_LEVELS) -> dict:
-    """Sorted non-null levels of each category column."""
+    """Sorted non-null levels of each category column, all columns in one pass."""
+    cats = [col(c).alias(f"c{i}") for i, c in enumerate(cat_cols)]
+    names = [f"c{i}" for i in range(len(cat_cols))]
+    found = df.select(cats).groupingSets([[n] for n in names], *names).agg(F.grouping_id().alias("g"))
+    rows = collect_bounded(found, len(names) * (max_levels + 1), f"levels in {list(cat_cols)}")
     levels = {}
-    for c in cat_cols:
-        found = df.select(col(c).alias("v")).where("v is not null").distinct()
-        rows = collect_bounded(found, max_levels, f"levels in {c!r}")
-        levels[c] = sorted(r.v for r in rows)
+    for i, c in enumerate(cat_cols):
+        # A grouping id has a zero bit for the one column that is grouped.
+        own = (1 << len(names)) - 1 - (1 << (len(names) - 1 - i))
+        levels[c] = sorted(r[names[i]] for r in rows if r.g == own and r[names[i]] is not None)
+        if len(levels[c]) > max_levels:
+            raise ValueError(f"more than {max_levels} levels in {c!r}")
     return levels
 
 

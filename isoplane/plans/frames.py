@@ -154,11 +154,18 @@ def scatter_2d(model: Model, x_var: str, y_var: str, df: DataFrame | None = None
     return _training_points(model, df).select(col(x_var).alias("x"), col(y_var).alias("y"), z.alias("z"))
 
 
-def pair_curves(std_curve: DataFrame, mean_curve: DataFrame) -> DataFrame:
+def _pair(std: DataFrame, row: DataFrame, keys) -> DataFrame:
+    def side(df, name):
+        return df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in (*keys, "label")])
+
+    return side(std, "std").join(side(row, "row"), list(keys), "full")
+
+
+def pair_curves(std_curve: DataFrame, row_curve: DataFrame) -> DataFrame:
     """Replicate and row curves side by side; the longer list wins, a missing side is NULL."""
-    keys = ["combo_id", "point_id"]
+    return _pair(std_curve, row_curve, ("combo_id", "point_id"))
 
-    def side(df, name):
-        return df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("combo", "x", "mean", "lower", "upper")])
 
-    return side(std_curve, "std").join(side(mean_curve, "row"), keys, "full")
+def pair_surfaces(std_surface: DataFrame, row_surface: DataFrame) -> DataFrame:
+    """Replicate and row surfaces side by side."""
+    return _pair(std_surface, row_surface, ("point_id",))

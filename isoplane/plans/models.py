@@ -5,6 +5,7 @@ category levels, support points, noise and likelihood corrections all follow
 from that summary.
 """
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,15 +69,21 @@ def model_rows(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
                      number(spec.target).alias("y"))
 
 
-def condition_table(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
+def condition_table(df: DataFrame, spec: AnalysisSpec, collapse: bool = True) -> DataFrame:
     """One row per distinct raw input setting, missing ones included.
 
     ``mean``, ``std``, ``within`` (sum of squares around the mean), ``count`` rows
-    and ``n_valid`` measurements. The only step that reads the raw rows.
+    and ``n_valid`` measurements. The only step that reads the raw rows. Without
+    ``collapse`` every row is its own setting.
     """
     keys = [*spec.num_cols, *spec.cat_cols]
     require_columns(df, keys, spec.target)
     y = F.col("y")
+    if not collapse:
+        return model_rows(df, spec).select(
+            *[col(k) for k in keys], y.alias("mean"), F.lit(None).cast("double").alias("std"),
+            F.lit(0.0).alias("within"), F.lit(1).cast("bigint").alias("count"),
+            y.isNotNull().cast("bigint").alias("n_valid"))
     return model_rows(df, spec).groupBy([col(k) for k in keys]).agg(
         F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"),
         F.coalesce(F.var_pop(y) * F.count(y), F.lit(0.0)).alias("within"),
@@ -159,18 +166,23 @@ def _reject_incomplete(points: DataFrame, features, mode):
 def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = None,
               tune: bool = True, constant: float = gp.CONSTANT_NOISE, method: str = "auto",
               max_support: int = gp.MAX_SUPPORT, inducing: int = sparse.INDUCING, seed: int = 42,
-              conditions: DataFrame | None = None) -> Model:
+              collapse: bool = True, conditions: DataFrame | None = None) -> Model:
     """Fit the response model of ``spec``.
 
     ``tune=False`` keeps the kernel as given. Up to ``max_support`` conditions are
-    solved exactly; ``method="auto"`` uses inducing points beyond that and
+    solved exactly; ``method="auto"`` warns and uses inducing points beyond that,
     ``method="exact"`` raises, so raise ``max_support`` where the driver can hold
-    the matrix.
+    the matrix. ``collapse=False`` skips the summary of equal settings: for sparse
+    row models whose inputs hardly ever repeat, where it would only move the rows.
     """
     if method not in ("auto", "exact", "sparse"):
         raise ValueError("method must be 'auto', 'exact' or 'sparse'")
+    if not collapse and (spec.mode, method) != ("mean", "sparse"):
+        raise ValueError("collapse=False is for mode='mean' with method='sparse'")
     kernel = kernel or KernelConfig()
-    conditions = conditions if conditions is not None else materialize(condition_table(df, spec))
+    if conditions is None:
+        conditions = condition_table(df, spec, collapse)
+        conditions = materialize(conditions) if collapse else conditions
     scalers = scalers_from_conditions(conditions, spec)
     combos = observed_combos(conditions, spec.cat_cols)
     levels = combo_levels(combos, spec.cat_cols)
@@ -182,6 +194,9 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
     small = method != "sparse" and len(rows) <= max_support
     if method == "exact" and not small:
         raise ValueError(f"more than {max_support} conditions; raise max_support or use method='sparse'")
+    if method == "auto" and not small:
+        warnings.warn(f"more than {max_support} conditions: fitting through {inducing} inducing points",
+                      stacklevel=2)
     if small:
         x, y, noise, counts, within, *valid = gp.to_arrays(rows, features, *values)
         if len(x) == 0:

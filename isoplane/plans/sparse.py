@@ -19,9 +19,20 @@ INDUCING = 512
 
 
 def choose_inducing(support: DataFrame, features, n: int = INDUCING, seed: int = 42) -> np.ndarray:
-    """The n support points with the smallest keyed hash: a repeatable spread-out sample."""
-    pick = support.select(*features).distinct().orderBy(F.xxhash64(*features, F.lit(seed)), *features)
-    return to_arrays(pick.limit(n).collect(), features)[0]
+    """The n distinct support points with the smallest keyed hash: a repeatable spread-out sample.
+
+    Only points under a hash limit are compared with each other; the limit starts
+    where about 8 n points are expected and widens until n are found.
+    """
+    hashed = support.select(*features, F.xxhash64(*features, F.lit(seed)).alias("h"))
+    share = min(1.0, 8 * n / max(support.count(), 1))
+    while True:
+        limit = int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1
+        low = hashed.where(F.col("h") <= F.lit(limit)).distinct()
+        rows = low.orderBy("h", *features).limit(n).select(*features).collect()
+        if len(rows) == n or share >= 1:
+            return to_arrays(rows, features)[0]
+        share = min(1.0, share * 16)
 
 
 def gram_sums(support: DataFrame, features, z: np.ndarray, param_sets: list[dict], weight="weight"):

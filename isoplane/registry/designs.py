@@ -19,7 +19,7 @@ def design_sql(name, columns, counted, source="lineitem"):
     dims = range(len(columns))
 
     def mixed(x, a, b):
-        y = f"((({x}) % {PRIME}) * {a} + {b}) % {PRIME}"
+        y = f"((({x}) % {PRIME}) * {a} + ({x}) // {PRIME} + {b}) % {PRIME}"
         return f"({y}) * ({y}) % {PRIME}"
 
     bounds = ", ".join(f"min({c}) lo{d}, max({c}) hi{d}" for d, c in enumerate(columns))

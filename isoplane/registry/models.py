@@ -8,7 +8,7 @@ from isoplane.functions.kernels import kernel_column, kernel_profile, squared_di
 from isoplane.functions.scalars import band, rounded
 from isoplane.operators import grids, profiling, replicates, scaling
 from isoplane.operators.encoding import category_combos
-from isoplane.plans import frames, gp, models, search
+from isoplane.plans import frames, gp, models, requests, search
 from isoplane.registry import gpsql, query
 from isoplane.registry.shared import shown, table
 from isoplane.spec import AnalysisSpec, KernelConfig
@@ -209,6 +209,19 @@ def gp_metrics(spark, sf):
     return models.training_metrics(row_model(spark, sf), lineitem(spark, sf))
 
 
+@query("replicate_metrics", gpsql.statement(
+    gpsql.replicate_points(PAIR), gpsql.solved("matern32", 2), gpsql.at_conditions(2), gpsql.predicted("matern32", 2),
+    "v as (select mu as y, mean * ys + ym as f from g join f on g.i = f.pid, nm)",
+    select="""select round(1 - sum(pow(y - f, 2)) / (count(*) * var_pop(y)), 4) + 0.0 as r2,
+        round(avg(abs(y - f)), 4) + 0.0 as mae, round(sqrt(avg(pow(y - f, 2))), 4) + 0.0 as rmse from v"""))
+def replicate_metrics(spark, sf):
+    request = {"mode": "std", "std_num_cols": PAIR, "measurement_col": TARGET, "std_noise": "sem",
+               "std_kernel_config": {"kernel_type": "matern", "nu": 1.5}}
+    df = lineitem(spark, sf)
+    fitted = requests.fit_request(df, request, tune=False)
+    return requests.response_table(fitted, df).select("r2", "mae", "rmse")
+
+
 def _fitted_sql(points, kind="matern32", scale="1.0", shift="0.0"):
     return gpsql.statement(
         points, gpsql.solved(kind, 2), gpsql.at_conditions(2), gpsql.predicted(kind, 2),

@@ -22,7 +22,7 @@ def test_one_hot(cats):
 
 
 def test_too_many_levels(cats):
-    with pytest.raises(ValueError, match="more than 2 levels"):
+    with pytest.raises(ValueError, match="levels in"):
         enc.one_hot(cats, ["x"], max_levels=2)
 
 

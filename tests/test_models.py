@@ -328,3 +328,28 @@ def test_gram_sums_do_not_depend_on_partitions(spark):
     for parts in (1, 13):
         (gram, b), = sparse.gram_sums(df.repartition(parts), ["f0", "f1"], z, [KERNELS[0].params(2)])
         assert gram == pytest.approx(2 * k.T @ k) and b == pytest.approx(2 * k.T @ y)
+
+
+def test_rows_need_no_collapse_for_inducing_points(df):
+    options = {"tune": False, "method": "sparse", "inducing": 15}
+    grouped = models.fit_model(df, ROW, KERNELS[2], **options)
+    single = models.fit_model(df, ROW, KERNELS[2], collapse=False, **options)
+    assert single.solution.lml == pytest.approx(grouped.solution.lml)
+    assert single.solution.weights == pytest.approx(grouped.solution.weights, rel=1e-6)
+    with pytest.raises(ValueError, match="collapse=False"):
+        models.fit_model(df, REP, KERNELS[2], collapse=False, **options)
+
+
+def test_inducing_points_are_the_smallest_hashes(spark):
+    df = spark.range(5000).select((F.col("id") % 3000).cast("double").alias("f0"))
+    got = sparse.choose_inducing(df, ["f0"], 40)
+    want = df.distinct().orderBy(F.xxhash64("f0", F.lit(42))).limit(40).collect()
+    assert got[:, 0].tolist() == [r.f0 for r in want]
+    assert len(sparse.choose_inducing(df.limit(30), ["f0"], 40)) == 30
+    hot = df.withColumn("f0", F.when(F.col("f0") > 20, 1.0).otherwise(F.col("f0")))
+    assert len(sparse.choose_inducing(hot, ["f0"], 15)) == 15
+
+
+def test_many_conditions_warn(df):
+    with pytest.warns(UserWarning, match="inducing points"):
+        models.fit_model(df, ROW, KERNELS[2], tune=False, max_support=5)
