@@ -1,8 +1,8 @@
 """Hyperparameter search: likelihoods of many candidates, evaluated by executors.
 
-Each round deals a Latin-hypercube design over the log bounds and scores every
-candidate on a broadcast support; later rounds shrink around the best one.
-Seeded, so the same input gives the same winner.
+A Latin-hypercube design over the log bounds is scored in parallel, then the best
+starts are improved in parallel, one task each. Seeded, so the same input gives
+the same winner, and never one worse than the given kernel clipped to its bounds.
 """
 
 from collections.abc import Iterator
@@ -16,54 +16,105 @@ from isoplane.plans.gp import collapsed_likelihood, log_likelihood
 from isoplane.spec import KernelConfig
 
 CANDIDATES = 64
-ROUNDS = 4
-SHRINK = 0.35
+STARTS = 8
+MAX_STEPS = 200
+EDGE = 0.05
+SCHEMA = "candidate_id long, theta array<double>, lml double"
+
+
+def candidate_thetas(start, bounds, n: int, seed: int) -> np.ndarray:
+    """The start, then a design over the bounds; the outermost strata lie on the bounds."""
+    low, high = np.array(bounds).T
+    unit = unit_samples(np.arange(n), n, design_keys(len(low), seed))
+    unit = np.clip(unit * (1 + 2 * EDGE) - EDGE, 0, 1)
+    return np.vstack([start, low + unit * (high - low)])
 
 
 def candidate_frame(spark: SparkSession, start, bounds, n: int, seed: int) -> DataFrame:
-    """``(candidate_id, theta)`` in log units: the start as 0, then a design over the bounds."""
-    low, high = (np.array(v) for v in zip(*bounds))
-    thetas = np.vstack([start, low + unit_samples(np.arange(n), n, design_keys(len(bounds), seed)) * (high - low)])
-    rows = [(i, theta.tolist()) for i, theta in enumerate(thetas)]
+    """``(candidate_id, theta)`` in log units."""
+    rows = [(i, theta.tolist()) for i, theta in enumerate(candidate_thetas(start, bounds, n, seed))]
     return spark.createDataFrame(rows, "candidate_id long, theta array<double>")
 
 
+def _likelihood(kernel, data):
+    """Function of log parameters; a matrix that cannot be factored scores minus infinity."""
+    x, y, noise, counts, within = data
+    width = x.shape[1]
+
+    def value(theta):
+        params = kernel.with_free(width, np.exp(theta)).params(width)
+        try:
+            if counts is None:
+                return log_likelihood(params, x, y, noise)[0]
+            return collapsed_likelihood(params, x, y, counts, within, noise)[0]
+        except ValueError:
+            return -np.inf
+
+    return value
+
+
+def climb(value, theta, best, low, high, max_steps: int = MAX_STEPS):
+    """Pattern search inside the bounds (Hooke and Jeeves 1961)."""
+    step, used = (high - low) / 8, 0
+    while used < max_steps and (step > (high - low) * 1e-4).any():
+        base, here, top = theta, theta, best
+        for k in range(len(theta)):
+            for sign in (1, -1):
+                tried = here.copy()
+                tried[k] = np.clip(here[k] + sign * step[k], low[k], high[k])
+                got, used = value(tried), used + 1
+                if got > top:
+                    here, top = tried, got
+                    break
+        if top > best:
+            theta, best = here, top
+            onward = np.clip(2 * here - base, low, high)
+            got, used = value(onward), used + 1
+            if got > best:
+                theta, best = onward, got
+        else:
+            step = step / 2
+    return theta, best
+
+
 def score_candidates(candidates: DataFrame, kernel: KernelConfig, x, y, noise, counts=None,
                      within=0.0) -> DataFrame:
     """``(candidate_id, theta, lml)`` for every candidate."""
-    spark = candidates.sparkSession
-    n_features = x.shape[1]
-    shared = spark.sparkContext.broadcast((x, y, noise, counts, within))
+    shared = candidates.sparkSession.sparkContext.broadcast((x, y, noise, counts, within))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        px, py, pn, pc, pw = shared.value
+        value = _likelihood(kernel, shared.value)
+        for batch in batches:
+            yield batch.assign(lml=[value(theta) for theta in batch["theta"]])
+
+    return candidates.mapInPandas(score, SCHEMA)
+
+
+def improve_candidates(scored: DataFrame, kernel: KernelConfig, bounds, x, y, noise, counts=None,
+                       within=0.0) -> DataFrame:
+    """Scored candidates after a climb from each, one task per candidate."""
+    shared = scored.sparkSession.sparkContext.broadcast((x, y, noise, counts, within))
+    low, high = np.array(bounds).T
+
+    def improve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        value = _likelihood(kernel, shared.value)
         for batch in batches:
-            values = []
-            for theta in batch["theta"]:
-                params = kernel.with_free(n_features, np.exp(theta)).params(n_features)
-                try:
-                    values.append(log_likelihood(params, px, py, pn)[0] if pc is None
-                                  else collapsed_likelihood(params, px, py, pc, pw, pn)[0])
-                except ValueError:
-                    values.append(-np.inf)
-            yield batch.assign(lml=values)
+            ends = [climb(value, np.array(theta), lml, low, high)
+                    for theta, lml in zip(batch["theta"], batch["lml"])]
+            yield batch.assign(theta=[t.tolist() for t, _ in ends], lml=[v for _, v in ends])
 
-    return candidates.mapInPandas(score, "candidate_id long, theta array<double>, lml double")
+    return scored.mapInPandas(improve, SCHEMA)
 
 
 def search(spark: SparkSession, kernel: KernelConfig, x, y, noise, counts=None, within=0.0,
-           n: int = CANDIDATES, rounds: int = ROUNDS, seed: int = 42):
-    """Best kernel found and its likelihood; never worse than the clipped start."""
+           n: int = CANDIDATES, starts: int = STARTS, seed: int = 42):
+    """Best kernel found and its likelihood."""
+    data = (x, y, noise, counts, within)
     free = kernel.free(x.shape[1])
-    outer = np.log([b for _, _, b in free])
-    best = np.clip(np.log([v for _, v, _ in free]), outer[:, 0], outer[:, 1])
-    bounds, lml = outer, None
-    for r in range(rounds):
-        frame = candidate_frame(spark, best, bounds, n, seed + r)
-        top = score_candidates(frame, kernel, x, y, noise, counts, within).orderBy(
-            F.desc("lml"), "candidate_id").first()
-        best, lml = np.array(top.theta), top.lml
-        width = (outer[:, 1] - outer[:, 0]) * SHRINK ** (r + 1) / 2
-        bounds = np.column_stack([np.maximum(best - width, outer[:, 0]),
-                                  np.minimum(best + width, outer[:, 1])])
-    return kernel.with_free(x.shape[1], np.exp(best)), lml
+    bounds = np.log([b for _, _, b in free])
+    start = np.clip(np.log([v for _, v, _ in free]), *bounds.T)
+    scored = score_candidates(candidate_frame(spark, start, bounds, n, seed), kernel, *data)
+    first = scored.orderBy(F.desc("lml"), "candidate_id").limit(starts).repartition(starts)
+    ends = improve_candidates(first, kernel, bounds, *data).collect()
+    top = max(ends, key=lambda r: (r.lml, -r.candidate_id))
+    return kernel.with_free(x.shape[1], np.exp(top.theta)), top.lml

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from isoplane.functions.kernels import kernel_block, row_blocks
 from isoplane.plans.gp import Solution, _check_finite, cholesky, to_arrays
+from isoplane.plans.search import candidate_thetas
 from isoplane.spec import KernelConfig
 
 INDUCING = 512
@@ -122,9 +123,7 @@ def search_sparse(support: DataFrame, features, kernel: KernelConfig, z: np.ndar
     best = np.clip(np.log([v for _, v, _ in free]), outer[:, 0], outer[:, 1])
     bounds, top = outer, -np.inf
     for r in range(rounds):
-        draw = np.random.default_rng(seed + r)
-        strata = (np.argsort(draw.random((n, len(free))), axis=0) + draw.random((n, len(free)))) / n
-        thetas = np.vstack([best, bounds[:, 0] + strata * (bounds[:, 1] - bounds[:, 0])])
+        thetas = candidate_thetas(best, bounds, n, seed + r)
         kernels = [kernel.with_free(len(features), np.exp(t)) for t in thetas]
         scores = []
         for whites in sorted({k.params(len(features))["white"] for k in kernels}):

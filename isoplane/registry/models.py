@@ -138,11 +138,19 @@ def gp_weights(spark, sf):
 SCALES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
 
 
-@query("gp_lml_candidates", gpsql.statement(
+CANDIDATE_SQL = gpsql.statement(
     gpsql.row_points(["l_discount"]), gpsql.likelihoods("matern32", SCALES), select="""
     select sol.cid as candidate_id, round(-0.5 * yw.v - 0.5 * ld - m / 2.0 * ln(2 * pi())
              - (within.n - m) / 2.0 * ln(2 * pi() * 0.05) - ssw / (2 * 0.05) - 0.5 * ln_n, 4) + 0.0 as lml
-    from sol join yw using (cid), within"""))
+    from sol join yw using (cid), within""")
+
+
+@query("gp_best_candidate", f"select * from ({CANDIDATE_SQL}) order by lml desc, candidate_id limit 1")
+def gp_best_candidate(spark, sf):
+    return gp_lml_candidates(spark, sf).orderBy(F.desc("lml"), "candidate_id").limit(1)
+
+
+@query("gp_lml_candidates", CANDIDATE_SQL)
 def gp_lml_candidates(spark, sf):
     df = scaling.scale_columns(lineitem(spark, sf), ["l_discount", TARGET])
     found = gp.condition_collapse(df, ["l_discount"], TARGET)
@@ -236,6 +244,14 @@ def gp_sparse_predict(spark, sf):
     return shown(fitted_conditions(row_model(spark, sf, method="sparse")), 6)
 
 
+@query("gp_sparse_large")
+def gp_sparse_large(spark, sf):
+    """Every setting of three inputs, through 512 inducing points."""
+    spec = AnalysisSpec(("l_quantity", *PAIR), TARGET, mode="mean")
+    model = models.fit_model(lineitem(spark, sf), spec, M32, tune=False, method="sparse")
+    return shown(fitted_conditions(model), 6)
+
+
 @query("row_response_model", _fitted_sql(gpsql.row_points(PAIR)))
 def row_response_model(spark, sf):
     return shown(fitted_conditions(row_model(spark, sf)), 6)

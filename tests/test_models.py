@@ -134,7 +134,7 @@ def test_search_improves_and_repeats(df):
 def test_start_outside_the_bounds_is_clipped(spark):
     x = np.linspace(-1, 1, 8)[:, None]
     kernel = KernelConfig(length_scale=1.0, length_scale_bounds=(2.0, 10.0))
-    best, lml = search(spark, kernel, x, np.sin(3 * x[:, 0]), 0.01 * np.ones(8), n=8, rounds=2)
+    best, lml = search(spark, kernel, x, np.sin(3 * x[:, 0]), 0.01 * np.ones(8), n=8, starts=2)
     assert 2.0 <= best.length_scale <= 10.0 and np.isfinite(lml)
     first = candidate_frame(spark, [0.5, 0.0], [(0.0, 1.0), (-1.0, 1.0)], 8, 1).toPandas()
     assert len(first) == 9 and first.candidate_id.tolist() == list(range(9))
@@ -353,3 +353,17 @@ def test_inducing_points_are_the_smallest_hashes(spark):
 def test_many_conditions_warn(df):
     with pytest.warns(UserWarning, match="inducing points"):
         models.fit_model(df, ROW, KERNELS[2], tune=False, max_support=5)
+
+
+def test_search_reaches_the_optimum(spark):
+    """Against a fine grid over both parameters; one optimum inside, one on a bound."""
+    rng = np.random.default_rng(11)
+    x = np.sort(rng.uniform(-2, 2, 25))[:, None]
+    for y, bounds in ((np.sin(2 * x[:, 0]), (0.1, 10.0)), (np.sin(6 * x[:, 0]), (2.0, 10.0))):
+        y = (y + rng.normal(0, 0.1, 25)) / 0.7
+        kernel = KernelConfig(length_scale_bounds=bounds)
+        best, lml = search(spark, kernel, x, y, 0.02 * np.ones(25))
+        grid = max(gp.log_likelihood(KernelConfig(length_scale=a, constant=c).params(1), x, y, 0.02 * np.ones(25))[0]
+                   for a in np.geomspace(*bounds, 60) for c in np.geomspace(1e-2, 1e2, 60))
+        assert lml >= grid - 1e-6
+        assert bounds[0] - 1e-9 <= best.length_scale <= bounds[1] + 1e-9
