@@ -48,7 +48,7 @@ def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
     One row group is one task however many cores are free. Only tables under
     ``max_bytes`` are moved; larger ones already come in many splits.
     """
-    if not df.inputFiles():
+    if df.isStreaming or not df.inputFiles():
         return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < max_bytes else df

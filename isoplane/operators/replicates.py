@@ -9,9 +9,14 @@ from isoplane.sources.tables import col, number, quoted
 BROADCAST_ROWS = 100_000
 
 
+STATISTICS = ("mean", "std", "count", "n_valid")
+
+
 def _usable(df, controls, block, categories):
     """Missing numeric conditions are left out; a missing category is a condition of its own."""
     keys = ([block] if block else []) + list(controls)
+    if taken := [k for k in keys if k in STATISTICS]:
+        raise ValueError(f"rename {taken}: the summary has columns of these names")
     wanted = [k for k in keys if k not in categories]
     real = [k for k in wanted if df.schema[k].dataType.typeName() in ("double", "float")]
     return keys, df.where(all_of([*(col(k).isNotNull() for k in wanted), *(~F.isnan(col(k)) for k in real)]))

@@ -17,9 +17,9 @@ def held_values(model: Model) -> dict:
     """Median of every input over the training data, raw units; dummies too."""
     if "medians" not in model.cache:
         encoded = model_conditions(model.conditions, model.spec).select(
-            *[col(c) for c in model.spec.num_cols], "count",
+            *[col(c) for c in model.spec.num_cols], "c_count",
             *[dummy_column(c, v) for c, vs in model.levels.items() for v in vs])
-        weight = "count" if model.spec.mode == "mean" else None
+        weight = "c_count" if model.spec.mode == "mean" else None
         model.cache["medians"] = exact_medians(encoded, model.controls, weight)
     return model.cache["medians"]
 
@@ -39,6 +39,11 @@ def _range_of(model, name):
     return input_range(model, name)
 
 
+def _prefixed(points: DataFrame) -> DataFrame:
+    """Grid columns out of the way of inputs that have the same name."""
+    return points.select([F.col(c).alias(f"g_{c}") for c in points.columns])
+
+
 def prediction_frame(points: DataFrame, swept: dict, medians: dict, fixed: Column | None = None) -> DataFrame:
     """Complete a grid to all model inputs.
 
@@ -77,8 +82,8 @@ def curve_1d(model: Model, x_var: str, n: int = grids.N_CURVE, unscale_std: bool
     """
     spec = model.spec
     lo, hi = _range_of(model, x_var)
-    points = grids.grid_1d_by_combo(combo_frame(model), lo, hi, n, x_var in spec.log_cols)
-    inputs = prediction_frame(points, {x_var: "x"}, held_values(model), F.col("fixed"))
+    points = _prefixed(grids.grid_1d_by_combo(combo_frame(model), lo, hi, n, x_var in spec.log_cols))
+    inputs = prediction_frame(points, {x_var: "g_x"}, held_values(model), F.col("g_fixed"))
     scored = predict_rows(model, inputs, unscale=False, mean="p_mean", std="p_std", encoded=True)
     if unscale_plan(spec.mode, spec.statistic, unscale_std)["curve"]:
         mean = model.unscale(F.col("p_mean"))
@@ -86,16 +91,17 @@ def curve_1d(model: Model, x_var: str, n: int = grids.N_CURVE, unscale_std: bool
             mean = mean + F.lit(model.scalers[spec.target][0])
         scored = scored.withColumns({"p_mean": mean, "p_std": model.unscale(F.col("p_std"), spread=True)})
     lower, upper = band(F.col("p_mean"), F.col("p_std"))
-    return scored.select("combo_id", "combo", "point_id", "x", F.col("p_mean").alias("mean"),
-                         lower.alias("lower"), upper.alias("upper"), F.lit(_label(model)).alias("label"))
+    shown = [F.col(f"g_{c}").alias(c) for c in ("combo_id", "combo", "point_id", "x")]
+    return scored.select(*shown, F.col("p_mean").alias("mean"), lower.alias("lower"),
+                         upper.alias("upper"), F.lit(_label(model)).alias("label"))
 
 
 def _training_points(model: Model, df: DataFrame | None) -> DataFrame:
-    """Inputs in raw units and the trained value ``y`` in raw units."""
+    """Inputs and the trained value ``t_value``, both in raw units."""
     spec = model.spec
     if spec.mode == "std":
         return model_conditions(model.conditions, spec).withColumn(
-            "y", F.col("mean") if spec.statistic == "mean" else F.col("std"))
+            "t_value", F.col("c_mean") if spec.statistic == "mean" else F.col("c_std"))
     if df is None:
         raise ValueError("row mode needs the raw table")
     return model_rows(df, spec)
@@ -113,23 +119,22 @@ def scatter_1d(model: Model, x_var: str, df: DataFrame | None = None, unscale_st
     """``combo_id, combo, x, y``: every point under "All" and under its own combination."""
     spec = model.spec
     shown = unscale_plan(spec.mode, spec.statistic, unscale_std)["curve"]
-    points = _training_points(model, df).withColumn("y", _shown(model, F.col("y"), shown))
+    value = _shown(model, F.col("t_value"), shown).alias("y")
+    points = _training_points(model, df)
     if not spec.cat_cols:
         return points.select(F.lit(0).alias("combo_id"), F.lit(None).cast("string").alias("combo"),
-                             col(x_var).alias("x"), "y")
-    spark = model.conditions.sparkSession
-    names = spark.createDataFrame([(c["combo_id"], c["label"]) for c in model.combos],
-                                  "combo_id int, combo string")
+                             col(x_var).alias("x"), value)
+    names = model.conditions.sparkSession.createDataFrame(
+        [(c["combo_id"], c["label"]) for c in model.combos], "l_id int, l_label string")
     parts = []
     for c in spec.cat_cols:
-        shown_text = F.initcap(col(c).cast("string")) if points.schema[c].dataType.simpleString() == "boolean" \
-            else col(c).cast("string")
-        parts.append(F.concat(F.lit(f"{c}="), F.coalesce(shown_text, F.lit(text_of(None)))))
-    own = points.withColumn("combo", F.concat_ws(", ", *parts)).join(F.broadcast(names), "combo")
-    both = F.explode(F.array(
-        F.struct(F.lit(0).alias("combo_id"), F.lit("All").alias("combo")),
-        F.struct(F.col("combo_id"), F.col("combo")))).alias("c")
-    return own.select(both, col(x_var).alias("x"), "y").select("c.combo_id", "c.combo", "x", "y")
+        text = col(c).cast("string")
+        text = F.initcap(text) if dict(points.dtypes)[c] == "boolean" else text
+        parts.append(F.concat(F.lit(f"{c}="), F.coalesce(text, F.lit(text_of(None)))))
+    own = points.join(F.broadcast(names), F.concat_ws(", ", *parts) == F.col("l_label"))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("combo_id"), F.lit("All").alias("combo")),
+                             F.struct(F.col("l_id").alias("combo_id"), F.col("l_label").alias("combo")))).alias("c")
+    return own.select(both, col(x_var).alias("x"), value).select("c.combo_id", "c.combo", "x", "y")
 
 
 def surface_2d(model: Model, x_var: str, y_var: str, n: int = grids.N_SURFACE, unscale_std: bool = False,
@@ -138,19 +143,18 @@ def surface_2d(model: Model, x_var: str, y_var: str, n: int = grids.N_SURFACE, u
     spec = model.spec
     points = grids.grid_2d(model.conditions.sparkSession, _range_of(model, x_var), _range_of(model, y_var),
                            n, x_var in spec.log_cols, y_var in spec.log_cols)
-    points = points.withColumnsRenamed({"x": "g_x", "y": "g_y"})
-    inputs = prediction_frame(points, {x_var: "g_x", y_var: "g_y"}, held_values(model))
+    inputs = prediction_frame(_prefixed(points), {x_var: "g_x", y_var: "g_y"}, held_values(model))
     scored = predict_rows(model, inputs, unscale=False, mean="p_mean", std="p_std", encoded=True)
     plan = unscale_plan(spec.mode, spec.statistic, unscale_std)
     std = model.unscale(F.col("p_std"), spread=True) if plan["uncertainty"] else F.col("p_std")
-    return scored.select("point_id", F.col("g_x").alias("x"), F.col("g_y").alias("y"),
+    return scored.select(F.col("g_point_id").alias("point_id"), F.col("g_x").alias("x"), F.col("g_y").alias("y"),
                          clip(model.unscale(F.col("p_mean")), lo=floor).alias("mean"), std.alias("std"))
 
 
 def scatter_2d(model: Model, x_var: str, y_var: str, df: DataFrame | None = None,
                exponentiate: bool = False) -> DataFrame:
     """``x, y, z`` of the training data, original units; ``exponentiate`` for a logged target."""
-    z = F.exp("y") if exponentiate else F.col("y")
+    z = F.exp("t_value") if exponentiate else F.col("t_value")
     return _training_points(model, df).select(col(x_var).alias("x"), col(y_var).alias("y"), z.alias("z"))
 
 

@@ -64,48 +64,48 @@ def _transformed(name: str, spec: AnalysisSpec) -> Column:
 
 
 def model_rows(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
-    """The columns a model uses, numerics as doubles, the target as ``y``."""
+    """The columns a model uses, numerics as doubles, the target as ``t_value``."""
     return df.select(*[number(c).alias(c) for c in spec.num_cols], *[col(c) for c in spec.cat_cols],
-                     number(spec.target).alias("y"))
+                     number(spec.target).alias("t_value"))
 
 
 def condition_table(df: DataFrame, spec: AnalysisSpec, collapse: bool = True) -> DataFrame:
     """One row per distinct raw input setting, missing ones included.
 
-    ``mean``, ``std``, ``within`` (sum of squares around the mean), ``count`` rows
-    and ``n_valid`` measurements. The only step that reads the raw rows. Without
+    ``c_mean``, ``c_std``, ``c_within`` (sum of squares around the mean), ``c_count``
+    rows and ``c_valid`` measurements. The only step that reads the raw rows. Without
     ``collapse`` every row is its own setting.
     """
     keys = [*spec.num_cols, *spec.cat_cols]
     require_columns(df, keys, spec.target)
-    y = F.col("y")
+    y = F.col("t_value")
     if not collapse:
         return model_rows(df, spec).select(
-            *[col(k) for k in keys], y.alias("mean"), F.lit(None).cast("double").alias("std"),
-            F.lit(0.0).alias("within"), F.lit(1).cast("bigint").alias("count"),
-            y.isNotNull().cast("bigint").alias("n_valid"))
+            *[col(k) for k in keys], y.alias("c_mean"), F.lit(None).cast("double").alias("c_std"),
+            F.lit(0.0).alias("c_within"), F.lit(1).cast("bigint").alias("c_count"),
+            y.isNotNull().cast("bigint").alias("c_valid"))
     return model_rows(df, spec).groupBy([col(k) for k in keys]).agg(
-        F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"),
-        F.coalesce(F.var_pop(y) * F.count(y), F.lit(0.0)).alias("within"),
-        F.count(F.lit(1)).alias("count"), F.count(y).alias("n_valid"))
+        F.avg(y).alias("c_mean"), F.stddev_samp(y).alias("c_std"),
+        F.coalesce(F.var_pop(y) * F.count(y), F.lit(0.0)).alias("c_within"),
+        F.count(F.lit(1)).alias("c_count"), F.count(y).alias("c_valid"))
 
 
 def scalers_from_conditions(conditions: DataFrame, spec: AnalysisSpec) -> dict:
     """Population mean and std over the raw rows, from their summary."""
-    w = F.col("count")
+    w = F.col("c_count")
     values = {f"x{i}": _transformed(c, spec) for i, c in enumerate(spec.num_cols)}
     centres = conditions.agg(F.struct(
         *[(F.sum(v * w) / F.sum(F.when(v.isNotNull(), w))).alias(n) for n, v in values.items()],
-        (F.sum(F.col("mean") * F.col("n_valid")) / F.sum("n_valid")).alias("y")).alias("row")).scalar()
+        (F.sum(F.col("c_mean") * F.col("c_valid")) / F.sum("c_valid")).alias("y")).alias("row")).scalar()
     bad = [F.count_if(col(c) <= 0).alias(f"bad{i}") for i, c in enumerate(spec.num_cols)
            if c in spec.log_cols]
-    off = F.col("mean") - centres["y"]
+    off = F.col("c_mean") - centres["y"]
     row = conditions.agg(
         F.max(centres).alias("centre"), *bad,
         *[F.when(F.min(v) == F.max(v), 1.0).otherwise(F.sqrt(
             F.sum((v - centres[n]) * (v - centres[n]) * w) / F.sum(F.when(v.isNotNull(), w)))).alias(n)
           for n, v in values.items()],
-        F.sqrt(F.sum(F.col("within") + F.col("n_valid") * off * off) / F.sum("n_valid")).alias("y")).first()
+        F.sqrt(F.sum(F.col("c_within") + F.col("c_valid") * off * off) / F.sum("c_valid")).alias("y")).first()
     wrong = [c for i, c in enumerate(spec.num_cols) if c in spec.log_cols and row[f"bad{i}"]]
     if wrong:
         raise ValueError(f"log columns hold values that are not positive: {wrong}")
@@ -127,26 +127,26 @@ def model_conditions(conditions: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """
     known = all_of(col(c).isNotNull() for c in spec.num_cols)
     if spec.mode == "std":
-        return conditions.where(known & (F.col("count") >= 2))
+        return conditions.where(known & (F.col("c_count") >= 2))
     return conditions
 
 
 def _support(conditions: DataFrame, spec: AnalysisSpec, scalers, levels, noise, constant):
     """Support points in model units: features ``f0..``, ``y``, ``noise``, ``count``, ``within``."""
     mean, scale = scalers[spec.target]
-    value = (F.col("mean") - F.lit(mean)) / F.lit(scale)
-    spread = F.col("std") / F.lit(scale)
+    value = (F.col("c_mean") - F.lit(mean)) / F.lit(scale)
+    spread = F.col("c_std") / F.lit(scale)
     dummies = [dummy_column(c, v).cast("double") for c, vs in levels.items() for v in vs]
     inputs = [scaled(_transformed(c, spec), scalers[c]) for c in spec.num_cols] + dummies
     named = [x.alias(f"f{i}") for i, x in enumerate(inputs)]
     if spec.mode == "std":
         y = value if spec.statistic == "mean" else spread
-        points = conditions.select(*named, y.alias("y"), spread.alias("std"), "count").withColumn(
+        points = conditions.select(*named, y.alias("y"), spread.alias("std"), F.col("c_count").alias("count")).withColumn(
             "noise", gp.noise_column(noise, constant)).withColumn("within", F.lit(0.0))
     else:
         points = conditions.select(
-            *named, value.alias("y"), F.lit(float(constant)).alias("noise"), "count",
-            (F.col("within") / F.lit(scale * scale)).alias("within"), "n_valid")
+            *named, value.alias("y"), F.lit(float(constant)).alias("noise"), F.col("c_count").alias("count"),
+            (F.col("c_within") / F.lit(scale * scale)).alias("within"), F.col("c_valid").alias("n_valid"))
     return points, [f"f{i}" for i in range(len(inputs))]
 
 
@@ -268,13 +268,13 @@ def training_frame(model: Model, df: DataFrame | None = None) -> DataFrame:
                           mean="predicted", std="p_std")
     mean, scale = model.scalers[spec.target]
     if spec.mode == "std":
-        value = (F.col("mean") - mean) / scale if spec.statistic == "mean" else F.col("std") / scale
+        value = (F.col("c_mean") - mean) / scale if spec.statistic == "mean" else F.col("c_std") / scale
         return fitted.select(value.alias("observed"), "predicted")
     if df is None:
         raise ValueError("row mode needs the raw table")
     keys = [*spec.num_cols, *spec.cat_cols]
-    joined = join_conditions(model_rows(df, spec), fitted, keys, ["predicted"])
-    return joined.select(((F.col("y") - mean) / scale).alias("observed"), "predicted")
+    joined = join_conditions(model_rows(df, spec), fitted, keys, ["predicted"], "c_count")
+    return joined.select(((F.col("t_value") - mean) / scale).alias("observed"), "predicted")
 
 
 def training_metrics(model: Model, df: DataFrame | None = None, digits: int | None = 4,

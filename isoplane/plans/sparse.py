@@ -17,6 +17,7 @@ from isoplane.plans.search import candidate_thetas
 from isoplane.spec import KernelConfig
 
 INDUCING = 512
+GRAM_TASKS = 2_048
 
 
 def choose_inducing(support: DataFrame, features, n: int = INDUCING, seed: int = 42) -> np.ndarray:
@@ -61,8 +62,9 @@ def gram_sums(support: DataFrame, features, z: np.ndarray, param_sets: list[dict
             yield pd.DataFrame({"s": s, "i": np.arange(m),
                                 "v": [total[i, i:] for i in range(m)]})
 
+    # Few enough tasks that their triangles stay small next to the support itself.
     parts = support.select(*features, F.col(weight).alias("w"), "y").coalesce(
-        2 * spark.sparkContext.defaultParallelism)
+        max(2 * spark.sparkContext.defaultParallelism, GRAM_TASKS))
     cells = parts.mapInPandas(reduce_part, "s int, i int, v array<double>").select(
         "s", "i", F.posexplode("v").alias("k", "v"))
     out = np.zeros((len(param_sets), m, m + 1))

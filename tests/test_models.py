@@ -367,3 +367,25 @@ def test_search_reaches_the_optimum(spark):
                    for a in np.geomspace(*bounds, 60) for c in np.geomspace(1e-2, 1e2, 60))
         assert lml >= grid - 1e-6
         assert bounds[0] - 1e-9 <= best.length_scale <= bounds[1] + 1e-9
+
+
+def test_inputs_named_like_our_own_columns(spark, pdf):
+    """Features and targets may carry any name, spaces, dots and ours included."""
+    plain = spark.createDataFrame(pdf)
+    odd = plain.toDF("x", "y", "mean", "lambda max. (nm)")
+    spec = AnalysisSpec(("x", "y"), "lambda max. (nm)", ("mean",), mode="mean", log_cols=("y",))
+    for one, other in ((ROW, spec), (REP, AnalysisSpec(spec.num_cols, spec.target, spec.cat_cols, log_cols=("y",), noise="sem"))):
+        a, b = models.fit_model(plain, one, KERNELS[2], tune=False), models.fit_model(odd, other, KERNELS[2], tune=False)
+        assert a.solution.lml == pytest.approx(b.solution.lml)
+        assert [tuple(r) for r in models.training_metrics(a, plain).collect()] == [tuple(r) for r in models.training_metrics(b, odd).collect()]
+        ca, cb = frames.curve_1d(a, "b", 9).toPandas(), frames.curve_1d(b, "y", 9).toPandas()
+        assert cb["mean"].to_numpy() == pytest.approx(ca["mean"].to_numpy())
+        sa, sb = frames.surface_2d(a, "a", "b", 5).toPandas(), frames.surface_2d(b, "x", "y", 5).toPandas()
+        assert sb["std"].to_numpy() == pytest.approx(sa["std"].to_numpy())
+        assert frames.scatter_1d(b, "x", odd).count() == frames.scatter_1d(a, "a", plain).count()
+        assert frames.scatter_2d(b, "x", "y", odd).columns == ["x", "y", "z"]
+    counts = AnalysisSpec(("count", "std", "within"), "n_valid", mode="mean")
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.integers(0, 3, (40, 4))], "count double, std double, within double, n_valid double")
+    model = models.fit_model(df, counts, KERNELS[0], tune=False)
+    assert models.predict_rows(model, df).count() == 40 and frames.curve_1d(model, "count", 4).count() == 4

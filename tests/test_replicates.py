@@ -98,3 +98,15 @@ def test_hot_and_cold_conditions_meet(spark, monkeypatch):
 
     assert sorted(map(key, whole.collect())) == sorted(map(key, split.collect()))
     assert split.count() == 3000
+
+
+def test_reserved_names(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "mean double, y double")
+    with pytest.raises(ValueError, match="rename"):
+        rep.replicate_groups(df, ["mean"], "y")
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, nan), (1.0, 4.0), (nan, 1.0), (nan, 2.0)], "x double, y double")
+    assert [tuple(r) for r in rep.replicate_groups(df, ["x"], "y").collect()] == [(1.0, 3.0, pytest.approx(2 ** 0.5), 3, 2)]
