@@ -26,8 +26,12 @@ def clip(value: Column, lo=None, hi=None) -> Column:
 
 
 def rounded(value: Column, digits: int) -> Column:
-    """Rounded, without negative zero."""
-    return F.round(value, digits) + F.lit(0.0)
+    """Rounded half away from zero in floating point, without negative zero.
+
+    Stays in generated code; the built-in goes through decimals.
+    """
+    unit = F.lit(10.0 ** digits)
+    return F.signum(value) * F.floor(F.abs(value) * unit + 0.5) / unit + F.lit(0.0)
 
 
 def all_of(conditions) -> Column:

@@ -107,12 +107,12 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         "bin", edge(i).alias("lo"), edge(i + 1).alias("hi"), F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def equal_bands(df: DataFrame, column: str, levels: int = 40) -> DataFrame:
+def equal_bands(df: DataFrame, column: str, levels: int = 40, name: str = "band") -> DataFrame:
     """Each row's contour band 1..levels on a column, equal width."""
     row = range_row(df, [column])
     flat = row["lo0"] == row["hi0"]
     bucket = F.width_bucket(number(column), row["lo0"], row["hi0"], F.lit(levels))
-    return df.withColumn("band", F.when(flat, 1).otherwise(F.least(bucket, F.lit(levels))).cast("int"))
+    return df.withColumn(name, F.when(flat, 1).otherwise(F.least(bucket, F.lit(levels))).cast("int"))
 
 
 def parameter_correlation(df: DataFrame, parameters, score: str) -> DataFrame:

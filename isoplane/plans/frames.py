@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from isoplane.functions.scalars import band, clip
 from isoplane.operators import grids
 from isoplane.operators.encoding import dummy_column, dummy_names, text_of, with_all
-from isoplane.operators.profiling import exact_medians
+from isoplane.operators.profiling import equal_bands, exact_medians
 from isoplane.plans.models import Model, model_conditions, model_rows, predict_rows
 from isoplane.sources.tables import col
 from isoplane.spec import unscale_plan
@@ -151,6 +151,11 @@ def surface_2d(model: Model, x_var: str, y_var: str, n: int = grids.N_SURFACE, u
                          clip(model.unscale(F.col("p_mean")), lo=floor).alias("mean"), std.alias("std"))
 
 
+def surface_bands(surface: DataFrame, levels: int = 40) -> DataFrame:
+    """A surface with the contour band of its mean and of its uncertainty."""
+    return equal_bands(equal_bands(surface, "mean", levels, "mean_band"), "std", levels, "std_band")
+
+
 def scatter_2d(model: Model, x_var: str, y_var: str, df: DataFrame | None = None,
                exponentiate: bool = False) -> DataFrame:
     """``x, y, z`` of the training data, original units; ``exponentiate`` for a logged target."""

@@ -58,6 +58,16 @@ def cholesky(a: np.ndarray):
     raise ValueError("the covariance matrix is not positive definite")
 
 
+def forward(lower: np.ndarray, b: np.ndarray, block: int = 64) -> np.ndarray:
+    """Solve ``lower z = b`` by blocks of rows."""
+    z = b.astype(float)
+    for at in range(0, len(z), block):
+        rows = slice(at, at + block)
+        z[rows] -= lower[rows, :at] @ z[:at]
+        z[rows] = np.linalg.solve(lower[rows, rows], z[rows])
+    return z
+
+
 def _check_finite(*arrays):
     if not all(np.isfinite(a).all() for a in arrays):
         raise ValueError("model inputs hold missing or infinite values")
@@ -66,7 +76,7 @@ def _check_finite(*arrays):
 def log_likelihood(params, x, y, noise):
     """Log marginal likelihood and the factor it came from."""
     lower, jitter = cholesky(kernel_block(params, x, x) + np.diag(noise + params["white"]))
-    z = np.linalg.solve(lower, y)
+    z = forward(lower, y)
     lml = -0.5 * z @ z - np.log(np.diag(lower)).sum() - 0.5 * len(y) * np.log(2 * np.pi)
     return float(lml), lower, z, jitter
 
@@ -79,7 +89,7 @@ def collapsed_likelihood(params, x, y, counts, within, constant):
     """
     row_noise = constant + params["white"]
     lower, jitter = cholesky(kernel_block(params, x, x) + np.diag(row_noise / counts))
-    z = np.linalg.solve(lower, y)
+    z = forward(lower, y)
     lml = -0.5 * z @ z - np.log(np.diag(lower)).sum() - 0.5 * len(y) * np.log(2 * np.pi)
     rows = counts.sum()
     lml -= 0.5 * ((rows - len(y)) * np.log(2 * np.pi * row_noise) + within / row_noise
@@ -99,7 +109,7 @@ def solve(kernel: KernelConfig, x, y, noise, counts=None, within=0.0, y_mean=Non
     else:
         lml, lower, z, jitter = collapsed_likelihood(
             params, x, target, counts, within / y_scale ** 2, noise)
-    inverse = np.linalg.solve(lower, np.eye(len(x)))
+    inverse = forward(lower, np.eye(len(x)))
     return Solution(x, inverse.T @ z, inverse.T.copy(), None, params, y_mean, y_scale, lml, jitter)
 
 

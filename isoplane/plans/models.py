@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from isoplane.cluster import materialize, spread
+from isoplane.cluster import collect_bounded, materialize, spread
 from isoplane.functions.scalars import all_of
 from isoplane.operators.encoding import combo_levels, dummy_column, dummy_names, observed_combos
 from isoplane.operators.profiling import fit_metrics
@@ -45,11 +45,8 @@ class Model:
 
     def inputs(self, encoded: bool = False) -> list[Column]:
         """Scaled features of raw columns; ``encoded`` rows carry dummy columns already."""
-        numeric = [scaled(_transformed(c, self.spec), self.scalers[c]) for c in self.spec.num_cols]
-        dummies = [col(d) if encoded else None for d in dummy_names(self.levels)]
-        if not encoded:
-            dummies = [dummy_column(c, v) for c, values in self.levels.items() for v in values]
-        return numeric + [d.cast("double") for d in dummies]
+        inputs = _features(self.spec, self.scalers, {} if encoded else self.levels)
+        return inputs + [col(d).cast("double") for d in dummy_names(self.levels) if encoded]
 
     def unscale(self, value: Column, spread: bool = False) -> Column:
         """Original target units; a modelled replicate spread has no shift."""
@@ -131,14 +128,22 @@ def model_conditions(conditions: DataFrame, spec: AnalysisSpec) -> DataFrame:
     return conditions
 
 
-def _support(conditions: DataFrame, spec: AnalysisSpec, scalers, levels, noise, constant):
-    """Support points in model units: features ``f0..``, ``y``, ``noise``, ``count``, ``within``."""
+def _features(spec: AnalysisSpec, scalers, levels) -> list[Column]:
+    """Model inputs of raw columns as ``f0, f1, ...``."""
+    inputs = [scaled(_transformed(c, spec), scalers[c]) for c in spec.num_cols]
+    inputs += [dummy_column(c, v).cast("double") for c, vs in levels.items() for v in vs]
+    return [x.alias(f"f{i}") for i, x in enumerate(inputs)]
+
+
+def _support(conditions: DataFrame, spec: AnalysisSpec, scalers, levels, noise, constant, seed):
+    """Support points in model units: features ``f0..``, ``y``, ``noise``, ``count``, ``within``
+    and a hash ``key`` of the raw setting."""
     mean, scale = scalers[spec.target]
+    conditions = conditions.withColumn(
+        "c_key", F.xxhash64(*[col(c) for c in [*spec.num_cols, *spec.cat_cols]], F.lit(seed)))
     value = (F.col("c_mean") - F.lit(mean)) / F.lit(scale)
     spread = F.col("c_std") / F.lit(scale)
-    dummies = [dummy_column(c, v).cast("double") for c, vs in levels.items() for v in vs]
-    inputs = [scaled(_transformed(c, spec), scalers[c]) for c in spec.num_cols] + dummies
-    named = [x.alias(f"f{i}") for i, x in enumerate(inputs)]
+    named = [*_features(spec, scalers, levels), F.col("c_key").alias("key")]
     if spec.mode == "std":
         y = value if spec.statistic == "mean" else spread
         points = conditions.select(*named, y.alias("y"), spread.alias("std"), F.col("c_count").alias("count")).withColumn(
@@ -147,7 +152,7 @@ def _support(conditions: DataFrame, spec: AnalysisSpec, scalers, levels, noise,
         points = conditions.select(
             *named, value.alias("y"), F.lit(float(constant)).alias("noise"), F.col("c_count").alias("count"),
             (F.col("c_within") / F.lit(scale * scale)).alias("within"), F.col("c_valid").alias("n_valid"))
-    return points, [f"f{i}" for i in range(len(inputs))]
+    return points, [c for c in points.columns if c[0] == "f"]
 
 
 def _reject_incomplete(points: DataFrame, features, mode):
@@ -165,14 +170,15 @@ def _reject_incomplete(points: DataFrame, features, mode):
 
 def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = None,
               tune: bool = True, constant: float = gp.CONSTANT_NOISE, method: str = "auto",
-              max_support: int = gp.MAX_SUPPORT, inducing: int = sparse.INDUCING, seed: int = 42,
+              max_support: int = gp.MAX_SUPPORT, inducing: int | DataFrame = sparse.INDUCING, seed: int = 42,
               collapse: bool = True, conditions: DataFrame | None = None) -> Model:
     """Fit the response model of ``spec``.
 
     ``tune=False`` keeps the kernel as given. Up to ``max_support`` conditions are
     solved exactly; ``method="auto"`` warns and uses inducing points beyond that,
     ``method="exact"`` raises, so raise ``max_support`` where the driver can hold
-    the matrix. ``collapse=False`` skips the summary of equal settings: for sparse
+    the matrix. ``inducing`` is how many settings to pick, or a table of settings
+    in raw columns. ``collapse=False`` skips the summary of equal settings: for sparse
     row models whose inputs hardly ever repeat, where it would only move the rows.
     """
     if method not in ("auto", "exact", "sparse"):
@@ -187,7 +193,7 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
     combos = observed_combos(conditions, spec.cat_cols)
     levels = combo_levels(combos, spec.cat_cols)
     trained = model_conditions(conditions, spec)
-    points, features = _support(trained, spec, scalers, levels, spec.noise, constant)
+    points, features = _support(trained, spec, scalers, levels, spec.noise, constant, seed)
     by_row = spec.mode == "mean"
     values = ["y", "noise", "count", "within"] + (["n_valid"] if by_row else [])
     rows = [] if method == "sparse" else points.select(*features, *values).limit(max_support + 1).collect()
@@ -195,7 +201,7 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
     if method == "exact" and not small:
         raise ValueError(f"more than {max_support} conditions; raise max_support or use method='sparse'")
     if method == "auto" and not small:
-        warnings.warn(f"more than {max_support} conditions: fitting through {inducing} inducing points",
+        warnings.warn(f"more than {max_support} conditions: fitting through inducing points",
                       stacklevel=2)
     if small:
         x, y, noise, counts, within, *valid = gp.to_arrays(rows, features, *values)
@@ -223,7 +229,11 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
             row = points.agg(F.avg("y"), F.stddev_pop("y")).first()
             y_mean, y_scale = row[0], row[1] or 1.0
             points = points.withColumn("y", (F.col("y") - y_mean) / y_scale)
-        z = sparse.choose_inducing(points, features, inducing, seed)
+        if isinstance(inducing, DataFrame):
+            given = collect_bounded(inducing.select(*_features(spec, scalers, levels)), max_support, "inducing points")
+            z = gp.to_arrays(given, features)[0]
+        else:
+            z = sparse.choose_inducing(points, features, inducing, seed, "key")
         if tune:
             kernel, _ = sparse.search_sparse(points, features, kernel, z[:sparse.INDUCING // 4], by_row, seed=seed)
         solution = sparse.solve_sparse(points, features, kernel, z, by_row, y_mean, y_scale)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from isoplane.functions.kernels import kernel_block, row_blocks
-from isoplane.plans.gp import Solution, _check_finite, cholesky, to_arrays
+from isoplane.plans.gp import Solution, _check_finite, cholesky, forward, to_arrays
 from isoplane.plans.search import candidate_thetas
 from isoplane.spec import KernelConfig
 
@@ -20,18 +20,21 @@ INDUCING = 512
 GRAM_TASKS = 2_048
 
 
-def choose_inducing(support: DataFrame, features, n: int = INDUCING, seed: int = 42) -> np.ndarray:
+def choose_inducing(support: DataFrame, features, n: int = INDUCING, seed: int = 42, key: str | None = None) -> np.ndarray:
     """The n distinct support points with the smallest keyed hash: a repeatable spread-out sample.
 
-    Only points under a hash limit are compared with each other; the limit starts
-    where about 8 n points are expected and widens until n are found.
+    ``key`` is a column hashed from raw settings, which rounding in the scaled
+    features cannot change. Only points under a hash limit are compared with each
+    other; the limit starts where about 8 n points are expected and widens until
+    n are found.
     """
-    hashed = support.select(*features, F.xxhash64(*features, F.lit(seed)).alias("h"))
+    hashed = support.select(*features, (F.col(key) if key else F.xxhash64(*features, F.lit(seed))).alias("h"))
     share = min(1.0, 8 * n / max(support.count(), 1))
     while True:
         limit = int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1
-        low = hashed.where(F.col("h") <= F.lit(limit)).distinct()
-        rows = low.orderBy("h", *features).limit(n).select(*features).collect()
+        low = hashed.where(F.col("h") <= F.lit(limit)).groupBy("h").agg(
+            F.min(F.struct(*features)).alias("x")).orderBy("h").limit(n)
+        rows = low.select("x.*").collect()
         if len(rows) == n or share >= 1:
             return to_arrays(rows, features)[0]
         share = min(1.0, share * 16)
@@ -68,12 +71,12 @@ def gram_sums(support: DataFrame, features, z: np.ndarray, param_sets: list[dict
     cells = parts.mapInPandas(reduce_part, "s int, i int, v array<double>").select(
         "s", "i", F.posexplode("v").alias("k", "v"))
     out = np.zeros((len(param_sets), m, m + 1))
-    summed = cells.groupBy("s", "i", "k").agg(F.sum("v").alias("v")).toPandas()
-    s, i, j = (summed[c].to_numpy() for c in ("s", "i", "k"))
-    j = j + i
-    out[s, i, j] = summed["v"]
+    summed = cells.groupBy("s", "i", "k").agg(F.sum("v").alias("v")).toArrow()
+    s, i, k, v = (summed[c].to_numpy() for c in ("s", "i", "k", "v"))
+    j = i + k
+    out[s, i, j] = v
     inner = j < m
-    out[s[inner], j[inner], i[inner]] = summed["v"].to_numpy()[inner]
+    out[s[inner], j[inner], i[inner]] = v[inner]
     return [(g[:, :m], g[:, m]) for g in out]
 
 
@@ -81,7 +84,7 @@ def _from_sums(params, z, gram, b, yy, log_noise, rows):
     """Factors and likelihood of one parameter set from its sums."""
     lower_z, jitter = cholesky(kernel_block(params, z, z))
     lower_a, _ = cholesky(lower_z @ lower_z.T + gram)
-    v = np.linalg.solve(lower_a, b)
+    v = forward(lower_a, b)
     lml = -0.5 * (yy - v @ v) - np.log(np.diag(lower_a)).sum() + np.log(np.diag(lower_z)).sum()
     lml -= 0.5 * (log_noise + rows * np.log(2 * np.pi))
     return lower_z, lower_a, v, float(lml), jitter
@@ -112,7 +115,7 @@ def solve_sparse(support: DataFrame, features, kernel: KernelConfig, z: np.ndarr
     _check_finite(z, gram, b)
     lower_z, lower_a, v, lml, jitter = _from_sums(params, z, gram, b, yy, log_noise, rows)
     eye = np.eye(len(z))
-    inverse_z, inverse_a = np.linalg.solve(lower_z, eye), np.linalg.solve(lower_a, eye)
+    inverse_z, inverse_a = forward(lower_z, eye), forward(lower_a, eye)
     return Solution(z, inverse_a.T @ v, inverse_z.T.copy(), inverse_a.T.copy(), params,
                     y_mean, y_scale, lml, jitter)
 

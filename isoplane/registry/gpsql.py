@@ -75,6 +75,38 @@ def solved(kind, dims, scales=None):
     ki as (select i.i i, j.i j, a[i.i + 1][m + 1 + j.i] v from sol, g i, g j)"""
 
 
+def inverse(name, matrix):
+    """``name(i, j, v)``: the inverse of the matrix in CTE ``matrix(i, j, v)``."""
+    return f"""
+    {name}_r as (select i, list(v order by j) || list((i = j)::int::double order by j) row_ from {matrix} group by i),
+    {name}_s as (select list(row_ order by i) a, count(*) m from {name}_r),
+    {name}_g(step, m, a) as (
+      select 0, m, a from {name}_s
+      union all
+      select step + 1, m, list_transform(range(1, m + 1), lambda r:
+        case when r = step + 1 then list_transform(a[r], lambda v: v / a[r][r])
+             else list_transform(range(1, 2 * m + 1),
+                    lambda q: a[r][q] - a[r][step + 1] / a[step + 1][step + 1] * a[step + 1][q]) end)
+      from {name}_g where step < m),
+    {name} as (select i.i, j.j, a[i.i + 1][m + 1 + j.j] v from {name}_g, range(m) i(i), range(m) j(j) where step = m)"""
+
+
+def sparse_predicted(kind, dims):
+    """Inducing-point predictions ``f(pid, mean, std)`` at the support points ``g``, given ``z(i, x1..)``."""
+    return ", ".join([
+        f"kzz as (select a.i, b.i j, {kern(kind, 'a', 'b', dims)} v from z a, z b)",
+        f"kp as materialized (select g.i pid, z.i, {kern(kind, 'g', 'z', dims)} v, y, nz from g, z)",
+        """ka as (select i, j, v + gram as v from kzz join (
+             select a.i, b.i j, sum(a.v * b.v / a.nz) gram from kp a join kp b using (pid) group by all) using (i, j))""",
+        "kb as (select i, sum(v * y / nz) b from kp group by i)", inverse("zi", "kzz"), inverse("ai", "ka"),
+        "w as (select ai.i, sum(ai.v * b) w from ai join kb on kb.i = ai.j group by ai.i)",
+        "d as (select i, j, zi.v - ai.v v from zi join ai using (i, j))",
+        """f as (select pid, mean, sqrt(greatest(1 - q, 0)) std from
+             (select pid, sum(v * w) mean from kp join w using (i) group by pid) join
+             (select a.pid, sum(a.v * d.v * b.v) q from kp a join d on a.i = d.i join kp b on b.pid = a.pid and b.i = d.j
+              group by a.pid) using (pid))"""])
+
+
 def predicted(kind, dims, scales=None, with_std=True):
     """From ``p`` to ``f(pid, mean, std)`` in normalised units."""
     spread = """

@@ -244,10 +244,28 @@ def gp_sparse_predict(spark, sf):
     return shown(fitted_conditions(row_model(spark, sf, method="sparse")), 6)
 
 
-@query("gp_sparse_large")
+TRIPLE = ("l_quantity", *PAIR)
+
+
+@query("gp_sparse_large", gpsql.statement(
+    gpsql.row_points(TRIPLE), "z as (select row_number() over (order by x2, x3) - 1 i, 0.0::double x1, x2, x3 "
+    "from (select distinct x2, x3 from g))", gpsql.sparse_predicted("matern32", 3), select="""
+    select l_quantity, l_discount, l_tax, round(mean, 5) + 0.0 as pred_mean, round(std, 5) + 0.0 as pred_std
+    from g join f on g.i = f.pid"""))
 def gp_sparse_large(spark, sf):
-    """Every setting of three inputs, through 512 inducing points."""
-    spec = AnalysisSpec(("l_quantity", *PAIR), TARGET, mode="mean")
+    """Every setting of three inputs through the 99 settings of two, at the mean of the third."""
+    df = lineitem(spark, sf)
+    mean = df.agg(F.avg("l_quantity")).scalar()
+    settings = df.select(*PAIR).distinct().withColumn("l_quantity", mean)
+    spec = AnalysisSpec(TRIPLE, TARGET, mode="mean")
+    model = models.fit_model(df, spec, M32, tune=False, method="sparse", inducing=settings)
+    return shown(fitted_conditions(model), 5)
+
+
+@query("gp_sparse_sample")
+def gp_sparse_sample(spark, sf):
+    """The same settings through 512 of them, picked by hash."""
+    spec = AnalysisSpec(TRIPLE, TARGET, mode="mean")
     model = models.fit_model(lineitem(spark, sf), spec, M32, tune=False, method="sparse")
     return shown(fitted_conditions(model), 6)
 
@@ -403,20 +421,33 @@ def scatter_1d(spark, sf):
     return shown(frames.scatter_1d(model, "l_discount", df), 6, "combo_id", "combo")
 
 
-@query("surface_2d", gpsql.statement(
+SURFACE_CTES = (
     gpsql.row_points(PAIR), gpsql.solved("matern32", 2),
     """gr as (select j * 50 + i as pid, x0 + i / 49.0::double * (x1 - x0) x, y0 + j / 49.0::double * (y1 - y0) y
         from (select min(l_discount) x0, max(l_discount) x1, min(l_tax) y0, max(l_tax) y1 from lineitem),
              range(50) a(i), range(50) b(j))""",
     "p as (select pid, (x - m_l_discount) / s_l_discount x1, (y - m_l_tax) / s_l_tax x2 from gr, s)",
-    gpsql.predicted("matern32", 2), select=f"""
-    select pid::int as point_id, round(x, 8) + 0.0 as x, round(y, 8) + 0.0 as y,
-           round(greatest(mean * s_{TARGET} + m_{TARGET}, 0), 1) + 0.0 as mean, round(std, 6) + 0.0 as std
-    from gr join f using (pid), s"""))
+    gpsql.predicted("matern32", 2),
+    f"""sf as (select pid::int as point_id, x, y, greatest(mean * s_{TARGET} + m_{TARGET}, 0) as mean, std
+        from gr join f using (pid), s)""")
+
+
+@query("surface_2d", gpsql.statement(*SURFACE_CTES, select="""
+    select point_id, round(x, 8) + 0.0 as x, round(y, 8) + 0.0 as y, round(mean, 1) + 0.0 as mean,
+           round(std, 6) + 0.0 as std from sf"""))
 def surface_2d(spark, sf):
     return shown(frames.surface_2d(row_model(spark, sf), *PAIR, n=50), 1, "point_id", x=8, y=8, std=6)
 
 
+@query("surface_bands", gpsql.statement(
+    *SURFACE_CTES, "r as (select min(mean) m0, max(mean) m1, min(std) s0, max(std) s1 from sf)", select="""
+    select point_id, least(floor((mean - m0) * 40 / (m1 - m0)) + 1, 40)::int as mean_band,
+           least(floor((std - s0) * 40 / (s1 - s0)) + 1, 40)::int as std_band from sf, r"""))
+def surface_bands(spark, sf):
+    surface = frames.surface_2d(row_model(spark, sf), *PAIR, n=50)
+    return frames.surface_bands(surface).select("point_id", "mean_band", "std_band")
+
+
 @query("scatter_2d", f"select l_discount + 0.0 as x, l_tax + 0.0 as y, {TARGET} as z from lineitem")
 def scatter_2d(spark, sf):
     df = lineitem(spark, sf)
