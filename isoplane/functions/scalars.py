@@ -5,7 +5,7 @@ import operator
 
 from pyspark.sql import Column, functions as F
 
-Z95 = 1.96
+from isoplane.spec import BAND_WIDTH
 
 
 def quotient(a: Column, b: Column) -> Column:
@@ -40,4 +40,4 @@ def all_of(conditions) -> Column:
 
 def band(mean: Column, std: Column) -> tuple[Column, Column]:
     """95 % limits around a predicted mean."""
-    return mean - Z95 * std, mean + Z95 * std
+    return mean - BAND_WIDTH * std, mean + BAND_WIDTH * std

@@ -2,8 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-N_CURVE = 300
-N_SURFACE = 100
+from isoplane.spec import CURVE_POINTS, SURFACE_POINTS
 
 
 def spaced(i: Column, n: int, lo, hi, log: bool = False) -> Column:
@@ -13,13 +12,13 @@ def spaced(i: Column, n: int, lo, hi, log: bool = False) -> Column:
     return lo * F.pow(hi / lo, share) if log else lo + share * (hi - lo)
 
 
-def grid_1d(spark: SparkSession, lo, hi, n: int = N_CURVE, log: bool = False) -> DataFrame:
+def grid_1d(spark: SparkSession, lo, hi, n: int = CURVE_POINTS, log: bool = False) -> DataFrame:
     """``(point_id, x)``."""
     return spark.range(n).select(F.col("id").cast("int").alias("point_id"),
                                  spaced(F.col("id"), n, lo, hi, log).alias("x"))
 
 
-def grid_2d(spark: SparkSession, x_range, y_range, n: int = N_SURFACE, log_x: bool = False,
+def grid_2d(spark: SparkSession, x_range, y_range, n: int = SURFACE_POINTS, log_x: bool = False,
             log_y: bool = False) -> DataFrame:
     """``(point_id, x, y)``, x varying fastest."""
     point = F.col("id")
@@ -29,7 +28,7 @@ def grid_2d(spark: SparkSession, x_range, y_range, n: int = N_SURFACE, log_x: bo
         spaced(F.floor(point / n), n, *y_range, log_y).alias("y"))
 
 
-def grid_1d_by_combo(combos: DataFrame, lo, hi, n: int = N_CURVE, log: bool = False) -> DataFrame:
+def grid_1d_by_combo(combos: DataFrame, lo, hi, n: int = CURVE_POINTS, log: bool = False) -> DataFrame:
     """The same curve grid for every row of a combination table."""
     points = combos.withColumn("point_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return points.withColumn("x", spaced(F.col("point_id"), n, lo, hi, log))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from isoplane.functions.scalars import quotient
 from isoplane.sources.tables import col, number
+from isoplane.spec import CONTOUR_LEVELS, TOP_ROWS
 
 MEDIAN_BINS = 4096
 
@@ -107,7 +108,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         "bin", edge(i).alias("lo"), edge(i + 1).alias("hi"), F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def equal_bands(df: DataFrame, column: str, levels: int = 40, name: str = "band") -> DataFrame:
+def equal_bands(df: DataFrame, column: str, levels: int = CONTOUR_LEVELS, name: str = "band") -> DataFrame:
     """Each row's contour band 1..levels on a column, equal width."""
     row = range_row(df, [column])
     flat = row["lo0"] == row["hi0"]
@@ -138,7 +139,7 @@ def best_row(df: DataFrame, score: str, id_col: str) -> DataFrame:
     return df.orderBy(number(score).desc_nulls_last(), col(id_col)).limit(1)
 
 
-def top_rows(df: DataFrame, score: str, id_col: str, k: int = 10) -> DataFrame:
+def top_rows(df: DataFrame, score: str, id_col: str, k: int = TOP_ROWS) -> DataFrame:
     """The k highest scores; the lowest ids win ties."""
     return df.orderBy(number(score).desc_nulls_last(), col(id_col)).limit(k)
 

@@ -10,7 +10,7 @@ from isoplane.operators.encoding import dummy_column, dummy_names, text_of, with
 from isoplane.operators.profiling import equal_bands, exact_medians
 from isoplane.plans.models import Model, model_conditions, model_rows, predict_rows
 from isoplane.sources.tables import col
-from isoplane.spec import unscale_plan
+from isoplane.spec import CONTOUR_LEVELS, CURVE_POINTS, SURFACE_POINTS, unscale_plan
 
 
 def held_values(model: Model) -> dict:
@@ -74,7 +74,7 @@ def _label(model: Model) -> str:
     return spec.target if spec.mode == "mean" or spec.statistic == "mean" else spec.statistic
 
 
-def curve_1d(model: Model, x_var: str, n: int = grids.N_CURVE, unscale_std: bool = False,
+def curve_1d(model: Model, x_var: str, n: int = CURVE_POINTS, unscale_std: bool = False,
              shift: bool = False) -> DataFrame:
     """``combo_id, combo, point_id, x, mean, lower, upper, label`` for every combination.
 
@@ -137,7 +137,7 @@ def scatter_1d(model: Model, x_var: str, df: DataFrame | None = None, unscale_st
     return own.select(both, col(x_var).alias("x"), value).select("c.combo_id", "c.combo", "x", "y")
 
 
-def surface_2d(model: Model, x_var: str, y_var: str, n: int = grids.N_SURFACE, unscale_std: bool = False,
+def surface_2d(model: Model, x_var: str, y_var: str, n: int = SURFACE_POINTS, unscale_std: bool = False,
                floor: float | None = 0.0) -> DataFrame:
     """``point_id, x, y, mean, std``; the mean in original units and not below ``floor``."""
     spec = model.spec
@@ -151,7 +151,7 @@ def surface_2d(model: Model, x_var: str, y_var: str, n: int = grids.N_SURFACE, u
                          clip(model.unscale(F.col("p_mean")), lo=floor).alias("mean"), std.alias("std"))
 
 
-def surface_bands(surface: DataFrame, levels: int = 40) -> DataFrame:
+def surface_bands(surface: DataFrame, levels: int = CONTOUR_LEVELS) -> DataFrame:
     """A surface with the contour band of its mean and of its uncertainty."""
     return equal_bands(equal_bands(surface, "mean", levels, "mean_band"), "std", levels, "std_band")
 

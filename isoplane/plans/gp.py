@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from isoplane.functions.kernels import feature_matrix, kernel_block, row_blocks
 from isoplane.sources.tables import col, number
-from isoplane.spec import KernelConfig
+from isoplane.spec import CONSTANT_NOISE, KernelConfig
 
 MAX_SUPPORT = 2_000
-CONSTANT_NOISE = 5e-2
+
 
 
 @dataclass

@@ -117,3 +117,18 @@ def parameter_importance(spark, sf):
 def top2_scatter(spark, sf):
     out = scoring.top2_scatter(_scored(spark, sf), list(PAIR))
     return shown(out.withColumn("is_best", F.col("is_best").cast("int")), 1, "is_best", p1=8, p2=8)
+
+
+@query("top10_design", gpsql.statement(*_MEAN_CTES, select=f"""
+    select sample_id, round({_clip('score')}, 1) + 0.0 as predicted from sc
+    order by {_clip('score')} desc, sample_id limit 10"""))
+def top10_design(spark, sf):
+    top = profiling.top_rows(_scored(spark, sf), "predicted", "sample_id", 10)
+    return shown(top.select("sample_id", "predicted"), 1, "sample_id")
+
+
+@query("design_summary", gpsql.statement(*_MEAN_CTES, select="""
+    select round(avg(score), 3) + 0.0 as mean, round(max(score), 3) + 0.0 as best,
+           round(min(score), 3) + 0.0 as lowest, count(*) as count from sc"""))
+def design_summary(spark, sf):
+    return shown(profiling.score_summary(_scored(spark, sf), "score"), 3, "count")

@@ -4,8 +4,23 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 
+# Fixed values of a modelling session.
 MATERN_NU = (0.5, 1.5, 2.5)
 NOISE_MODELS = ("std", "sem", "constant")
+CONSTANT_NOISE = 5e-2
+CURVE_POINTS = 300
+SURFACE_POINTS = 100
+CONTOUR_LEVELS = 40
+BAND_WIDTH = 1.96
+
+# Fixed values of the design job.
+DESIGN_SAMPLES = 300
+DESIGN_SEED = 42
+DESIGN_NOISE = 1e-6
+DESIGN_LIMITS = (0.0, 100.0)
+PARAMETER_BINS = 20
+SCORE_BINS = 30
+TOP_ROWS = 10
 
 
 def ordered_union(*lists):
@@ -23,6 +38,7 @@ def _check_bounds(name, bounds):
 class KernelConfig:
     """Covariance settings: value, search bounds and whether inputs get own scales."""
 
+    # The defaults of the settings form.
     kernel_type: str = "rbf"
     nu: float = 1.5
     ard: bool = True

@@ -389,3 +389,28 @@ def test_inputs_named_like_our_own_columns(spark, pdf):
     df = spark.createDataFrame([tuple(map(float, r)) for r in rng.integers(0, 3, (40, 4))], "count double, std double, within double, n_valid double")
     model = models.fit_model(df, counts, KERNELS[0], tune=False)
     assert models.predict_rows(model, df).count() == 40 and frames.curve_1d(model, "count", 4).count() == 4
+
+
+def test_design_job(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.uniform([60, 12, 300], [100, 24, 700], (40, 3))
+    y = 50 + 30 * np.sin((x[:, 0] - 60) / 20) + 0.5 * x[:, 1]
+    rows = [(*map(float, r), float(v)) for r, v in zip(x, y)] + [(70.0, None, 400.0, 1.0)]
+    df = spark.createDataFrame(rows, "temp double, time double, stir double, yield double")
+    path = str(tmp_path / "design.csv")
+    out = scoring.design_job(df, ["temp", "time", "stir"], "yield", {"temp": (60, 100), "time": (12, 24), "stir": (300, 700)},
+                             n=120, path=path)
+    assert out["training"].first()["count"] == 40 and out["scored"].count() == 120
+    scored = out["scored"].toPandas()
+    truth = 50 + 30 * np.sin((scored.temp - 60) / 20) + 0.5 * scored.time
+    assert np.abs(scored.score - truth).max() < 3
+    assert out["best"].first().score == scored.score.max() and out["top"].count() == 10
+    assert [r.parameter for r in out["importance"].orderBy(F.desc("correlation")).limit(1).collect()] == ["temp"]
+    assert sum(r["count"] for r in out["score_histogram"].collect()) == 120
+    bins = [r["count"] for r in out["parameter_histograms"]["stir"].collect()]
+    assert sum(bins) == 120 and set(bins) <= {5, 6, 7}
+    assert out["sorted"].count() == 120 and out["top2"].where("is_best").count() == 1
+    saved = spark.read.option("header", True).csv(path)
+    assert saved.count() == 120 and "predicted" in saved.columns and "score" not in saved.columns
+    with pytest.raises(ValueError, match="missing columns"):
+        scoring.design_job(df, ["temp", "ph"], "yield", {})

@@ -45,7 +45,7 @@ def test_blocks_split(raw):
 
 
 def test_key_digits(spark):
-    df = spark.createDataFrame([(0.09, 1.0), (0.0899999999999999, 3.0)], "x double, y double")
+    df = spark.createDataFrame([(0.07, 1.0), (0.0699999999999999, 3.0)], "x double, y double")
     assert rep.replicate_groups(df, ["x"], "y").count() == 0
     assert rep.replicate_groups(df, ["x"], "y", key_digits=6).first()["mean"] == 2.0
 

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 from isoplane.sources import tables
 
 CSV = """Experiment,well,Stock (µL),well,skip?,potassium,silver nitrate,time,flag,note,plate
-A,F02,1,F02,,0.00075,0.09,2026-03-09 16:57:09:023299,True,NA,1D
-A,F06,1,F06,,0.00025,0.0899999999999999,2026-03-09 19:37:51:382910,False,"x, y",2D
-A,F07,1,F07,,0,,3/9/26 17:44,True,None,3
+A,G01,1,G01,,0.0005,0.07,2024-01-02 10:11:12:131415,True,NA,1D
+A,G02,1,G02,,0.0015,0.0699999999999999,2024-01-02 12:13:14:151617,False,"x, y",2D
+A,G03,1,G03,,0,,2/1/24 9:08,True,None,3
 """
 
 
@@ -25,7 +25,7 @@ def test_csv_types_and_names(spark, csv_path):
         "flag": "boolean", "note": "string", "plate": "string"}
     rows = df.collect()
     assert [r["note"] for r in rows] == [None, "x, y", None]
-    assert rows[1]["silver nitrate"] == 0.0899999999999999 and rows[2]["silver nitrate"] is None
+    assert rows[1]["silver nitrate"] == 0.0699999999999999 and rows[2]["silver nitrate"] is None
     roles = tables.classify_columns(df, "potassium")
     assert roles["num_cols"] == ["Stock (µL)", "skip?", "silver nitrate"]
     assert "flag" in roles["cat_cols"] and "potassium" not in roles["cat_cols"]
