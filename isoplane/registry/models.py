@@ -8,7 +8,7 @@ from isoplane.functions.kernels import kernel_column, kernel_profile, squared_di
 from isoplane.functions.scalars import band, rounded
 from isoplane.operators import grids, profiling, replicates, scaling
 from isoplane.operators.encoding import category_combos
-from isoplane.plans import frames, gp, models, requests, search
+from isoplane.plans import blocks, frames, gp, models, requests, search
 from isoplane.registry import gpsql, query
 from isoplane.registry.shared import shown, table
 from isoplane.spec import AnalysisSpec, KernelConfig
@@ -325,7 +325,7 @@ def gp_per_block(spark, sf):
     summary = summary.select("l_returnflag", ((F.col("l_discount") - row["m0"]) / row["s0"]).alias("l_discount"),
                              ((F.col("mean") - row["m1"]) / row["s1"]).alias("mean"),
                              (F.col("std") / row["s1"]).alias("std"), "count")
-    out = models.block_models(summary, "l_returnflag", ["l_discount"], "mean", M32, noise="sem")
+    out = blocks.block_models(summary, "l_returnflag", ["l_discount"], "mean", M32, noise="sem")
     return shown(out.drop("lml"), 6, "l_returnflag")
 
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from isoplane.functions.kernels import kernel_block, kernel_column, kernel_profile, squared_distance
-from isoplane.plans import frames, gp, models, scoring, sparse
+from isoplane.plans import blocks, frames, gp, models, scoring, sparse
 from isoplane.plans.search import candidate_frame, score_candidates, search
 from isoplane.sources.models import ModelStore
 from isoplane.spec import AnalysisSpec, KernelConfig
@@ -144,7 +144,7 @@ def test_block_models(spark, pdf):
     g = pdf.groupby(["c", "a"]).y.agg(["mean", "std", "count"]).reset_index()
     df = spark.createDataFrame(g)
     for options in ({}, {"max_support": 3, "inducing": 50}):
-        got = models.block_models(df, "c", ["a"], "y", KERNELS[2], noise="sem", **options).toPandas()
+        got = blocks.block_models(df, "c", ["a"], "mean", KERNELS[2], noise="sem", **options).toPandas()
         for c, block in g.groupby("c"):
             x = block[["a"]].to_numpy()
             mean, std, lml = dense_fit(KERNELS[2], x, block["mean"].to_numpy(), (block["std"] ** 2 / block["count"]).to_numpy(), x)
@@ -414,3 +414,26 @@ def test_design_job(spark, tmp_path):
     assert saved.count() == 120 and "predicted" in saved.columns and "score" not in saved.columns
     with pytest.raises(ValueError, match="missing columns"):
         scoring.design_job(df, ["temp", "ph"], "yield", {})
+
+
+def test_large_blocks_in_chunks(spark, monkeypatch):
+    """Hot and small blocks side by side; chunks change nothing, and all points inducing is exact."""
+    rng = np.random.default_rng(6)
+    rows = [(b, float(i) / 10, float(j), float(np.sin(i / 10) + j + rng.normal(0, 0.1)), 0.1, 3)
+            for b, n in (("hot", 30), ("large", 12), ("small", 4)) for i in range(n) for j in range(2)]
+    df = spark.createDataFrame(rows, "b string, p double, q double, y double, std double, count int")
+    pdf = df.toPandas()
+
+    def fitted(**options):
+        return blocks.block_models(df, "b", ["p", "q"], "y", KERNELS[2], **options).toPandas().sort_values(["b", "p", "q"])
+
+    exact, every = fitted(), fitted(max_support=10, inducing=100)
+    assert len(every) == len(pdf) and every.columns.tolist() == exact.columns.tolist()
+    for column, tolerance in (("fit_mean", 1e-6), ("fit_std", 1e-5), ("lml", 1e-5)):
+        assert every[column].to_numpy() == pytest.approx(exact[column].to_numpy(), abs=tolerance)
+    few = fitted(max_support=10, inducing=9)
+    monkeypatch.setattr(blocks, "CHUNK_ROWS", 7)
+    for wanted, options in ((every, {"inducing": 100}), (few, {"inducing": 9})):
+        chunked = fitted(max_support=10, **options)
+        assert chunked.fit_mean.to_numpy() == pytest.approx(wanted.fit_mean.to_numpy(), abs=1e-6)
+        assert chunked.fit_std.to_numpy() == pytest.approx(wanted.fit_std.to_numpy(), abs=1e-5)
