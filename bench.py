@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from isoplane import registry  # noqa: E402
 from isoplane.operators.design import lhs_design  # noqa: E402
 from isoplane.plans import models, scoring  # noqa: E402
-from isoplane.registry.models import M32, PAIR, ROW_SPEC, STD_SPEC, TARGET  # noqa: E402
+from isoplane.registry.models import M32, PAIR, STD_SPEC, TARGET  # noqa: E402
 from isoplane.registry.shared import table  # noqa: E402
 from isoplane.spec import AnalysisSpec  # noqa: E402
 

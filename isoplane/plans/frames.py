@@ -1,12 +1,10 @@
 """The tables behind each picture: curves, surfaces and the points drawn on them."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from isoplane.functions.scalars import band, clip
 from isoplane.operators import grids
-from isoplane.operators.encoding import dummy_column, dummy_names, text_of, with_all
+from isoplane.operators.encoding import dummy_column, text_of, with_all
 from isoplane.operators.profiling import equal_bands, exact_medians
 from isoplane.plans.models import Model, model_conditions, model_rows, predict_rows
 from isoplane.sources.tables import col
