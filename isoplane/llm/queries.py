@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from isoplane.llm.exact_dedup import exact_duplicates
+from isoplane.llm.sharding import histogram_shards, uniform_key
 
 QUERIES = {}
 ORACLES = {}
@@ -31,3 +32,40 @@ def op10_exact_dedup(spark, sf_dir):
     """Equal texts of all documents; of each group the row with the largest doc_id stays."""
     return exact_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def text_or_empty():
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+@query("op4_histogram_shards", """
+    with bits as (select range as v from range(256)),
+    steps as (select v, list_reduce([v::bigint] || list_transform(range(8), lambda x: 0::bigint),
+        lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as e from bits),
+    crc as (select list(e order by v) as t from steps),
+    d as (select doc_id, text is null as nothing, coalesce(text, '') as text from documents),
+    k as (select doc_id, case when nothing then 0 else strlen(text) end + 1 as size, hex(encode(text)) as h, strlen(text) as n,
+        ('0x' || substr(sha256(text), 1, 15))::bigint as k1,
+        ('0x' || substr(sha256(coalesce(doc_id::varchar, '')), 1, 15))::bigint as k2 from d),
+    b as (select doc_id, size, k1, k2,
+        list_transform(range(0, n), lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::bigint) as bytes from k),
+    c as (select doc_id, size, k1, k2, case when len(bytes) = 0 then 0 else xor(list_reduce([4294967295::bigint] || bytes,
+        lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) end as text_crc32 from b, crc),
+    o as (select *, sum(size) over (order by k1, k2, doc_id) - size as below, sum(size) over (partition by k1) as grp,
+        row_number() over (partition by k1 order by k2, doc_id) as nth, sum(size) over () as total from c),
+    edges as (select below as e, total from o where nth = 1 or grp * 8 > total * 0.1
+        union all select distinct total, total from o),
+    cuts as (select j, arg_min(e, (abs(e * 8 - total * j), e)) as cut from edges, range(1, 8) as r(j) group by j),
+    s as (select *, (select count(*) from cuts where cut <= below)::int as shard from o)
+    select doc_id, size, text_crc32, 'bytes' as law, shard,
+        row_number() over (partition by shard order by k1, k2, doc_id) - 1 as slot, null::int as grown_shard from s""")
+def op4_histogram_shards(spark, sf_dir):
+    """All documents in eight shards of near-equal bytes, equal texts side by side."""
+    text = text_or_empty()
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        uniform_key(text).alias("k1"), uniform_key(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("k2"),
+        F.col("doc_id").alias("tie"))
+    out = histogram_shards(rows, 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+                      F.lit(None).cast("int").alias("grown_shard"))
