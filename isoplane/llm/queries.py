@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from isoplane.llm.exact_dedup import exact_duplicates
+from isoplane.llm.licenses import AGREE, BASE, NEAR, RARE, TEMPLATES, license_scan
 from isoplane.llm.sharding import histogram_shards, uniform_key
 
 QUERIES = {}
@@ -69,3 +70,49 @@ def op4_histogram_shards(spark, sf_dir):
     out = histogram_shards(rows, 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+def license_sql():
+    """Templates, phrases and rules of the scan as SQL over all words."""
+    rows = lambda items: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in items)
+    words = [(t, label, q, w) for t, (label, text, _) in enumerate(TEMPLATES) for q, w in enumerate(text.split())]
+    musts = [(t, m, k, w) for t, (_, _, ps) in enumerate(TEMPLATES) for m, p in enumerate(ps) for k, w in enumerate(p.split())]
+    base = [(label, k, w, len(p.split())) for label, p in BASE for k, w in enumerate(p.split())]
+    return f"""
+    with tw(t, label, q, w) as (values {rows(words)}), pw(t, m, k, w) as (values {rows(musts)}),
+    bw(label, k, w, n) as (values {rows(base)}),
+    vocabulary as (select w from tw union select w from pw union select w from bw),
+    lists as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+    words as (select doc_id, w, i - 1 as i from (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from lists)
+        where w in (select w from vocabulary)),
+    df as (select v.w, count(distinct doc_id) as n from vocabulary v left join words using (w) group by v.w),
+    ranked as (select t, w, row_number() over (partition by t order by n, w) as r from (select distinct t, w from tw) join df using (w)),
+    rare as (select t, w from ranked where r <= {RARE}),
+    need as (select t, greatest(1, ceil({AGREE} * count(*))) as least from rare group by t),
+    votes as (select doc_id, t, i - q as s, count(distinct w) as n from words join rare using (w) join tw using (t, w) group by all),
+    size as (select t, any_value(label) as label, count(*) as len from tw group by t),
+    looked as (select doc_id, t, s, label, len from votes join need using (t) join size using (t) where n >= least),
+    ends as (select t, m, max(k) + 1 as n from pw group by t, m),
+    phrase as (select doc_id, t, m, i - k as pos, count(*) as hits from words join pw using (w) group by all),
+    whole as (select doc_id, t, m, pos, n from phrase join ends using (t, m) where hits = n),
+    stands as (select doc_id, t, s, label, len, count(distinct m) as ms from looked join whole using (doc_id, t)
+        where pos >= greatest(s - {NEAR}, 0) and pos + n <= s + len + {NEAR} group by all),
+    accepted as (select doc_id, t, s, label, len from stands join (select t, count(*) as ms from ends group by t) using (t, ms)),
+    shares as (select doc_id, t, s, label, count(x.w) / any_value(len) as share from accepted join tw using (t, label)
+        left join (select doc_id, w, i from words) x using (doc_id, w) where x.i = s + q group by all),
+    bases as (select doc_id, label, i - k as pos from words join bw using (w) group by doc_id, label, i - k having count(*) = any_value(n)),
+    b as (select doc_id, count(*) as n, min(pos) as f, max(pos) as l, string_agg(distinct label, ',' order by label) as ls from bases group by doc_id),
+    every as (select doc_id, label from bases union select doc_id, label from accepted),
+    a as (select doc_id, string_agg(label, ',' order by label) as ls from every group by doc_id),
+    best as (select doc_id, max(share) as share from shares group by doc_id)
+    select doc_id, len(ws)::bigint as n_words, coalesce(b.n, 0) as n_base, f as first_word, l as last_word,
+        coalesce(b.ls, '') as base_labels, coalesce(a.ls, '') as labels, round(coalesce(share, 0), 6)::double as score
+    from lists left join b using (doc_id) left join a using (doc_id) left join best using (doc_id)"""
+
+
+@query("op9_license_index", license_sql())
+def op9_license_index(spark, sf_dir):
+    """Licence notices of all documents."""
+    return license_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
