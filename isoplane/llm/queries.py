@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from isoplane.llm.exact_dedup import exact_duplicates
 from isoplane.llm.licenses import AGREE, BASE, NEAR, RARE, TEMPLATES, license_scan
 from isoplane.llm.sharding import histogram_shards, uniform_key
+from isoplane.llm.url_filter import ALPHABET, HELD_OUT, ORDER, REJECTED_WORDS, RULES, SPAN, STEP, judge_urls
 
 QUERIES = {}
 ORACLES = {}
@@ -116,3 +117,58 @@ def op9_license_index(spark, sf_dir):
     """Licence notices of all documents."""
     return license_scan(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
+
+
+def url_sql():
+    """Rules, both models and the calibration of the URL filter."""
+    rules = ", ".join(f"('{v}', '{r[:r.index('/')]}', '{r[r.index('/'):]}', {len(r)}, '{r}')" for v, r in RULES)
+    words = ", ".join(f"'{w}'" for w in REJECTED_WORDS)
+    fold = []
+    for c in "ar":
+        for k in range(1, ORDER + 2):
+            before = f"select gram, 1.0::double / {ALPHABET} as p from g" if k == 1 else f"select gram, p from p{c}{k - 1}"
+            fold.append(f"p{c}{k} as (select b.gram, case when m.n{c} is null or m.n{c} = 0 then p "
+                        f"else (m.{c} + m.t{c} * p) / (m.n{c} + m.t{c}) end as p from ({before}) b "
+                        f"left join m on m.gram = b.gram and m.size = {k})")
+    crc = ("with bits as (select range as v from range(256)), steps as (select v, list_reduce([v::bigint] || "
+           "list_transform(range(8), lambda x: 0::bigint), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) "
+           "else c >> 1 end) as e from bits), crc as (select list(e order by v) as t from steps)")
+    return f"""
+    {crc},
+    rules(verdict, h, p, n, rule) as (values {rules}),
+    u as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+    x as (select *, regexp_replace(host || path, '[0-9]+', '0', 'g') as norm from u),
+    d as (select norm, bool_or(list_has_any(regexp_split_to_array(host, '[.-]'), [{words}])) as rejected from x group by norm),
+    h as (select *, hex(encode(norm)) as hx, strlen(norm) as n from d),
+    b as (select norm, rejected, list_transform(range(0, n), lambda i: ('0x' || substr(hx, (2 * i + 1)::int, 2))::bigint) as bytes from h),
+    texts as (select norm, rejected, (case when len(bytes) = 0 then 0 else xor(list_reduce([4294967295::bigint] || bytes,
+        lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) end) % {HELD_OUT} <> 0 as fit from b, crc),
+    places as (select norm, rejected, fit, '^' || norm || '$' as s, unnest(range(2, length(norm) + 3)) as i from texts),
+    grams as (select norm, rejected, fit, substr(s, greatest(1, i - {ORDER}), i - greatest(1, i - {ORDER}) + 1) as gram from places),
+    g as (select gram, count(*) filter (where fit and not rejected) as a, count(*) filter (where fit and rejected) as r from grams group by gram),
+    parts as (select gram, a, r, unnest(range(1, length(gram) + 1)) as size from g),
+    counts as (select right(gram, size) as part, sum(a) as a, sum(r) as r from parts group by 1),
+    contexts as (select left(part, length(part) - 1) as context, sum(a) as na, sum(r) as nr, count(*) filter (where a > 0) as ta,
+        count(*) filter (where r > 0) as tr from counts group by 1),
+    m as (select gram, size, c.a, c.r, na, nr, ta, tr from parts join counts c on c.part = right(gram, size)
+        join contexts on context = left(part, length(part) - 1)),
+    {', '.join(fold)},
+    ratio as (select gram, ln(r.p) - ln(a.p) as ratio from pa{ORDER + 1} a join pr{ORDER + 1} r using (gram)),
+    scored as (select norm, rejected, fit, avg(ratio) as score from grams join ratio using (gram) group by all),
+    bins as (select floor(least(greatest(score, -{SPAN}), {SPAN}) / {STEP})::bigint as bin, count(*) filter (where rejected) as r,
+        count(*) filter (where not rejected) as a from scored where not fit group by 1),
+    cum as (select bin, coalesce(lead(bin) over w, bin + 1) as nxt, sum(a) over w as a, sum(r) over w as r, sum(a) over () as aa,
+        sum(r) over () as rr from bins window w as (order by bin)),
+    gains as (select *, a * rr - r * aa as gain, (bin + 1 + nxt) / 2.0 * {STEP} as edge from cum where aa > 0 and rr > 0),
+    cut as (select coalesce((min(edge) + max(edge)) / 2, 0) as cut from gains where gain = (select max(gain) from gains)),
+    best as (select host, path, arg_max(rule, n) as rule, arg_max(verdict, n) as verdict from (select distinct host, path from x) y
+        join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by host, path)
+    select page_id, x.host, x.path, rule, coalesce(verdict, case when score > cut then 'block' else 'allow' end) as verdict
+    from x join scored using (norm) left join best on best.host = x.host and best.path = x.path, cut"""
+
+
+@query("op6_url_language_model", url_sql())
+def op6_url_language_model(spark, sf_dir):
+    """A verdict for the URL of every page."""
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
