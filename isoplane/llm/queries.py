@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from isoplane.llm.exact_dedup import exact_duplicates
 from isoplane.llm.licenses import AGREE, BASE, NEAR, RARE, TEMPLATES, license_scan
+from isoplane.llm.mixing import BLOCK_ROWS, PARTS, mixed
 from isoplane.llm.sharding import histogram_shards, uniform_key
 from isoplane.llm.url_filter import ALPHABET, HELD_OUT, ORDER, REJECTED_WORDS, RULES, SPAN, STEP, judge_urls
 
@@ -172,3 +173,41 @@ def url_sql():
 def op6_url_language_model(spark, sf_dir):
     """A verdict for the URL of every page."""
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+MIX_SQL = f"""
+    with recursive k as (select doc_id, source, ('0x' || substr(sha256(coalesce(doc_id::varchar, '')), 1, 15))::bigint as key from documents),
+    r as (select *, row_number() over (partition by source order by key, doc_id) - 1 as rank from k),
+    n as (select source, count(*) as rows, sqrt(count(*)::double) as target from documents group by source),
+    s as (select source, row_number() over (order by source nulls first) - 1 as idx, ceil(rows / {BLOCK_ROWS})::bigint as blocks,
+        greatest(1, floor(target / sum(target) over () * {PARTS} + 0.5))::bigint as parts from n),
+    w as (select *, parts / sum(parts) over () as weight from s),
+    marks as (select 0 as since union select blocks // parts from s union select ceil(blocks / parts)::bigint from s),
+    lists as (select list(parts order by idx) as ps, list(blocks order by idx) as bs from s),
+    e0 as (select since, lead(since) over (order by since) - since as rounds,
+        list_transform(range(1, len(ps) + 1), lambda i: greatest(0, least(ps[i], bs[i] - ps[i] * since))::bigint) as c from marks, lists),
+    e1 as (select *, list_sum(c)::bigint as length from e0 where list_sum(c) > 0),
+    eras as (select *, row_number() over (order by since) - 1 as era,
+        coalesce(sum(rounds * length) over (order by since rows between unbounded preceding and 1 preceding), 0)::bigint as base from e1),
+    edf as (
+        select era, c, length, 0::bigint as t, list_transform(c, lambda x: 0::bigint) as done, -1::bigint as idx, -1::bigint as nth from eras
+        union all
+        select era, c, length, t + 1, list_transform(done, lambda x, i: x + case when i = p.i then 1 else 0 end), p.i - 1, done[p.i]
+        from (select *, list_min(list_filter(list_transform(range(1, len(c) + 1), lambda i: case when done[i] < c[i]
+            and done[i] * length // c[i] <= t then {{'due': ((done[i] + 1) * length + c[i] - 1) // c[i], 'i': i}} end),
+            lambda y: y is not null)) as p from edf where t < length)),
+    slots as (select era, idx, nth, t - 1 as slot, nth * length // c[idx + 1] as release,
+        ((nth + 1) * length + c[idx + 1] - 1) // c[idx + 1] as deadline from edf where idx >= 0),
+    b as (select doc_id, r.source, idx, parts, weight, rank // {BLOCK_ROWS} as block, rank % {BLOCK_ROWS} as row
+        from r join w on r.source is not distinct from w.source)
+    select doc_id, b.source, weight::double as weight, block, base + (block // parts - since) * length + release as release,
+        base + (block // parts - since) * length + deadline as deadline, base + (block // parts - since) * length + slot as slot,
+        (base + (block // parts - since) * length + slot) * {BLOCK_ROWS} + row as place
+    from b join eras on block // parts >= since and block // parts < since + rounds
+        join slots on slots.era = eras.era and slots.idx = b.idx and nth = block % parts"""
+
+
+@query("op3_pfair_mix", MIX_SQL)
+def op3_pfair_mix(spark, sf_dir):
+    """The place of every document in a mix at the square root of its source's size."""
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
