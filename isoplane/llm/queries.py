@@ -6,6 +6,7 @@ from isoplane.llm.exact_dedup import exact_duplicates
 from isoplane.llm.licenses import AGREE, BASE, NEAR, RARE, TEMPLATES, license_scan
 from isoplane.llm.mixing import BLOCK_ROWS, PARTS, mixed
 from isoplane.llm.sharding import histogram_shards, uniform_key
+from isoplane.llm.token_files import new_folder, read_tokens, write_tokens
 from isoplane.llm.url_filter import ALPHABET, HELD_OUT, ORDER, REJECTED_WORDS, RULES, SPAN, STEP, judge_urls
 
 QUERIES = {}
@@ -211,3 +212,18 @@ MIX_SQL = f"""
 def op3_pfair_mix(spark, sf_dir):
     """The place of every document in a mix at the square root of its source's size."""
     return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def word_vocabulary():
+    """Path of the word vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_token_files")
+def op2_token_files(spark, sf_dir):
+    """Token ids of all documents, written as patched frame-of-reference pages and read back."""
+    folder = new_folder(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), word_vocabulary(), folder)
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "page_start")
