@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from isoplane.llm.decontamination import leaks
 from isoplane.llm.exact_dedup import exact_duplicates
 from isoplane.llm.licenses import AGREE, BASE, NEAR, RARE, TEMPLATES, license_scan
 from isoplane.llm.mixing import BLOCK_ROWS, PARTS, mixed
@@ -227,3 +228,9 @@ def op2_token_files(spark, sf_dir):
     folder = new_folder(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), word_vocabulary(), folder)
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "page_start")
+
+
+@query("op1_qgram_leaks")
+def op1_qgram_leaks(spark, sf_dir):
+    """Every benchmark passage in every document."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
