@@ -6,6 +6,7 @@ from isoplane.llm.decontamination import leaks
 from isoplane.llm.exact_dedup import exact_duplicates
 from isoplane.llm.licenses import AGREE, BASE, NEAR, RARE, TEMPLATES, license_scan
 from isoplane.llm.mixing import BLOCK_ROWS, PARTS, mixed
+from isoplane.llm.quality import fit_network, quality_scores
 from isoplane.llm.sharding import histogram_shards, uniform_key
 from isoplane.llm.token_files import new_folder, read_tokens, write_tokens
 from isoplane.llm.url_filter import ALPHABET, HELD_OUT, ORDER, REJECTED_WORDS, RULES, SPAN, STEP, judge_urls
@@ -234,3 +235,16 @@ def op2_token_files(spark, sf_dir):
 def op1_qgram_leaks(spark, sf_dir):
     """Every benchmark passage in every document."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUALITY_CUT = 0.7
+
+
+@query("op7_quality_network")
+def op7_quality_network(spark, sf_dir):
+    """Quality of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_network(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
+    return quality_scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).alias("predicted"))
