@@ -6,6 +6,7 @@ from isoplane.llm.decontamination import leaks
 from isoplane.llm.exact_dedup import exact_duplicates
 from isoplane.llm.licenses import AGREE, BASE, NEAR, RARE, TEMPLATES, license_scan
 from isoplane.llm.mixing import BLOCK_ROWS, PARTS, mixed
+from isoplane.llm.near_duplicates import near_duplicates
 from isoplane.llm.quality import fit_network, quality_scores
 from isoplane.llm.sharding import histogram_shards, uniform_key
 from isoplane.llm.token_files import new_folder, read_tokens, write_tokens
@@ -248,3 +249,32 @@ def op7_quality_network(spark, sf_dir):
     held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
     return quality_scores(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).alias("predicted"))
+
+
+NEAR_SQL = """
+    with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') as ws from documents),
+    s as (select doc_id, case when len(ws) = 0 then []::varchar[] when len(ws) = 1 then ws
+        else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end as sh from w),
+    sets as (select min(doc_id) as id, sh, len(sh) as n from (select doc_id, list_sort(sh) as sh from s) group by sh having len(sh) > 0),
+    members as (select doc_id, id from (select doc_id, list_sort(sh) as sh from s) x join sets using (sh)),
+    freq as (select t, count(*) as df from (select unnest(sh) as t from sets) group by t),
+    flat as (select id, n, t, row_number() over (partition by id order by df, t) as r from
+        (select id, n, unnest(sh) as t from sets) join freq using (t)),
+    prefix as (select id, n, t from flat where r <= n - ceil(0.8 * n)::bigint + 1),
+    cand as (select distinct a.id as a, b.id as b from prefix a join prefix b using (t)
+        where a.id < b.id and least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n)),
+    sims as (select a, b, x.n + y.n as total, len(list_intersect(x.sh, y.sh)) as shared
+        from cand join sets x on x.id = a join sets y on y.id = b),
+    links as (select a, b from sims where 100 * shared >= 80 * (total - shared)),
+    ways as (select a, b from links union all select b, a from links),
+    reach as (select id as node, id as root from sets union select b, root from reach join ways on a = node),
+    comp as (select node, min(root) as c from reach group by node)
+    select s.doc_id, len(sh)::bigint as n_shingles, coalesce(c, s.doc_id) as component_id, coalesce(c, s.doc_id) = s.doc_id as kept
+    from s left join members using (doc_id) left join comp on node = id"""
+
+
+@query("op5_minhash_bayes", NEAR_SQL)
+def op5_minhash_bayes(spark, sf_dir):
+    """Groups of all documents that share four fifths of their two-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, threshold=0.8)
