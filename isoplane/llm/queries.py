@@ -9,6 +9,7 @@ from isoplane.llm.mixing import BLOCK_ROWS, PARTS, mixed
 from isoplane.llm.near_duplicates import near_duplicates
 from isoplane.llm.quality import fit_network, quality_scores
 from isoplane.llm.sharding import histogram_shards, uniform_key
+from isoplane.llm.token_counts import section_tokens
 from isoplane.llm.token_files import new_folder, read_tokens, write_tokens
 from isoplane.llm.url_filter import ALPHABET, HELD_OUT, ORDER, REJECTED_WORDS, RULES, SPAN, STEP, judge_urls
 
@@ -278,3 +279,11 @@ NEAR_SQL = """
 def op5_minhash_bayes(spark, sf_dir):
     """Groups of all documents that share four fifths of their two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, threshold=0.8)
+
+
+@query("op8_section_tokens")
+def op8_section_tokens(spark, sf_dir):
+    """Tokens of every line of all documents."""
+    import public_tokenizers
+
+    return section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
