@@ -13,7 +13,8 @@ from isoplane.llm.mixing import BLOCK_ROWS, MAX_SOURCES, mixed
 from isoplane.llm.near_duplicates import near_duplicates, without_copies
 from isoplane.llm.quality import fit_network, quality_scores
 from isoplane.llm.queries import QUALITY_CUT, table, word_vocabulary
-from isoplane.llm.token_files import new_folder, read_order, read_tokens, write_tokens
+from isoplane.llm.storage import new_folder
+from isoplane.llm.token_files import read_order, read_tokens, write_tokens
 
 FILE_ROWS = 20_000
 

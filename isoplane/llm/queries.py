@@ -9,8 +9,9 @@ from isoplane.llm.mixing import BLOCK_ROWS, PARTS, mixed
 from isoplane.llm.near_duplicates import near_duplicates
 from isoplane.llm.quality import fit_network, quality_scores
 from isoplane.llm.sharding import histogram_shards, uniform_key
+from isoplane.llm.storage import new_folder
 from isoplane.llm.token_counts import section_tokens
-from isoplane.llm.token_files import new_folder, read_tokens, write_tokens
+from isoplane.llm.token_files import read_tokens, write_tokens
 from isoplane.llm.url_filter import ALPHABET, HELD_OUT, ORDER, REJECTED_WORDS, RULES, SPAN, STEP, judge_urls
 
 QUERIES = {}

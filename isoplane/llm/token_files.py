@@ -17,7 +17,6 @@ A newline follows every page.
 import json
 import re
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.errors import AnalysisException
 
-from isoplane.cluster import ensure_checkpoint_dir, materialize
+from isoplane.cluster import materialize
 
 MAGIC = b"PFR1"
 HEAD = "<4sQIIII"
@@ -40,19 +39,35 @@ CACHE = 300_000
 # Latin-1 text; all other texts, and other vocabularies, go to the library whole.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zµß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\s0-9a-zµß-öø-ÿ²³¹¼½¾]+")
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-UNUSUAL = re.compile("[^\x00-\xff]|[\x0b\x1c-\x1f\x85\xa0ªº]|<\\|")
+UNUSUAL = bytes([0x0B, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0xAA, 0xBA])
+
+
+def usual(text: str) -> bool:
+    """Latin-1 throughout, without the few characters that libraries class differently."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return len(raw.translate(None, UNUSUAL)) == len(raw) and b"<|" not in raw
 
 
 class Pieces(dict):
-    """Ids of every piece met so far, as bytes; forgotten when there are too many."""
+    """Ids of every piece met so far, as bytes; forgotten when there are too many.
+
+    A piece needs no normalising or splitting any more, so it goes straight to the merges.
+    """
 
     def __init__(self, tokenizer, kind):
-        self.tokenizer, self.kind = tokenizer, kind
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model, self.kind = tokenizer.model, kind
+        self.spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __missing__(self, piece):
         if len(self) >= CACHE:
             self.clear()
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        spelled = piece if piece.isascii() and piece.isprintable() else self.spell(piece)[0][0]
+        ids = np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
         self[piece] = ids
         return ids
 
@@ -70,11 +85,11 @@ class Encoder:
         steps = (parts.get("normalizer") or {}).get("normalizers", [])
         splits = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_piece = ([s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
-                         and splits[0].get("pattern") == {"Regex": PATTERN} and not splits[0].get("invert") is False
+                         and splits[0].get("pattern") == {"Regex": PATTERN} and splits[0].get("invert") is True
                          and parts.get("post_processor") is None)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.by_piece and not UNUSUAL.search(text):
+        if self.by_piece and usual(text):
             return np.frombuffer(b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower()))), self.kind)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
@@ -167,12 +182,6 @@ def read_pages(content: bytes):
         at += size + 1
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A path of its own in the folder that all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, order=None,
                  block: int = BLOCK, percentile: float = PERCENTILE, page_ids: int = PAGE_IDS) -> None:
     """Encode the texts of ``docs`` (``doc_id``, ``text``) and write them to ``folder``.
