@@ -132,8 +132,10 @@ class Network:
         d = (p - labels) * importance / docs
         up = d[:, None] * w["out"]
         back = up[doc, :FILTERS] / count[doc]
-        top = found == pooled[doc, FILTERS:].astype(np.float32)
-        back += np.where(top, up[doc, FILTERS:], 0)
+        top = (found == pooled[doc, FILTERS:].astype(np.float32)).astype(np.float64)
+        ties = np.zeros((docs, FILTERS))
+        np.add.at(ties, doc, top)
+        back += up[doc, FILTERS:] * top / ties[doc]
         back = (back * (found > 0)).astype(np.float32)
         g = {"out": pooled.T @ d, "offset": np.array([d.sum()]), "bias": back.sum(0)}
         g["filters"], g["again"], g["embed"] = np.zeros_like(w["filters"]), np.zeros_like(w["again"]), np.zeros_like(w["embed"])
