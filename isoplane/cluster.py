@@ -4,8 +4,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_BYTES = 1 << 30
-
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at the shared folder the cluster names.
@@ -40,15 +38,3 @@ def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
 def fits(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows."""
     return df.limit(limit + 1).count() <= limit
-
-
-def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
-    """Deal a small file scan out to all cores before CPU-heavy work on its rows.
-
-    One row group is one task however many cores are free. Only tables under
-    ``max_bytes`` are moved; larger ones already come in many splits.
-    """
-    if df.isStreaming or not df.inputFiles():
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < max_bytes else df

@@ -20,12 +20,26 @@ def _both(a, b, pick):
     return F.when(a.isNotNull() & b.isNotNull(), pick(a, b))
 
 
-def _floor_mod(a, b):
-    return a - b * _floor_div(a, b)
+def _remainder(a, b):
+    """Remainder with the divisor's sign, NULL for a zero divisor; exact over the whole range."""
+    r = F.try_mod(a, b)
+    return F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r)
 
 
 def _floor_div(a, b):
-    return F.floor(quotient(a, b))
+    """Doubles: the quotient without its remainder is whole up to rounding."""
+    return F.rint(quotient(a - _remainder(a, b), b))
+
+
+def _floor_div_whole(a, b):
+    """Whole numbers never pass through doubles."""
+    q = F.when(b == -1, F.try_subtract(F.lit(0).cast("bigint"), a)).when(b != 0, F.call_function("div", a, b))
+    return F.when((F.try_mod(a, b) != 0) & ((a < 0) != (b < 0)), q - 1).otherwise(q)
+
+
+def _whole(pick):
+    """floor or ceil of a double; from 2**53 on doubles are whole and stay as they are."""
+    return lambda x: F.when(F.abs(x) < 2.0 ** 53, pick(x).cast("double")).otherwise(x)
 
 
 def _round_even(x, digits=0):
@@ -33,7 +47,7 @@ def _round_even(x, digits=0):
 
 
 BINARY = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b,
-          ast.Div: quotient, ast.FloorDiv: _floor_div, ast.Mod: _floor_mod, ast.Pow: F.pow}
+          ast.Div: quotient, ast.FloorDiv: _floor_div, ast.Mod: _remainder, ast.Pow: F.pow}
 # A comparison with a missing value is false, and "not equal" is true.
 COMPARE = {ast.Eq: (lambda a, b: a == b, False), ast.NotEq: (lambda a, b: a != b, True),
            ast.Lt: (lambda a, b: a < b, False), ast.LtE: (lambda a, b: a <= b, False),
@@ -42,7 +56,7 @@ COMPARE = {ast.Eq: (lambda a, b: a == b, False), ast.NotEq: (lambda a, b: a != b
 ELEMENTWISE = {
     "log": F.ln, "log10": F.log10, "log2": F.log2, "log1p": F.log1p, "exp": F.exp, "expm1": F.expm1,
     "sqrt": F.sqrt, "cbrt": F.cbrt, "square": lambda x: x * x, "abs": F.abs, "sign": F.signum,
-    "power": F.pow, "floor": F.floor, "ceil": F.ceil, "round": _round_even,
+    "power": F.pow, "floor": _whole(F.floor), "ceil": _whole(F.ceil), "round": _round_even,
     "minimum": lambda a, b: _both(a, b, F.least), "maximum": lambda a, b: _both(a, b, F.greatest),
     "clip": lambda x, lo, hi: _both(_both(x, lo, F.greatest), hi, F.least),
     "isnan": lambda x: x.isNull(), "sin": F.sin, "cos": F.cos, "tan": F.tan,
@@ -61,29 +75,33 @@ AS_METHOD = SHARED | {"std": F.stddev_samp, "var": F.var_samp}
 class _Formula:
     """Translates one formula against the columns of one DataFrame."""
 
-    def __init__(self, df: DataFrame, light: DataFrame | None = None):
+    def __init__(self, df: DataFrame, light: DataFrame | None = None, known: dict | None = None):
         self.df = df
         # The columns that hold no reduction themselves: enough for most
         # reductions, and their plan stays flat however many formulas follow.
         self.light = light if light is not None else df
         self.types = {f.name: f.dataType for f in df.schema}
-        self.stats = {}
+        self.stats = dict(known or {})
 
     def translate(self, text: str) -> Column:
         tree = ast.parse(text, mode="eval").body
-        if found := [n for n in ast.walk(tree) if self._reduction(n)]:
+        if found := self.reductions(tree):
             self._aggregate(found)
         return self.expr(tree)[0]
 
+    def reductions(self, tree):
+        """All whole-column reductions below a node."""
+        return [n for n in ast.walk(tree) if self._reduction(n)]
+
     def _aggregate(self, nodes):
         """All reductions of the formula in one pass, innermost ones first."""
         outer = []
         for node in nodes:
             inner, make = self._reduction(node)
-            if nested := [n for n in ast.walk(inner) if self._reduction(n)]:
-                self._aggregate([n for n in nested if ast.dump(n) not in self.stats])
             if ast.dump(node) in self.stats:
                 continue
+            if nested := self.reductions(inner):
+                self._aggregate([n for n in nested if ast.dump(n) not in self.stats])
             if make is None:
                 values = self._source([inner]).select(self.number(inner).alias("v"))
                 self.stats[ast.dump(node)] = F.lit(exact_medians(values, ["v"])["v"])
@@ -178,8 +196,12 @@ class _Formula:
         if type(node.op) not in BINARY:
             raise ValueError(f"{type(node.op).__name__} is not allowed in a formula")
         whole = {self.expr(n)[1] for n in (node.left, node.right)} <= {"int", "bool"}
-        value = BINARY[type(node.op)](self.number(node.left), self.number(node.right))
-        if isinstance(node.op, (ast.Div, ast.Pow)):
+        make = _floor_div_whole if whole and isinstance(node.op, ast.FloorDiv) else BINARY[type(node.op)]
+        a, b = self.number(node.left), self.number(node.right)
+        if not whole and isinstance(node.op, (ast.FloorDiv, ast.Mod)):
+            a, b = a.cast("double"), b.cast("double")
+        value = make(a, b)
+        if isinstance(node.op, (ast.Div, ast.Pow)) or not whole and isinstance(node.op, (ast.FloorDiv, ast.Mod)):
             return defined(value), "num"
         return (value, "int") if whole else (value.cast("double"), "num")
 
@@ -220,23 +242,61 @@ class _Formula:
         return (value, "int") if whole else (defined(value.cast("double")), "num")
 
 
+def _names(node) -> set:
+    return {n.id if isinstance(n, ast.Name) else n.value for n in ast.walk(node)
+            if isinstance(n, ast.Name) or isinstance(n, ast.Constant) and isinstance(n.value, str)}
+
+
+def _shared_reductions(df: DataFrame, formulas) -> dict:
+    """``key -> (value, names)`` of every reduction of given columns in all formulas.
+
+    One aggregate serves them all, one median search all medians. Reductions of derived
+    columns or of other reductions are left to their formula.
+    """
+    parsed, wanted, made = _Formula(df), {}, set()
+    for name, formula in formulas:
+        try:
+            tree = ast.parse(formula, mode="eval").body
+            for node in parsed.reductions(tree):
+                inner, make = parsed._reduction(node)
+                names = _names(inner) - {"np", "df"}
+                if not parsed.reductions(inner) and not names & made and names <= set(df.columns):
+                    wanted[ast.dump(node)] = (parsed.number(inner), make, names)
+        except (SyntaxError, ValueError):
+            pass  # raised again, with its formula, when that is translated
+        made.add(name)
+    plain = {k: v for k, v in wanted.items() if v[1] is not None}
+    medians = {k: v for k, v in wanted.items() if v[1] is None}
+    out = {}
+    if plain:
+        row = df.agg(F.struct(*[make(value).alias(f"s{i}") for i, (value, make, _) in enumerate(plain.values())]).alias("row")).scalar()
+        out |= {k: (row[f"s{i}"], names) for i, (k, (_, _, names)) in enumerate(plain.items())}
+    if medians:
+        values = df.select(*[value.alias(f"v{i}") for i, (value, _, _) in enumerate(medians.values())])
+        found = exact_medians(values, values.columns)
+        out |= {k: (F.lit(found[f"v{i}"]), names) for i, (k, (_, _, names)) in enumerate(medians.items())}
+    return out
+
+
 def derive_columns(df: DataFrame, expressions) -> DataFrame:
     """Add ``name = formula`` columns in order; later ones see earlier results.
 
     Text without ``=`` is skipped; a formula that cannot be used raises a
     ``ValueError`` naming it.
     """
-    light = df
-    for text in expressions or []:
-        if "=" not in text:
-            continue
-        name, formula = (part.strip() for part in text.split("=", 1))
+    light, made = df, set()
+    texts = [text for text in expressions or [] if "=" in text]
+    formulas = [tuple(part.strip() for part in text.split("=", 1)) for text in texts]
+    shared = _shared_reductions(df, formulas)
+    for text, (name, formula) in zip(texts, formulas):
         try:
-            parsed = _Formula(df, light)
+            parsed = _Formula(df, light, {k: value for k, (value, names) in shared.items() if not names & made})
             value = parsed.translate(formula)
-            stays_light = not parsed.stats and parsed.is_light(ast.parse(formula, mode="eval"))
+            tree = ast.parse(formula, mode="eval")
+            stays_light = not parsed.reductions(tree) and parsed.is_light(tree)
             df = df.withColumn(name, value)
             light = light.withColumn(name, value) if stays_light else light.drop(name)
+            made.add(name)
         except Exception as error:
             raise ValueError(f"Error in expression '{text}': {error}") from error
     return df

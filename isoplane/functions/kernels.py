@@ -54,6 +54,25 @@ def kernel_profile(kernel: KernelConfig, support):
     return profile
 
 
+def kernel_sums(kernel: KernelConfig, support):
+    """Function of a struct of features: sum and least of the covariances with all support points.
+
+    Reduced where they are computed: two numbers per row leave the function.
+    """
+    z = np.array([list(p) for p in support], dtype=float)
+    params = kernel.params(z.shape[1])
+
+    @F.arrow_udf("struct<total: double, least: double>")
+    def sums(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            x = feature_matrix(batch)
+            parts = [(k.sum(1), k.min(1)) for k in (kernel_block(params, x[rows], z) for rows in row_blocks(x, len(z)))]
+            total, least = (np.concatenate(p) if p else np.zeros(0) for p in zip(*parts)) if parts else (np.zeros(0),) * 2
+            yield pa.StructArray.from_arrays([pa.array(total), pa.array(least)], ["total", "least"])
+
+    return sums
+
+
 def kernel_block(params: dict, x: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Covariances between all rows of ``x`` and of ``z`` (no white noise)."""
     d2 = np.zeros((len(x), len(z)))

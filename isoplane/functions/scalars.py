@@ -28,10 +28,12 @@ def clip(value: Column, lo=None, hi=None) -> Column:
 def rounded(value: Column, digits: int) -> Column:
     """Rounded half away from zero in floating point, without negative zero.
 
-    Stays in generated code; the built-in goes through decimals.
+    Stays in generated code; the built-in goes through decimals. A value that has no
+    digit left to round at that place is returned as it is.
     """
     unit = F.lit(10.0 ** digits)
-    return F.signum(value) * F.floor(F.abs(value) * unit + 0.5) / unit + F.lit(0.0)
+    near = F.signum(value) * F.floor(F.abs(value) * unit + 0.5) / unit + F.lit(0.0)
+    return F.when(F.abs(value) * unit < 2.0 ** 53, near).otherwise(value)
 
 
 def all_of(conditions) -> Column:

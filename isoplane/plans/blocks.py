@@ -1,9 +1,9 @@
 """One model per block of a replicate summary, all blocks in parallel.
 
-A block of up to ``max_support`` conditions is solved exactly in one task. Larger
-blocks go through inducing points: their conditions are dealt into chunks, every
-chunk meets its block's inducing points, and Spark adds the chunk sums up, so no
-task holds a whole large block.
+Exact models solve a block of up to ``max_support`` conditions in one task and refuse
+larger ones. Sparse models go through inducing points: conditions are dealt into
+chunks, every chunk meets its block's inducing points, and Spark adds the chunk sums
+up, so no task holds a whole large block.
 """
 
 import numpy as np
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from isoplane.cluster import materialize
+from isoplane.functions.scalars import all_of
 from isoplane.functions.kernels import kernel_block
 from isoplane.operators.replicates import join_conditions
 from isoplane.plans import gp, sparse
@@ -18,23 +19,37 @@ from isoplane.sources.tables import col, number
 from isoplane.spec import CONSTANT_NOISE, KernelConfig
 
 CHUNK_ROWS = 20_000
+NAMED = 5
 
 
 def block_models(df: DataFrame, block: str, controls, measure: str, kernel: KernelConfig,
                  noise: str = "std", constant: float = CONSTANT_NOISE,
-                 max_support: int = gp.MAX_SUPPORT, inducing: int = sparse.INDUCING, seed: int = 42) -> DataFrame:
+                 max_support: int = gp.MAX_SUPPORT, inducing: int = sparse.INDUCING, seed: int = 42,
+                 method: str = "exact") -> DataFrame:
     """Fit one summary column, ``measure``, of every block over its conditions.
 
     ``df`` is a summary with ``std`` and ``count``. Returns the block, the
     conditions, the observed ``mean``, ``fit_mean``, ``fit_std`` and the block's
-    log likelihood ``lml``. Conditions with a missing block are left out.
+    log likelihood ``lml``. Conditions with a missing block are left out; missing
+    inputs, values or noise raise, naming blocks. ``method`` is ``"exact"``, which raises
+    for blocks of more than ``max_support`` conditions, or ``"sparse"`` for all blocks.
     """
+    if method not in ("exact", "sparse"):
+        raise ValueError("method must be 'exact' or 'sparse'")
     xs = [f"x{i}" for i in range(len(controls))]
     points = materialize(df.select(
         col(block).alias("block"), *[number(c).alias(x) for c, x in zip(controls, xs)],
         number(measure).alias("mean"), gp.noise_column(noise, constant).alias("noise")).where("block is not null"))
+    broken = points.where(~all_of(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in (*xs, "mean", "noise")))
+    if names := [r.block for r in broken.select("block").distinct().orderBy("block").limit(NAMED).collect()]:
+        raise ValueError(f"missing inputs, values or noise in blocks {names}; keep complete cases or choose another noise model")
     sizes = points.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.avg("mean").alias("y_mean"),
                                         F.stddev_pop("mean").alias("y_scale"))
+    if method == "exact":
+        large = sizes.where(F.col("n") > max_support).orderBy(F.desc("n"), "block").limit(NAMED).collect()
+        if large:
+            raise ValueError(f"more than max_support, {max_support}, conditions in blocks "
+                             f"{ {r.block: r.n for r in large} }; raise it or use method='sparse'")
     kind = points.schema["block"].dataType.simpleString()
     schema = f"block {kind}, {', '.join(f'{x} double' for x in xs)}, mean double, fit_mean double, fit_std double, lml double"
 
@@ -44,17 +59,16 @@ def block_models(df: DataFrame, block: str, controls, measure: str, kernel: Kern
         mean, std = gp.evaluate(fitted, x)
         return frame[["block", *xs, "mean"]].assign(fit_mean=mean, fit_std=std, lml=fitted.lml)
 
-    if sizes.where(F.col("n") > max_support).isEmpty():
+    if method == "exact":
         out = points.groupBy("block").applyInPandas(fit_block, schema)
     else:
         sized = join_conditions(points, materialize(sizes), ["block"], ["n", "y_mean", "y_scale"], "n")
-        out = sized.where(F.col("n") <= max_support).groupBy("block").applyInPandas(fit_block, schema).unionByName(
-            _large_blocks(sized.where(F.col("n") > max_support), xs, kernel, inducing, seed, kind, schema))
+        out = _sparse_blocks(sized, xs, kernel, inducing, seed, kind, schema)
     return out.withColumnsRenamed({"block": block, **dict(zip(xs, controls))})
 
 
-def _large_blocks(sized: DataFrame, xs, kernel, inducing, seed, kind, schema) -> DataFrame:
-    """Inducing-point fits of all large blocks at once."""
+def _sparse_blocks(sized: DataFrame, xs, kernel, inducing, seed, kind, schema) -> DataFrame:
+    """Inducing-point fits of all blocks at once."""
     params = kernel.params(len(xs))
     scale = F.when(F.col("y_scale") > 0, F.col("y_scale")).otherwise(1.0)
     chunks = F.ceil(F.col("n") / CHUNK_ROWS).cast("int")
@@ -65,10 +79,18 @@ def _large_blocks(sized: DataFrame, xs, kernel, inducing, seed, kind, schema) ->
     def for_every_chunk(table):
         return table.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
 
-    # Only points under a hash limit that leaves about 8 per wanted one are ranked.
-    near = rows.where(place / 2.0 ** 64 + 0.5 <= 8.0 * inducing / F.col("n"))
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(place, *xs)))
-    chosen = materialize(ranked.where(F.col("r") <= inducing).select("block", "n", "y_mean", "y_scale", *xs))
+    # Only points under a hash limit are ranked: about 8 per wanted one, more until every block has enough.
+    share = 8.0
+    while True:
+        near = rows.where(place / 2.0 ** 64 + 0.5 <= share * inducing / F.col("n"))
+        ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(place, *xs)))
+        chosen = materialize(ranked.where(F.col("r") <= inducing).select("block", "n", "y_mean", "y_scale", *xs))
+        short = chosen.groupBy("block").agg(F.count(F.lit(1)).alias("got"), F.max("n").alias("n")).where(
+            (F.col("got") < F.least(F.col("n"), F.lit(inducing))) & (share * inducing < F.col("n")))
+        missing = rows.where(share * inducing < F.col("n")).select("block").distinct().join(chosen.select("block"), "block", "left_anti")
+        if short.isEmpty() and missing.isEmpty():
+            break
+        share *= 16
     # New column identities: the points it meets below have the same origin.
     chosen = chosen.select([F.col(c).alias(c) for c in chosen.columns])
 

@@ -1,10 +1,10 @@
 """The tables behind each picture: curves, surfaces and the points drawn on them."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from isoplane.functions.scalars import band, clip
+from isoplane.functions.scalars import all_of, band, clip
 from isoplane.operators import grids
-from isoplane.operators.encoding import dummy_column, text_of, with_all
+from isoplane.operators.encoding import dummy_column, with_all
 from isoplane.operators.profiling import equal_bands, exact_medians
 from isoplane.plans.models import Model, model_conditions, model_rows, predict_rows
 from isoplane.sources.tables import col
@@ -67,7 +67,8 @@ def combo_frame(model: Model) -> DataFrame:
         rows, "combo_id int, combo string, fixed map<string,double>")
 
 
-def _label(model: Model) -> str:
+def shown_name(model: Model) -> str:
+    """What a curve of the model shows."""
     spec = model.spec
     return spec.target if spec.mode == "mean" or spec.statistic == "mean" else spec.statistic
 
@@ -91,7 +92,7 @@ def curve_1d(model: Model, x_var: str, n: int = CURVE_POINTS, unscale_std: bool
     lower, upper = band(F.col("p_mean"), F.col("p_std"))
     shown = [F.col(f"g_{c}").alias(c) for c in ("combo_id", "combo", "point_id", "x")]
     return scored.select(*shown, F.col("p_mean").alias("mean"), lower.alias("lower"),
-                         upper.alias("upper"), F.lit(_label(model)).alias("label"))
+                         upper.alias("upper"), F.lit(shown_name(model)).alias("label"))
 
 
 def _training_points(model: Model, df: DataFrame | None) -> DataFrame:
@@ -122,30 +123,40 @@ def scatter_1d(model: Model, x_var: str, df: DataFrame | None = None, unscale_st
     if not spec.cat_cols:
         return points.select(F.lit(0).alias("combo_id"), F.lit(None).cast("string").alias("combo"),
                              col(x_var).alias("x"), value)
+    # Points meet their combination by value; labels are for display only.
+    kinds = [T.StructField(f"l_{i}", model.conditions.schema[c].dataType) for i, c in enumerate(spec.cat_cols)]
+    schema = T.StructType([T.StructField("l_id", T.IntegerType()), T.StructField("l_label", T.StringType()), *kinds])
     names = model.conditions.sparkSession.createDataFrame(
-        [(c["combo_id"], c["label"]) for c in model.combos], "l_id int, l_label string")
-    parts = []
-    for c in spec.cat_cols:
-        text = col(c).cast("string")
-        text = F.initcap(text) if dict(points.dtypes)[c] == "boolean" else text
-        parts.append(F.concat(F.lit(f"{c}="), F.coalesce(text, F.lit(text_of(None)))))
-    own = points.join(F.broadcast(names), F.concat_ws(", ", *parts) == F.col("l_label"))
-    both = F.explode(F.array(F.struct(F.lit(0).alias("combo_id"), F.lit("All").alias("combo")),
-                             F.struct(F.col("l_id").alias("combo_id"), F.col("l_label").alias("combo")))).alias("c")
-    return own.select(both, col(x_var).alias("x"), value).select("c.combo_id", "c.combo", "x", "y")
+        [(c["combo_id"], c["label"], *[c["values"][k] for k in spec.cat_cols]) for c in model.combos], schema)
+    drawn = points.select(col(x_var).alias("x"), value, *[col(c).alias(f"p_{i}") for i, c in enumerate(spec.cat_cols)],
+                          F.explode(F.array(F.lit(False), F.lit(True))).alias("own"))
+    same = all_of(F.col(f"p_{i}").eqNullSafe(F.col(f"l_{i}")) for i in range(len(spec.cat_cols)))
+    met = drawn.join(F.broadcast(names), F.col("own") & same, "left")
+    return met.where(~F.col("own") | F.col("l_id").isNotNull()).select(
+        F.when(F.col("own"), F.col("l_id")).otherwise(0).alias("combo_id"),
+        F.when(F.col("own"), F.col("l_label")).otherwise("All").alias("combo"), "x", "y")
 
 
 def surface_2d(model: Model, x_var: str, y_var: str, n: int = SURFACE_POINTS, unscale_std: bool = False,
-               floor: float | None = 0.0) -> DataFrame:
-    """``point_id, x, y, mean, std``; the mean in original units and not below ``floor``."""
+               floor: float | None = 0.0, by_combo: bool = False) -> DataFrame:
+    """``point_id, x, y, mean, std``; the mean in original units and not below ``floor``.
+
+    ``by_combo`` draws one surface per category combination and "All", with ``combo_id``
+    and ``combo`` in front.
+    """
     spec = model.spec
-    points = grids.grid_2d(model.conditions.sparkSession, _range_of(model, x_var), _range_of(model, y_var),
-                           n, x_var in spec.log_cols, y_var in spec.log_cols)
-    inputs = prediction_frame(_prefixed(points), {x_var: "g_x", y_var: "g_y"}, held_values(model))
+    logs = (x_var in spec.log_cols, y_var in spec.log_cols)
+    ranges = (_range_of(model, x_var), _range_of(model, y_var))
+    if by_combo:
+        points, front = grids.grid_2d_by_combo(combo_frame(model), *ranges, n, *logs), ["combo_id", "combo"]
+    else:
+        points, front = grids.grid_2d(model.conditions.sparkSession, *ranges, n, *logs), []
+    inputs = prediction_frame(_prefixed(points), {x_var: "g_x", y_var: "g_y"}, held_values(model),
+                              F.col("g_fixed") if by_combo else None)
     scored = predict_rows(model, inputs, unscale=False, mean="p_mean", std="p_std", encoded=True)
     plan = unscale_plan(spec.mode, spec.statistic, unscale_std)
     std = model.unscale(F.col("p_std"), spread=True) if plan["uncertainty"] else F.col("p_std")
-    return scored.select(F.col("g_point_id").alias("point_id"), F.col("g_x").alias("x"), F.col("g_y").alias("y"),
+    return scored.select(*[F.col(f"g_{c}").alias(c) for c in (*front, "point_id", "x", "y")],
                          clip(model.unscale(F.col("p_mean")), lo=floor).alias("mean"), std.alias("std"))
 
 

@@ -11,9 +11,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from isoplane.cluster import collect_bounded, materialize, spread
+from isoplane.cluster import collect_bounded, materialize
 from isoplane.functions.scalars import all_of
-from isoplane.operators.encoding import combo_levels, dummy_column, dummy_names, observed_combos
+from isoplane.operators.encoding import MAX_COMBOS, MAX_LEVELS, combo_levels, dummy_column, dummy_names, observed_combos
 from isoplane.operators.profiling import fit_metrics
 from isoplane.operators.replicates import join_conditions
 from isoplane.operators.scaling import scaled, unscaled
@@ -155,6 +155,16 @@ def _support(conditions: DataFrame, spec: AnalysisSpec, scalers, levels, noise,
     return points, [c for c in points.columns if c[0] == "f"]
 
 
+def _warn_of_dropped(conditions: DataFrame, spec: AnalysisSpec) -> None:
+    """Say how many conditions a replicate model cannot use."""
+    if spec.mode != "std":
+        return
+    missing = ~all_of(col(c).isNotNull() for c in spec.num_cols)
+    row = conditions.agg(F.count_if(missing).alias("missing"), F.count_if(~missing & (F.col("c_count") < 2)).alias("single")).first()
+    if row["single"] or row["missing"]:
+        warnings.warn(f"left out {row['single']} conditions with a single row and {row['missing']} with missing inputs", stacklevel=3)
+
+
 def _reject_incomplete(points: DataFrame, features, mode):
     """Fail before the solve when a support point has a missing value."""
     missing = ~all_of(F.col(c).isNotNull() for c in [*features, "y", "noise"])
@@ -169,20 +179,28 @@ def _reject_incomplete(points: DataFrame, features, mode):
 
 
 def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = None,
-              tune: bool = True, constant: float = gp.CONSTANT_NOISE, method: str = "auto",
+              tune: bool = True, constant: float = gp.CONSTANT_NOISE, method: str = "exact",
               max_support: int = gp.MAX_SUPPORT, inducing: int | DataFrame = sparse.INDUCING, seed: int = 42,
-              collapse: bool = True, conditions: DataFrame | None = None) -> Model:
+              collapse: bool = True, conditions: DataFrame | None = None, search_options: dict | None = None,
+              max_levels: int = MAX_LEVELS, max_combos: int = MAX_COMBOS) -> Model:
     """Fit the response model of ``spec``.
 
-    ``tune=False`` keeps the kernel as given. Up to ``max_support`` conditions are
-    solved exactly; ``method="auto"`` warns and uses inducing points beyond that,
-    ``method="exact"`` raises, so raise ``max_support`` where the driver can hold
-    the matrix. ``inducing`` is how many settings to pick, or a table of settings
-    in raw columns. ``collapse=False`` skips the summary of equal settings: for sparse
-    row models whose inputs hardly ever repeat, where it would only move the rows.
+    ``tune=False`` keeps the kernel as given. The method is the caller's choice and never
+    changes with the size: ``"exact"`` raises beyond ``max_support`` conditions, which can
+    be raised to what the driver can factor; ``"sparse"`` goes through inducing points.
+    ``inducing`` is how many settings to pick, at most ``max_support``, or a table of
+    settings in raw columns. ``collapse=False`` skips the summary of equal settings: for
+    sparse row models whose inputs hardly ever repeat, where it would only move the rows.
+    ``search_options`` are those of the kernel search: ``n`` candidates, and ``starts`` and
+    ``max_steps`` (exact) or ``rounds`` (sparse). ``max_levels`` and ``max_combos`` bound the
+    levels of a category and their combinations. Replicate models leave out conditions of
+    one row or with missing inputs and warn with their number.
     """
-    if method not in ("auto", "exact", "sparse"):
-        raise ValueError("method must be 'auto', 'exact' or 'sparse'")
+    if method not in ("exact", "sparse"):
+        raise ValueError("method must be 'exact' or 'sparse'")
+    if method == "sparse" and isinstance(inducing, int) and not 0 < inducing <= max_support:
+        raise ValueError(f"inducing must be between 1 and max_support, {max_support}")
+    tuning = {"seed": seed, **(search_options or {})}
     if not collapse and (spec.mode, method) != ("mean", "sparse"):
         raise ValueError("collapse=False is for mode='mean' with method='sparse'")
     kernel = kernel or KernelConfig()
@@ -190,19 +208,17 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
         conditions = condition_table(df, spec, collapse)
         conditions = materialize(conditions) if collapse else conditions
     scalers = scalers_from_conditions(conditions, spec)
-    combos = observed_combos(conditions, spec.cat_cols)
+    combos = observed_combos(conditions, spec.cat_cols, max_combos, max_levels)
     levels = combo_levels(combos, spec.cat_cols)
     trained = model_conditions(conditions, spec)
+    _warn_of_dropped(conditions, spec)
     points, features = _support(trained, spec, scalers, levels, spec.noise, constant, seed)
     by_row = spec.mode == "mean"
     values = ["y", "noise", "count", "within"] + (["n_valid"] if by_row else [])
     rows = [] if method == "sparse" else points.select(*features, *values).limit(max_support + 1).collect()
     small = method != "sparse" and len(rows) <= max_support
     if method == "exact" and not small:
-        raise ValueError(f"more than {max_support} conditions; raise max_support or use method='sparse'")
-    if method == "auto" and not small:
-        warnings.warn(f"more than {max_support} conditions: fitting through inducing points",
-                      stacklevel=2)
+        raise ValueError(f"{trained.count()} conditions, more than max_support, {max_support}; raise it or use method='sparse'")
     if small:
         x, y, noise, counts, within, *valid = gp.to_arrays(rows, features, *values)
         if len(x) == 0:
@@ -220,7 +236,7 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
         else:
             y_mean, y_scale = float(y.mean()), float(y.std()) or 1.0
         if tune:
-            kernel, _ = search(df.sparkSession, kernel, x, (y - y_mean) / y_scale, noise, seed=seed, **extra)
+            kernel, _ = search(df.sparkSession, kernel, x, (y - y_mean) / y_scale, noise, **tuning, **extra)
         solution = gp.solve(kernel, x, y, noise, y_mean=y_mean, y_scale=y_scale, **extra)
     else:
         _reject_incomplete(points, features, spec.mode)
@@ -232,10 +248,11 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
         if isinstance(inducing, DataFrame):
             given = collect_bounded(inducing.select(*_features(spec, scalers, levels)), max_support, "inducing points")
             z = gp.to_arrays(given, features)[0]
+            z = z[np.lexsort(z.T[::-1])]
         else:
             z = sparse.choose_inducing(points, features, inducing, seed, "key")
         if tune:
-            kernel, _ = sparse.search_sparse(points, features, kernel, z[:sparse.INDUCING // 4], by_row, seed=seed)
+            kernel, _ = sparse.search_sparse(points, features, kernel, z, by_row, **tuning)
         solution = sparse.solve_sparse(points, features, kernel, z, by_row, y_mean, y_scale)
     return Model(spec, kernel, solution, scalers, levels, combos, conditions,
                  "exact" if small else "sparse", constant)
@@ -257,10 +274,10 @@ def predict_rows(model: Model, df: DataFrame, unscale: bool = True, mean: str =
                  std: str = "pred_std", encoded: bool = False) -> DataFrame:
     """Raw rows with the predicted mean and its std, in original units by default.
 
-    A map over the rows of which only the model's inputs leave the JVM. Nothing
-    is shuffled but a small file that would otherwise occupy a single core.
+    A map over the rows of which only the model's inputs leave the JVM; nothing is
+    shuffled. A small file that comes in one split is for the caller to repartition.
     """
-    out = gp.with_prediction(spread(df), model.solution, model.inputs(encoded), mean, std)
+    out = gp.with_prediction(df, model.solution, model.inputs(encoded), mean, std)
     if unscale:
         out = out.withColumns({mean: model.unscale(F.col(mean)),
                                std: model.unscale(F.col(std), spread=True)})

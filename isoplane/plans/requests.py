@@ -70,8 +70,15 @@ def plot_request(fitted: dict, request: dict, df: DataFrame) -> dict:
     if absent:
         raise ValueError(f"no {absent[0]} model; fit it first")
     x, y = request.get("x_var"), request.get("y_var")
+    flat = request.get("plot_type", "1d") != "2d"
+    targets = {fitted[m].spec.target for m in wanted} | {frames.shown_name(fitted[m]) for m in wanted}
+    if flat and y and y not in targets:
+        raise ValueError(f"a 1-D plot shows the model's target, not {y!r}; ask for a 2-D plot or leave y_var out")
+    for m in wanted:
+        if "log_vars" in request and set(request["log_vars"] or []) & set(fitted[m].spec.num_cols) != set(fitted[m].spec.log_cols):
+            raise ValueError(f"the {m} model was trained on other log inputs, {list(fitted[m].spec.log_cols)}; fit it again")
     tables = {}
-    if request.get("plot_type", "1d") == "2d":
+    if not flat:
         drawn = [frames.surface_2d(fitted[m], x, y, unscale_std=flag) for m in wanted]
         tables["scatter"] = {m: frames.scatter_2d(fitted[m], x, y, df) for m in wanted}
         tables["surface"] = drawn[0] if len(drawn) == 1 else frames.pair_surfaces(*drawn)

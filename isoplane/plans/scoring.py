@@ -28,14 +28,24 @@ def score_design(model: Model, n: int, ranges: dict, seed: int = DESIGN_SEED, lo
     return score_rows(model, lhs_design(model.conditions.sparkSession, n, ranges, seed), lo, hi)
 
 
-def sorted_scores(scored: DataFrame, score: str = "score", id_col: str = "sample_id") -> DataFrame:
-    """``rank, score, lower_bound, upper_bound`` from the lowest score up."""
+def sorted_scores(scored: DataFrame, score: str = "score", id_col: str = "sample_id", written: bool = False) -> DataFrame:
+    """``rank, score, lower_bound, upper_bound`` from the lowest score up.
+
+    Scores are written before they are ranked, unless ``written`` says they are already.
+    """
+    needed = scored.select(id_col, F.col(score), "lower_bound", "upper_bound")
+    scored = scored if written else materialize(needed)
     return with_rank(scored, score, id_col).select("rank", F.col(score).alias("score"),
                                                    "lower_bound", "upper_bound")
 
 
-def top2_scatter(scored: DataFrame, parameters, score: str = "score", id_col: str = "sample_id") -> DataFrame:
-    """``p1, p2, score, is_best`` over the two parameters that move the score most."""
+def top2_scatter(scored: DataFrame, parameters, score: str = "score", id_col: str = "sample_id",
+                 written: bool = False) -> DataFrame:
+    """``p1, p2, score, is_best`` over the two parameters that move the score most.
+
+    Three passes read the scores, which are written once unless ``written`` says they are.
+    """
+    scored = scored if written else materialize(scored.select(id_col, *[F.col(f"`{p}`") for p in parameters], F.col(score)))
     best = profiling.best_row(scored, score, id_col).select(id_col).scalar()
     found = profiling.top_parameters(profiling.parameter_correlation(scored, parameters, score)).collect()
     first, second = found[0].parameter, found[-1].parameter
@@ -68,7 +78,7 @@ def design_job(df: DataFrame, features, target: str, ranges: dict, n: int = DESI
         "summary": profiling.score_summary(scored, "score"),
         "parameter_histograms": {f: profiling.histogram(scored, f, PARAMETER_BINS) for f in features},
         "score_histogram": profiling.histogram(scored, "score", SCORE_BINS),
-        "sorted": sorted_scores(scored),
+        "sorted": sorted_scores(scored, written=True),
         "importance": profiling.parameter_correlation(scored, features, "score"),
-        "top2": top2_scatter(scored, features),
+        "top2": top2_scatter(scored, features, written=True),
     }

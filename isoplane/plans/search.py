@@ -5,6 +5,7 @@ starts are improved in parallel, one task each. Seeded, so the same input gives
 the same winner, and never one worse than the given kernel clipped to its bounds.
 """
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from isoplane.spec import KernelConfig
 
 CANDIDATES = 64
 STARTS = 8
-MAX_STEPS = 200
+MAX_STEPS = 20_000
 EDGE = 0.05
 SCHEMA = "candidate_id long, theta array<double>, lml double"
 
@@ -54,9 +55,15 @@ def _likelihood(kernel, data):
 
 
 def climb(value, theta, best, low, high, max_steps: int = MAX_STEPS):
-    """Pattern search inside the bounds (Hooke and Jeeves 1961)."""
+    """Pattern search inside the bounds (Hooke and Jeeves 1961).
+
+    Goes on until no step of 1e-4 of the range improves; the last value returned says
+    whether it got there within ``max_steps`` evaluations.
+    """
     step, used = (high - low) / 8, 0
-    while used < max_steps and (step > (high - low) * 1e-4).any():
+    while (step > (high - low) * 1e-4).any():
+        if used >= max_steps:
+            return theta, best, False
         base, here, top = theta, theta, best
         for k in range(len(theta)):
             for sign in (1, -1):
@@ -74,7 +81,7 @@ def climb(value, theta, best, low, high, max_steps: int = MAX_STEPS):
                 theta, best = onward, got
         else:
             step = step / 2
-    return theta, best
+    return theta, best, True
 
 
 def score_candidates(candidates: DataFrame, kernel: KernelConfig, x, y, noise, counts=None,
@@ -91,30 +98,32 @@ def score_candidates(candidates: DataFrame, kernel: KernelConfig, x, y, noise, c
 
 
 def improve_candidates(scored: DataFrame, kernel: KernelConfig, bounds, x, y, noise, counts=None,
-                       within=0.0) -> DataFrame:
-    """Scored candidates after a climb from each, one task per candidate."""
+                       within=0.0, max_steps: int = MAX_STEPS) -> DataFrame:
+    """Scored candidates after a climb from each, one task per candidate; ``done`` if it converged."""
     shared = scored.sparkSession.sparkContext.broadcast((x, y, noise, counts, within))
     low, high = np.array(bounds).T
 
     def improve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         value = _likelihood(kernel, shared.value)
         for batch in batches:
-            ends = [climb(value, np.array(theta), lml, low, high)
+            ends = [climb(value, np.array(theta), lml, low, high, max_steps)
                     for theta, lml in zip(batch["theta"], batch["lml"])]
-            yield batch.assign(theta=[t.tolist() for t, _ in ends], lml=[v for _, v in ends])
+            yield batch.assign(theta=[t.tolist() for t, _, _ in ends], lml=[v for _, v, _ in ends], done=[d for _, _, d in ends])
 
-    return scored.mapInPandas(improve, SCHEMA)
+    return scored.mapInPandas(improve, SCHEMA + ", done boolean")
 
 
 def search(spark: SparkSession, kernel: KernelConfig, x, y, noise, counts=None, within=0.0,
-           n: int = CANDIDATES, starts: int = STARTS, seed: int = 42):
-    """Best kernel found and its likelihood."""
+           n: int = CANDIDATES, starts: int = STARTS, seed: int = 42, max_steps: int = MAX_STEPS):
+    """Best kernel found and its likelihood; warns when its climb ran out of steps."""
     data = (x, y, noise, counts, within)
     free = kernel.free(x.shape[1])
     bounds = np.log([b for _, _, b in free])
     start = np.clip(np.log([v for _, v, _ in free]), *bounds.T)
     scored = score_candidates(candidate_frame(spark, start, bounds, n, seed), kernel, *data)
     first = scored.orderBy(F.desc("lml"), "candidate_id").limit(starts).repartition(starts)
-    ends = improve_candidates(first, kernel, bounds, *data).collect()
+    ends = improve_candidates(first, kernel, bounds, *data, max_steps=max_steps).collect()
     top = max(ends, key=lambda r: (r.lml, -r.candidate_id))
+    if not top.done:
+        warnings.warn(f"the kernel search stopped after {max_steps} steps without converging; raise max_steps", stacklevel=3)
     return kernel.with_free(x.shape[1], np.exp(top.theta)), top.lml

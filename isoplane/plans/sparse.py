@@ -5,6 +5,7 @@ the rest is a solve of the inducing points' size (Quinonero-Candela and Rasmusse
 2005). With every support point inducing, the result is the exact one.
 """
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from isoplane.spec import KernelConfig
 
 INDUCING = 512
 GRAM_TASKS = 2_048
+TOLERANCE = 0.01
 
 
 def choose_inducing(support: DataFrame, features, n: int = INDUCING, seed: int = 42, key: str | None = None) -> np.ndarray:
@@ -40,11 +42,14 @@ def choose_inducing(support: DataFrame, features, n: int = INDUCING, seed: int =
         share = min(1.0, share * 16)
 
 
-def gram_sums(support: DataFrame, features, z: np.ndarray, param_sets: list[dict], weight="weight"):
-    """Per parameter set, the summed ``K_zx W K_xz`` and ``K_zx W y`` over all support points.
+def gram_sums(support: DataFrame, features, z: np.ndarray, param_sets: list[dict], collapsed: bool = False):
+    """Per parameter set, all sums over the support that its solution and likelihood need.
 
-    Each task reduces its points to one upper triangle per set; Spark adds the
-    triangles up, so what reaches the driver depends on the inducing points only.
+    ``(K_zx W K_xz, K_zx W y, y W y, log of the noise, rows)``, from one pass for all sets,
+    white noise included: a point stands for ``count`` rows (1 unless ``collapsed``) of noise
+    ``noise`` plus the set's white noise each. Every task reduces its points to one upper
+    triangle per set and Spark adds up the triangles row by row, so what reaches the driver
+    depends on the inducing points only.
     """
     m = len(z)
     spark = support.sparkSession
@@ -53,31 +58,40 @@ def gram_sums(support: DataFrame, features, z: np.ndarray, param_sets: list[dict
     def reduce_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         points, sets = shared.value
         sums = [np.zeros((m, m + 1)) for _ in sets]
+        scalars = np.zeros((len(sets), 3))
         for batch in batches:
-            x, w, y = batch[features].to_numpy(float), batch["w"].to_numpy(float), batch["y"].to_numpy(float)
-            for total, params in zip(sums, sets):
+            x, y = batch[features].to_numpy(float), batch["y"].to_numpy(float)
+            noise, count, within = (batch[c].to_numpy(float) for c in ("noise", "count", "within"))
+            for total, row, params in zip(sums, scalars, sets):
+                own = noise + params["white"]
+                w = count / own
+                row += ((w * y * y + within / own).sum(), (count * np.log(own)).sum(), count.sum())
                 for rows in row_blocks(x, m):
                     k = kernel_block(params, x[rows], points)
                     wk = k * w[rows][:, None]
                     total[:, :m] += k.T @ wk
                     total[:, m] += wk.T @ y[rows]
-        for s, total in enumerate(sums):
-            yield pd.DataFrame({"s": s, "i": np.arange(m),
-                                "v": [total[i, i:] for i in range(m)]})
+        for s, (total, row) in enumerate(zip(sums, scalars)):
+            yield pd.DataFrame({"s": s, "i": np.arange(m + 1), "v": [total[i, i:] for i in range(m)] + [row]})
 
+    def add_up(frame: pd.DataFrame) -> pd.DataFrame:
+        # One array per task, GRAM_TASKS at most.
+        return pd.DataFrame({"s": frame["s"].iloc[:1], "i": frame["i"].iloc[:1], "v": [np.sum(np.stack(frame["v"]), axis=0)]})
+
+    rows, inner = (F.col("count"), F.col("within")) if collapsed else (F.lit(1.0), F.lit(0.0))
     # Few enough tasks that their triangles stay small next to the support itself.
-    parts = support.select(*features, F.col(weight).alias("w"), "y").coalesce(
+    parts = support.select(*features, "y", "noise", rows.alias("count"), inner.alias("within")).coalesce(
         max(2 * spark.sparkContext.defaultParallelism, GRAM_TASKS))
-    cells = parts.mapInPandas(reduce_part, "s int, i int, v array<double>").select(
-        "s", "i", F.posexplode("v").alias("k", "v"))
-    out = np.zeros((len(param_sets), m, m + 1))
-    summed = cells.groupBy("s", "i", "k").agg(F.sum("v").alias("v")).toArrow()
-    s, i, k, v = (summed[c].to_numpy() for c in ("s", "i", "k", "v"))
-    j = i + k
-    out[s, i, j] = v
-    inner = j < m
-    out[s[inner], j[inner], i[inner]] = v[inner]
-    return [(g[:, :m], g[:, m]) for g in out]
+    kind = "s int, i int, v array<double>"
+    summed = parts.mapInPandas(reduce_part, kind).groupBy("s", "i").applyInPandas(add_up, kind).collect()
+    grams, scalars = np.zeros((len(param_sets), m, m + 1)), np.zeros((len(param_sets), 3))
+    for r in summed:
+        if r.i == m:
+            scalars[r.s] = r.v
+        else:
+            grams[r.s, r.i, r.i:] = r.v
+            grams[r.s, r.i + 1:, r.i] = r.v[1:-1]
+    return [(g[:, :m], g[:, m], *map(float, row)) for g, row in zip(grams, scalars)]
 
 
 def _from_sums(params, z, gram, b, yy, log_noise, rows):
@@ -90,28 +104,12 @@ def _from_sums(params, z, gram, b, yy, log_noise, rows):
     return lower_z, lower_a, v, float(lml), jitter
 
 
-def _noise_sums(support, white, collapsed):
-    """Weights and the noise terms of the likelihood.
-
-    A collapsed point stands for ``count`` rows of noise ``noise + white`` each.
-    """
-    noise = F.col("noise") + F.lit(white)
-    rows = F.col("count") if collapsed else F.lit(1)
-    weighted = support.withColumn("weight", rows / noise)
-    inner = F.col("within") if collapsed else F.lit(0.0)
-    row = weighted.agg(F.sum(F.col("weight") * F.col("y") * F.col("y") + inner / noise).alias("yy"),
-                       F.sum(rows * F.log(noise)).alias("log_noise"),
-                       F.sum(rows).alias("rows")).first()
-    return weighted, float(row.yy), float(row.log_noise), float(row.rows)
-
-
 def solve_sparse(support: DataFrame, features, kernel: KernelConfig, z: np.ndarray,
                  collapsed: bool = False, y_mean: float = 0.0, y_scale: float = 1.0) -> Solution:
     """Fit on ``support`` columns: features, normalised ``y``, ``noise`` and, if collapsed,
     ``count`` rows per point with ``noise`` per row and ``within`` sum of squares."""
     params = kernel.params(len(features))
-    weighted, yy, log_noise, rows = _noise_sums(support, params["white"], collapsed)
-    (gram, b), = gram_sums(weighted, features, z, [params])
+    (gram, b, yy, log_noise, rows), = gram_sums(support, features, z, [params], collapsed)
     _check_finite(z, gram, b)
     lower_z, lower_a, v, lml, jitter = _from_sums(params, z, gram, b, yy, log_noise, rows)
     eye = np.eye(len(z))
@@ -121,8 +119,12 @@ def solve_sparse(support: DataFrame, features, kernel: KernelConfig, z: np.ndarr
 
 
 def search_sparse(support: DataFrame, features, kernel: KernelConfig, z: np.ndarray,
-                  collapsed: bool = False, n: int = 15, rounds: int = 3, seed: int = 42):
-    """Best kernel by the inducing-point likelihood; one pass per round for all candidates."""
+                  collapsed: bool = False, n: int = 15, rounds: int = 8, seed: int = 42):
+    """Best kernel by the inducing-point likelihood; one pass per round for all candidates.
+
+    Rounds narrow the design around the best candidate until the last two rounds differ
+    by less than TOLERANCE in likelihood; ``rounds`` is the most, running out of them warns.
+    """
     free = kernel.free(len(features))
     outer = np.log([b for _, _, b in free])
     best = np.clip(np.log([v for _, v, _ in free]), outer[:, 0], outer[:, 1])
@@ -130,20 +132,20 @@ def search_sparse(support: DataFrame, features, kernel: KernelConfig, z: np.ndar
     for r in range(rounds):
         thetas = candidate_thetas(best, bounds, n, seed + r)
         kernels = [kernel.with_free(len(features), np.exp(t)) for t in thetas]
+        sets = [k.params(len(features)) for k in kernels]
         scores = []
-        for whites in sorted({k.params(len(features))["white"] for k in kernels}):
-            group = [(i, k.params(len(features))) for i, k in enumerate(kernels)
-                     if k.params(len(features))["white"] == whites]
-            weighted, yy, log_noise, rows = _noise_sums(support, whites, collapsed)
-            sums = gram_sums(weighted, features, z, [p for _, p in group])
-            for (i, params), (gram, b) in zip(group, sums):
-                try:
-                    scores.append((_from_sums(params, z, gram, b, yy, log_noise, rows)[3], -i))
-                except ValueError:
-                    scores.append((-np.inf, -i))
-        top, winner = max(scores)
+        for i, (params, sums) in enumerate(zip(sets, gram_sums(support, features, z, sets, collapsed))):
+            try:
+                scores.append((_from_sums(params, z, *sums)[3], -i))
+            except ValueError:
+                scores.append((-np.inf, -i))
+        before, (top, winner) = top, max(scores)
         best = thetas[-winner]
         width = (outer[:, 1] - outer[:, 0]) * 0.35 ** (r + 1) / 2
         bounds = np.column_stack([np.maximum(best - width, outer[:, 0]),
                                   np.minimum(best + width, outer[:, 1])])
+        if top - before < TOLERANCE:
+            break
+    else:
+        warnings.warn(f"the kernel search stopped after {rounds} rounds without converging; raise rounds", stacklevel=3)
     return kernel.with_free(len(features), np.exp(best)), float(top)

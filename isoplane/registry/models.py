@@ -3,8 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from isoplane.cluster import collect_bounded, spread
-from isoplane.functions.kernels import kernel_column, kernel_profile, squared_distance
+from isoplane.cluster import collect_bounded, materialize
+from isoplane.functions.kernels import kernel_column, kernel_profile, kernel_sums, squared_distance
 from isoplane.functions.scalars import band, rounded
 from isoplane.operators import grids, profiling, replicates, scaling
 from isoplane.operators.encoding import category_combos
@@ -83,13 +83,15 @@ for _name in KERNEL_CONFIGS:
     select l_orderkey, l_linenumber, round(k_sum, 6) + 0.0 as k_sum, round(k_min, 6) + 0.0 as k_min
     from lineitem li join c on li.l_discount + 0.0 = c.l_discount and li.l_tax + 0.0 = c.l_tax"""))
 def kernel_cross(spark, sf):
-    df = spread(lineitem(spark, sf))
-    fitted = {r.column: (r.mean, r.scale) for r in scaling.fit_scaler(df, PAIR).collect()}
-    _, support = _scaled_support(spark, sf)
+    df = lineitem(spark, sf)
+    conditions = models.condition_table(df, ROW_SPEC)
+    conditions = materialize(conditions)
+    fitted = models.scalers_from_conditions(conditions, ROW_SPEC)
     x = [scaling.scaled(F.col(c), fitted[c]) for c in PAIR]
+    support = collect_bounded(conditions.select(*[v.alias(f"x{i}") for i, v in enumerate(x)]), 2_000, "settings")
     kernel = KernelConfig(kernel_type="matern", nu=1.5, length_scale=(0.8, 1.7), constant=2.0)
-    scored = df.select(*LINE, kernel_profile(kernel, support)(F.struct(*x)).alias("k"))
-    return shown(scored.select(*LINE, _total(F.col("k")).alias("k_sum"), F.array_min("k").alias("k_min")), 6, *LINE)
+    scored = df.select(*LINE, kernel_sums(kernel, support)(F.struct(*x)).alias("k"))
+    return shown(scored.select(*LINE, F.col("k.total").alias("k_sum"), F.col("k.least").alias("k_min")), 6, *LINE)
 
 
 @query("kernel_white", gpsql.statement(gpsql.row_points(PAIR), select=f"""
@@ -138,13 +140,16 @@ def gp_weights(spark, sf):
 SCALES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
 
 
-CANDIDATE_SQL = gpsql.statement(
-    gpsql.row_points(["l_discount"]), gpsql.likelihoods("matern32", SCALES), select="""
+def _candidate_sql(scales):
+    return gpsql.statement(gpsql.row_points(["l_discount"]), gpsql.likelihoods("matern32", scales), select="""
     select sol.cid as candidate_id, round(-0.5 * yw.v - 0.5 * ld - m / 2.0 * ln(2 * pi())
              - (within.n - m) / 2.0 * ln(2 * pi() * 0.05) - ssw / (2 * 0.05) - 0.5 * ln_n, 4) + 0.0 as lml
     from sol join yw using (cid), within""")
 
 
+CANDIDATE_SQL = _candidate_sql(SCALES)
+
+
 @query("gp_best_candidate", f"select * from ({CANDIDATE_SQL}) order by lml desc, candidate_id limit 1")
 def gp_best_candidate(spark, sf):
     return gp_lml_candidates(spark, sf).orderBy(F.desc("lml"), "candidate_id").limit(1)
@@ -162,6 +167,19 @@ def gp_lml_candidates(spark, sf):
     return scored.select(F.col("candidate_id").cast("int").alias("candidate_id"), rounded(F.col("lml"), 4).alias("lml"))
 
 
+# One free parameter: the constant's bounds hold it. The grid is fine enough for the digit shown.
+ONE_SCALE = KernelConfig(kernel_type="matern", nu=1.5, constant_bounds=(1.0, 1.0 + 1e-9))
+SCALE_GRID = [float(v) for v in np.geomspace(*ONE_SCALE.length_scale_bounds, 400)]
+
+
+@query("gp_search_scale", f"select round(max(lml), 1) + 0.0 as lml from ({_candidate_sql(SCALE_GRID)})")
+def gp_search_scale(spark, sf):
+    """The likelihood that the search reaches, against the best of a fine grid of length scales."""
+    spec = AnalysisSpec(("l_discount",), TARGET, mode="mean")
+    model = models.fit_model(lineitem(spark, sf), spec, ONE_SCALE)
+    return spark.createDataFrame([(model.solution.lml,)], "lml double").select(rounded(F.col("lml"), 1).alias("lml"))
+
+
 @query("gp_search")
 def gp_search(spark, sf):
     model = models.fit_model(lineitem(spark, sf), ROW_SPEC, M32)
@@ -316,8 +334,10 @@ def _block_sql(value):
             round(mean * ys + ym, 6) + 0.0 as fit_mean, round(std * ys, 6) + 0.0 as fit_std from g join f on g.i = f.pid, nm""")
 
 
-@query("gp_per_block", " union all ".join(f"select * from ({_block_sql(v)})" for v in FLAGS[0][1]))
-def gp_per_block(spark, sf):
+PER_BLOCK_SQL = " union all ".join(f"select * from ({_block_sql(v)})" for v in FLAGS[0][1])
+
+
+def _per_block(spark, sf, **options):
     # Block and keys are summarised raw and scaled afterwards, so equal settings stay equal.
     df = lineitem(spark, sf)
     row = scaling.scaler_row(df, ["l_discount", TARGET])
@@ -325,10 +345,21 @@ def gp_per_block(spark, sf):
     summary = summary.select("l_returnflag", ((F.col("l_discount") - row["m0"]) / row["s0"]).alias("l_discount"),
                              ((F.col("mean") - row["m1"]) / row["s1"]).alias("mean"),
                              (F.col("std") / row["s1"]).alias("std"), "count")
-    out = blocks.block_models(summary, "l_returnflag", ["l_discount"], "mean", M32, noise="sem")
+    out = blocks.block_models(summary, "l_returnflag", ["l_discount"], "mean", M32, noise="sem", **options)
     return shown(out.drop("lml"), 6, "l_returnflag")
 
 
+@query("gp_per_block", PER_BLOCK_SQL)
+def gp_per_block(spark, sf):
+    return _per_block(spark, sf)
+
+
+@query("gp_per_block_sparse", PER_BLOCK_SQL)
+def gp_per_block_sparse(spark, sf):
+    """With every condition inducing the result is the exact one."""
+    return _per_block(spark, sf, method="sparse")
+
+
 # --- grids -----------------------------------------------------------------
 
 def _grid_sql(column, name, n, log=False):
@@ -423,9 +454,9 @@ def scatter_1d(spark, sf):
 
 SURFACE_CTES = (
     gpsql.row_points(PAIR), gpsql.solved("matern32", 2),
-    """gr as (select j * 50 + i as pid, x0 + i / 49.0::double * (x1 - x0) x, y0 + j / 49.0::double * (y1 - y0) y
+    """gr as (select j * 100 + i as pid, x0 + i / 99.0::double * (x1 - x0) x, y0 + j / 99.0::double * (y1 - y0) y
         from (select min(l_discount) x0, max(l_discount) x1, min(l_tax) y0, max(l_tax) y1 from lineitem),
-             range(50) a(i), range(50) b(j))""",
+             range(100) a(i), range(100) b(j))""",
     "p as (select pid, (x - m_l_discount) / s_l_discount x1, (y - m_l_tax) / s_l_tax x2 from gr, s)",
     gpsql.predicted("matern32", 2),
     f"""sf as (select pid::int as point_id, x, y, greatest(mean * s_{TARGET} + m_{TARGET}, 0) as mean, std
@@ -436,7 +467,7 @@ SURFACE_CTES = (
     select point_id, round(x, 8) + 0.0 as x, round(y, 8) + 0.0 as y, round(mean, 1) + 0.0 as mean,
            round(std, 6) + 0.0 as std from sf"""))
 def surface_2d(spark, sf):
-    return shown(frames.surface_2d(row_model(spark, sf), *PAIR, n=50), 1, "point_id", x=8, y=8, std=6)
+    return shown(frames.surface_2d(row_model(spark, sf), *PAIR), 1, "point_id", x=8, y=8, std=6)
 
 
 @query("surface_bands", gpsql.statement(
@@ -444,7 +475,7 @@ def surface_2d(spark, sf):
     select point_id, least(floor((mean - m0) * 40 / (m1 - m0)) + 1, 40)::int as mean_band,
            least(floor((std - s0) * 40 / (s1 - s0)) + 1, 40)::int as std_band from sf, r"""))
 def surface_bands(spark, sf):
-    surface = frames.surface_2d(row_model(spark, sf), *PAIR, n=50)
+    surface = frames.surface_2d(row_model(spark, sf), *PAIR)
     return frames.surface_bands(surface).select("point_id", "mean_band", "std_band")
 
 

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from isoplane.functions.formulas import derive_columns, log10_columns
@@ -99,3 +100,27 @@ def test_large_integers_do_not_overflow(spark):
 def test_python_division_rules(spark, a, b):
     row = derive_columns(spark.createDataFrame([(a, b)], "a int, b int"), ["q = a // b", "m = a % b"]).first()
     assert (row.q, row.m) == ((a // b, a % b) if b else (None, None))
+
+
+def test_the_whole_range_of_doubles_and_longs(spark):
+    big, inf = 2 ** 53, float("inf")
+    rows = [(1e300, big + 1, 7), (-1e300, -big - 1, -7), (float(big), big, 2), (big - 0.5, 2 ** 63 - 1, 10), (inf, -2 ** 63, 3),
+            (-2.5, 9007199254740993, 1), (2.5, -9, 4), (None, None, 5)]
+    df = spark.createDataFrame(rows, "x double, k long, m long")
+    out = derive_columns(df, ["fl = np.floor(x)", "ce = np.ceil(x)", "q = x // 1", "r = x % 7", "kq = k // m", "kr = k % m"]).collect()
+    for (x, k, m), row in zip(rows, out):
+        if x is None:
+            assert list(row)[3:] == [None] * 6
+            continue
+        assert (row.fl, row.ce) == (float(np.floor(x)), float(np.ceil(x)))
+        assert (row.q, row.r) == ((x // 1, x % 7) if not np.isinf(x) else (None, None))
+        assert (row.kq, row.kr) == (k // m, k % m)
+
+
+def test_rounding_leaves_large_values(spark):
+    from isoplane.functions.scalars import rounded
+    values = [1e12, -1e300, 2.0 ** 53 + 2, 0.125, -0.125, 1.005, float("inf"), None]
+    out = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(
+        rounded(F.col("v"), 8).alias("v")).collect()]
+    assert out == values
+    assert spark.range(1).select(rounded(F.lit(-0.125), 2).alias("v")).first().v == -0.13

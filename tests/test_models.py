@@ -113,11 +113,13 @@ def test_sparse_is_exact_with_every_point(df):
 
 def test_sparse_is_close_with_fewer_points(df):
     exact = models.fit_model(df, ROW, KERNELS[0], tune=False)
-    few = models.fit_model(df, ROW, KERNELS[0], tune=False, max_support=5, inducing=20)
+    few = models.fit_model(df, ROW, KERNELS[0], tune=False, method="sparse", inducing=20)
     assert (exact.method, few.method) == ("exact", "sparse") and len(few.solution.points) == 20
     assert few.solution.lml <= exact.solution.lml + 1e-6
-    with pytest.raises(ValueError, match="more than 5 conditions"):
-        models.fit_model(df, ROW, KERNELS[0], tune=False, max_support=5, method="exact")
+    with pytest.raises(ValueError, match="more than max_support, 5"):
+        models.fit_model(df, ROW, KERNELS[0], tune=False, max_support=5)
+    with pytest.raises(ValueError, match="inducing must be between"):
+        models.fit_model(df, ROW, KERNELS[0], tune=False, method="sparse", max_support=5, inducing=20)
 
 
 def test_search_improves_and_repeats(df):
@@ -143,7 +145,13 @@ def test_start_outside_the_bounds_is_clipped(spark):
 def test_block_models(spark, pdf):
     g = pdf.groupby(["c", "a"]).y.agg(["mean", "std", "count"]).reset_index()
     df = spark.createDataFrame(g)
-    for options in ({}, {"max_support": 3, "inducing": 50}):
+    with pytest.raises(ValueError, match="more than max_support, 3"):
+        blocks.block_models(df, "c", ["a"], "mean", KERNELS[2], noise="sem", max_support=3)
+    for method in ("exact", "sparse"):
+        with pytest.raises(ValueError, match="missing inputs, values or noise"):
+            blocks.block_models(df.withColumn("std", F.when(F.col("a") > df.agg(F.min("a")).first()[0], F.col("std"))),
+                                "c", ["a"], "mean", KERNELS[2], noise="sem", method=method)
+    for options in ({}, {"method": "sparse", "inducing": 50}):
         got = blocks.block_models(df, "c", ["a"], "mean", KERNELS[2], noise="sem", **options).toPandas()
         for c, block in g.groupby("c"):
             x = block[["a"]].to_numpy()
@@ -322,12 +330,13 @@ def test_condition_collapse(spark, df, pdf):
 def test_gram_sums_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(9)
     x, y = rng.normal(size=(300, 2)), rng.normal(size=300)
-    df = spark.createDataFrame([(*map(float, r), float(v), 2.0) for r, v in zip(x, y)], "f0 double, f1 double, y double, weight double")
+    df = spark.createDataFrame([(*map(float, r), float(v), 0.5) for r, v in zip(x, y)], "f0 double, f1 double, y double, noise double")
     z = x[:7]
     k = kernel_block(KERNELS[0].params(2), x, z)
     for parts in (1, 13):
-        (gram, b), = sparse.gram_sums(df.repartition(parts), ["f0", "f1"], z, [KERNELS[0].params(2)])
+        (gram, b, yy, log_noise, rows), = sparse.gram_sums(df.repartition(parts), ["f0", "f1"], z, [KERNELS[0].params(2)])
         assert gram == pytest.approx(2 * k.T @ k) and b == pytest.approx(2 * k.T @ y)
+        assert (yy, log_noise, rows) == pytest.approx((2 * y @ y, 300 * np.log(0.5), 300))
 
 
 def test_rows_need_no_collapse_for_inducing_points(df):
@@ -350,9 +359,69 @@ def test_inducing_points_are_the_smallest_hashes(spark):
     assert len(sparse.choose_inducing(hot, ["f0"], 15)) == 15
 
 
-def test_many_conditions_warn(df):
-    with pytest.warns(UserWarning, match="inducing points"):
-        models.fit_model(df, ROW, KERNELS[2], tune=False, max_support=5)
+def test_the_method_never_changes_with_the_size(spark):
+    df = spark.range(2001).select((F.col("id") / 100).alias("a"), F.lit("u").alias("b"), F.lit("x").alias("c"),
+                                  F.sin(F.col("id") / 100).alias("y"))
+    spec = AnalysisSpec(("a",), "y", mode="mean")
+    with pytest.raises(ValueError, match="2001 conditions, more than max_support, 2000"):
+        models.fit_model(df, spec, KERNELS[0], tune=False)
+    assert models.fit_model(df, spec, KERNELS[0], tune=False, max_support=2500).method == "exact"
+
+
+def test_dropped_conditions_are_reported(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (2.0, 1.0), (2.0, 1.5), (3.0, 1.0), (None, 1.0)], "a double, y double")
+    spec = AnalysisSpec(("a",), "y", mode="std", noise="constant")
+    with pytest.warns(UserWarning, match="1 conditions with a single row and 1 with missing inputs"):
+        models.fit_model(df, spec, KERNELS[0], tune=False)
+
+
+def test_a_search_that_runs_out_of_steps_warns(df):
+    with pytest.warns(UserWarning, match="without converging"):
+        models.fit_model(df, ROW, KERNELS[2], search_options={"max_steps": 3})
+
+
+def test_ten_inputs_converge():
+    from isoplane.plans.search import climb
+    rng = np.random.default_rng(1)
+    best = rng.uniform(-1, 1, 10)
+    low, high = np.full(10, -2.0), np.full(10, 2.0)
+    theta, value, done = climb(lambda t: -((t - best) ** 2 * np.arange(1, 11)).sum(), np.zeros(10), -1e9, low, high)
+    assert done and np.abs(theta - best).max() < 2e-3
+
+
+def test_white_noise_is_searched_in_one_pass_per_round(df, monkeypatch):
+    passes = []
+    real = sparse.gram_sums
+    monkeypatch.setattr(sparse, "gram_sums", lambda *a, **k: passes.append(len(a[3])) or real(*a, **k))
+    kernel = KernelConfig(white_noise=True, noise_level=0.1)
+    models.fit_model(df, ROW, kernel, method="sparse", inducing=10, search_options={"rounds": 2})
+    assert len(passes) <= 3 and passes[-1] == 1
+
+
+def test_many_levels_fit(spark):
+    rows = [(float(i % 7), f"level{i % 250:03d}", float(i % 13)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, c string, y double")
+    spec = AnalysisSpec(("a",), "y", cat_cols=("c",), mode="mean")
+    with pytest.raises(ValueError, match="more than 200 levels"):
+        models.fit_model(df, spec, KERNELS[0], tune=False)
+    assert len(models.fit_model(df, spec, KERNELS[0], tune=False, max_levels=300, max_support=3000).levels["c"]) == 250
+
+
+def test_scatter_meets_combinations_by_value(spark):
+    import datetime
+    import decimal
+    stamps = [datetime.datetime(2024, 1, 1, 0, 0, 0, 250_000 * (k % 4)) for k in range(12)]
+    cases = {"t timestamp": stamps, "s string": [None, "nan", "a, b=c", "x"] * 3, "b boolean": [True, False, None] * 4,
+             "d decimal(10,2)": [decimal.Decimal(k % 3) for k in range(12)], "f double": [1e7, 0.1, 3.0] * 4,
+             "day date": [datetime.date(2024, 1, 1 + k % 3) for k in range(12)]}
+    for column, values in cases.items():
+        name = column.split()[0]
+        df = spark.createDataFrame([(float(k), v, float(k % 5)) for k, v in enumerate(values)], f"a double, {column}, y double")
+        model = models.fit_model(df, AnalysisSpec(("a",), "y", cat_cols=(name,), mode="mean"), KERNELS[0], tune=False)
+        drawn = frames.scatter_1d(model, "a", df).toPandas()
+        assert len(drawn) == 24 and (drawn.combo == "All").sum() == 12, column
+        assert (drawn[drawn.combo_id > 0].groupby("combo_id").size().sort_index().tolist()
+                == [sum(v == c["values"][name] for v in values) for c in model.combos]), column
 
 
 def test_search_reaches_the_optimum(spark):
@@ -427,13 +496,43 @@ def test_large_blocks_in_chunks(spark, monkeypatch):
     def fitted(**options):
         return blocks.block_models(df, "b", ["p", "q"], "y", KERNELS[2], **options).toPandas().sort_values(["b", "p", "q"])
 
-    exact, every = fitted(), fitted(max_support=10, inducing=100)
+    exact, every = fitted(), fitted(method="sparse", inducing=100)
     assert len(every) == len(pdf) and every.columns.tolist() == exact.columns.tolist()
     for column, tolerance in (("fit_mean", 1e-6), ("fit_std", 1e-5), ("lml", 1e-5)):
         assert every[column].to_numpy() == pytest.approx(exact[column].to_numpy(), abs=tolerance)
-    few = fitted(max_support=10, inducing=9)
+    few = fitted(method="sparse", inducing=9)
     monkeypatch.setattr(blocks, "CHUNK_ROWS", 7)
     for wanted, options in ((every, {"inducing": 100}), (few, {"inducing": 9})):
-        chunked = fitted(max_support=10, **options)
+        chunked = fitted(method="sparse", **options)
         assert chunked.fit_mean.to_numpy() == pytest.approx(wanted.fit_mean.to_numpy(), abs=1e-6)
         assert chunked.fit_std.to_numpy() == pytest.approx(wanted.fit_std.to_numpy(), abs=1e-5)
+
+
+def test_store_keeps_dates_and_the_last_whole_model(spark, tmp_path):
+    import datetime
+    import decimal
+    rows = [(float(k % 4), datetime.date(2024, 1, 1 + k % 3), decimal.Decimal(k % 2), float(k % 5)) for k in range(24)]
+    df = spark.createDataFrame(rows, "a double, day date, d decimal(8,2), y double")
+    spec = AnalysisSpec(("a",), "y", cat_cols=("day", "d"), mode="mean")
+    store = ModelStore(str(tmp_path), "one")
+    store.save(models.fit_model(df, spec, KERNELS[0], tune=False))
+    second = models.fit_model(df, spec, KERNELS[2], tune=False)
+    store.save(second)
+    loaded = store.load(spark, "mean")
+    assert loaded.levels == second.levels and loaded.kernel == second.kernel
+    assert [c["values"] for c in loaded.combos] == [c["values"] for c in second.combos]
+    a, b = ([r.pred_mean for r in models.predict_rows(m, df).orderBy("a", "day", "d", "y").collect()] for m in (second, loaded))
+    assert a == pytest.approx(b)
+    with pytest.raises(ValueError, match="fit one first"):
+        store.load(spark, "std")
+
+
+def test_surfaces_by_combination(df):
+    spec = AnalysisSpec(("a", "b"), "y", cat_cols=("c",), mode="mean")
+    model = models.fit_model(df, spec, KERNELS[2], tune=False)
+    every = frames.surface_2d(model, "a", "b", 6, by_combo=True).toPandas()
+    assert every.columns.tolist() == ["combo_id", "combo", "point_id", "x", "y", "mean", "std"]
+    assert len(every) == 36 * (len(model.combos) + 1)
+    plain = frames.surface_2d(model, "a", "b", 6).toPandas().sort_values("point_id")
+    whole = every[every.combo_id == 0].sort_values("point_id")
+    assert whole["mean"].to_numpy() == pytest.approx(plain["mean"].to_numpy()) and whole.combo.unique().tolist() == ["All"]
