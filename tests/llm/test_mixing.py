@@ -50,3 +50,27 @@ def test_too_many_sources(spark, monkeypatch):
     monkeypatch.setattr(op, "MAX_SOURCES", 2)
     with pytest.raises(ValueError, match="3 sources"):
         op.mixed(documents(spark, [(i, "t", str(i)) for i in range(3)]))
+
+
+def test_hot_source_among_a_thousand_keeps_its_target(spark):
+    counts = {f"s{i:04}": 1 + i % 4 for i in range(999)} | {"hot": 2000}
+    rows = [(k * 10_000 + i, "t", s) for k, (s, n) in enumerate(counts.items()) for i in range(n)]
+    out, order = mixed_rows(op.mixed(documents(spark, rows), block_rows=1))
+    assert len(out) == len(rows)
+    target = {s: n ** 0.5 for s, n in counts.items()}
+    weight = {r.source: r.weight for r in out}
+    assert all(abs(weight[s] - target[s] / sum(target.values())) < 1e-9 for s in counts)
+    # The mix that gives all sources that are left slots in proportion to their targets.
+    by_end = sorted(counts, key=lambda s: counts[s] / target[s])
+    gone, live, phases = 0, sum(target.values()), []
+    for s in by_end:
+        phases.append((gone + live * counts[s] / target[s], gone, live))
+        gone, live = gone + counts[s], live - target[s]
+    done, k = dict.fromkeys(counts, 0), 0
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        while k < len(phases) - 1 and phases[k][0] <= t:
+            k += 1
+        for x in counts if t % 50 == 0 else ("hot", s):
+            share = min(counts[x], target[x] * (t - phases[k][1]) / phases[k][2])
+            assert abs(done[x] - share) < 1 + 1e-6, (t, x, done[x], share)
