@@ -13,6 +13,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from isoplane.llm import queries
+from isoplane.llm.mixing import mixed
+from tests.llm.test_near_duplicates import brute_force
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -96,3 +98,37 @@ def test_pipeline_stages(spark, duck):
         docs = after
     assert [r.doc_id for r in sorted(docs.collect(), key=lambda r: r.start)] == order
     assert corpus_pipeline.run(spark, SF_DIR).count() == len(order)
+
+
+def test_pipeline_stages_match_plain_versions(spark, duck):
+    """Every stage on what the stage before it kept."""
+    def staged(stage, docs):
+        path = corpus_pipeline.new_folder(spark, "test-plain")
+        stage(spark, docs, SF_DIR).write.parquet(path)
+        return spark.read.parquet(path)
+
+    def texts(df):
+        return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+    docs = staged(corpus_pipeline.quality, queries.table(spark, SF_DIR, "documents"))
+    before, docs = texts(docs), staged(corpus_pipeline.near_duplicate, docs)
+    kept = {i for i, _, _, first in brute_force([(i, t, None) for i, t in before.items()], 5) if first}
+    assert len(kept) < len(before) and docs.count() == len(kept)
+    assert texts(docs) == {i: before[i] for i in kept}
+
+    fold = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    items = [fold(t) for t, in duck.execute("select text from benchmark").fetchall()]
+    before, docs = texts(docs), staged(corpus_pipeline.decontamination, docs)
+    after, leaking = texts(docs), {i for i, t in before.items() if any(x in fold(t or "") for x in items)}
+    dropped = before.keys() - after.keys()
+    assert leaking and leaking <= dropped and len(dropped - leaking) <= 1
+    assert after == {i: t for i, t in before.items() if i not in dropped} and docs.count() == len(after)
+
+    order = [r.doc_id for r in sorted(mixed(docs).select("doc_id", "place").collect(), key=lambda r: r.place)]
+    tokenizer, at, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
+    for doc in order:
+        ids = tokenizer.encode(after[doc] or "", add_special_tokens=False).ids + [1]
+        want.append((at, doc, zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    out = staged(corpus_pipeline.tokens, staged(corpus_pipeline.mixing, docs)).collect()
+    assert sorted((r.start, r.doc_id, r.ids_crc32) for r in out) == want
