@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from isoplane.llm.decontamination import leaks
 from isoplane.llm.exact_dedup import exact_duplicates
+from isoplane.llm.filter_audit import failure_masks, filter_audit
 from isoplane.llm.licenses import AGREE, BASE, NEAR, RARE, TEMPLATES, license_scan
 from isoplane.llm.mixing import BLOCK_ROWS, PARTS, mixed
 from isoplane.llm.near_duplicates import near_duplicates
@@ -288,3 +289,32 @@ def op8_section_tokens(spark, sf_dir):
     import public_tokenizers
 
     return section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+AUDIT_SQL = """
+    with l as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by doc_id),
+    d as (select d.doc_id, coalesce(text, '') as text, coalesce(lang, '') as part, coalesce(good, false) as good,
+        coalesce(toxic, false) as toxic from documents d left join l using (doc_id)),
+    w as (select *, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda x: x <> '') as ws from d),
+    f as (select part, good, toxic, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+        100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text), regexp_matches(text, '[#$%&*|]'),
+        doc_id > min(doc_id) over (partition by text)] as fails from w),
+    m as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by all),
+    i as (select unnest(range(1, 6)) as i),
+    o as (select [a.i, b.i, c.i, d.i, e.i] as p from i a, i b, i c, i d, i e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    x as (select part, n, good, toxic, fails, p, k.i as step, p[k.i] as filter,
+        len(list_filter(p[1:k.i - 1], lambda q: fails[q])) as earlier, len(list_filter(fails, lambda y: y)) as many from m, o, i k),
+    s as (select part, p, step, filter, coalesce(sum(n) filter (earlier = 0 and not fails[filter]), 0)::bigint as kept,
+        coalesce(sum(n) filter (earlier = 0 and fails[filter]), 0)::bigint as removed,
+        coalesce(sum(n) filter (earlier > 0 and fails[filter]), 0)::bigint as redundant,
+        coalesce(sum(n) filter (many = 1 and fails[filter]), 0)::bigint as unique_fails,
+        coalesce(sum(good) filter (earlier = 0 and fails[filter]), 0)::bigint as good_lost,
+        coalesce(sum(toxic) filter (earlier = 0 and fails[filter]), 0)::bigint as toxic_lost from x group by all)
+    select part, array_to_string(list_transform(p, lambda q: 'ABCDE'[q]), '') as filter_order, step::int as step, kept, removed, redundant,
+        unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, filter))::bigint as shapley from s"""
+
+
+@query("op12_filter_diagram", AUDIT_SQL)
+def op12_filter_diagram(spark, sf_dir):
+    """Steps of five filters over all documents in all 120 orders, by language."""
+    masks = failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit(masks, list("ABCDE"))
