@@ -9,6 +9,7 @@ from isoplane.llm.licenses import AGREE, BASE, NEAR, RARE, TEMPLATES, license_sc
 from isoplane.llm.mixing import BLOCK_ROWS, PARTS, mixed
 from isoplane.llm.near_duplicates import near_duplicates
 from isoplane.llm.quality import fit_network, quality_scores
+from isoplane.llm.rarity_digest import edited_likeness, fit_ranks
 from isoplane.llm.sharding import histogram_shards, uniform_key
 from isoplane.llm.storage import new_folder
 from isoplane.llm.token_counts import section_tokens
@@ -318,3 +319,10 @@ def op12_filter_diagram(spark, sf_dir):
     """Steps of five filters over all documents in all 120 orders, by language."""
     masks = failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return filter_audit(masks, list("ABCDE"))
+
+
+@query("op11_rarity_digest")
+def op11_rarity_digest(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts; ranks come from all windows of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edited_likeness(docs, fit_ranks(docs))
