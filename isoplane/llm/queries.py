@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from isoplane.llm.collocations import collocations
 from isoplane.llm.decontamination import leaks
 from isoplane.llm.exact_dedup import exact_duplicates
 from isoplane.llm.filter_audit import failure_masks, filter_audit
@@ -326,3 +327,30 @@ def op11_rarity_digest(spark, sf_dir):
     """Fingerprints of all documents and of their edited texts; ranks come from all windows of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return edited_likeness(docs, fit_ranks(docs))
+
+
+COLLOCATION_SQL = """
+    with pieces as (select doc_id, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+    w as (select lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') as ws from pieces),
+    grams as (select lang, unnest(flatten(list_transform(range(1, 6), lambda m: list_transform(range(1, len(ws) - m + 2),
+        lambda i: ws[i:i + m - 1])))) as g from w),
+    f as (select lang, g, count(*) as f from grams group by lang, g),
+    n as (select lang, sum(f) as n from f where len(g) = 1 group by lang),
+    c as (select lang, g, f as a from f where f >= 100 and len(g) > 1),
+    k as (select lang, g, a, unnest(range(1, len(g))) as k from c),
+    s as (select k.lang, k.g, a, k, l.f as l, r.f as r, n, ((1000::hugeint * a * n) // (l.f::hugeint * r.f))::bigint as score from k
+        join f l on l.lang = k.lang and l.g = k.g[1:k] join f r on r.lang = k.lang and r.g = k.g[k + 1:] join n on n.lang = k.lang),
+    best as (select *, row_number() over (partition by lang, g order by score, k) as nth from s),
+    inside as (select c.lang, d.g from c join c d on c.lang = d.lang and len(c.g) > len(d.g) and c.a >= d.a
+        and list_contains(list_transform(range(1, len(c.g) - len(d.g) + 2), lambda i: c.g[i:i + len(d.g) - 1]), d.g)),
+    kept as (select lang, array_to_string(g, ' ') as phrase, a, l, r, n::bigint as n, score from best
+        where nth = 1 and (lang, g) not in (select lang, g from inside)),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+    select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000"""
+
+
+@query("op13_phrase_quicksort", COLLOCATION_SQL)
+def op13_phrase_quicksort(spark, sf_dir):
+    """The 2,000 phrases of every language that stand together most, from the words of all documents."""
+    return collocations(table(spark, sf_dir, "documents"))
