@@ -90,6 +90,42 @@ def kernel_block(params: dict, x: np.ndarray, z: np.ndarray) -> np.ndarray:
     return params["amplitude"] * base
 
 
+def kernel_slopes(params: dict, x: np.ndarray, z: np.ndarray):
+    """Covariances of all rows of ``x`` and ``z``, and what their derivatives are made of.
+
+    Returns ``k``, ``g`` and ``h``: by the log of length scale ``l_j`` the covariance changes by
+    ``g * ((x_j - z_j) / l_j)**2``, by the log of the amplitude by ``k``, and by the log of the
+    rational quadratic's alpha by ``h`` (None for other kernels).
+    """
+    d2 = np.zeros((len(x), len(z)))
+    for j, scale in enumerate(params["scales"]):
+        d2 += scaled_squares(x, z, j, scale)
+    h, amplitude = None, params["amplitude"]
+    if params["type"] == "rbf":
+        k = g = amplitude * np.exp(-0.5 * d2)
+    elif params["type"] == "rq":
+        u = 1 + d2 / (2 * params["alpha"])
+        k = amplitude * u ** -params["alpha"]
+        g = k / u
+        h = k * (d2 / (2 * u) - params["alpha"] * np.log(u))
+    else:
+        r = np.sqrt(d2 * (2 * params["nu"]))
+        e = amplitude * np.exp(-r)
+        if params["nu"] == 0.5:
+            k, g = e, e / np.where(r > 0, r, np.inf)
+        elif params["nu"] == 1.5:
+            k, g = (1 + r) * e, 3 * e
+        else:
+            k, g = (1 + r + r * r / 3) * e, 5 / 3 * (1 + r) * e
+    return k, g, h
+
+
+def scaled_squares(x: np.ndarray, z: np.ndarray, j: int, scale: float) -> np.ndarray:
+    """``((x_j - z_j) / scale)**2`` for all rows of ``x`` and ``z``."""
+    step = np.subtract.outer(x[:, j] / scale, z[:, j] / scale)
+    return step * step
+
+
 def feature_matrix(batch: pa.Array) -> np.ndarray:
     """Arrow struct of feature columns as a matrix, missing values as NaN."""
     return np.column_stack([f.to_numpy(zero_copy_only=False) for f in batch.flatten()])

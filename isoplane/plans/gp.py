@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from isoplane.functions.kernels import feature_matrix, kernel_block, row_blocks
+from isoplane.functions.kernels import feature_matrix, kernel_block, kernel_slopes, row_blocks, scaled_squares
 from isoplane.sources.tables import col, number
 from isoplane.spec import CONSTANT_NOISE, KernelConfig
 
@@ -97,6 +97,43 @@ def collapsed_likelihood(params, x, y, counts, within, constant):
     return float(lml), lower, z, jitter
 
 
+def parameter_slopes(kernel: KernelConfig, params: dict, x: np.ndarray, z: np.ndarray, contract, white: float) -> np.ndarray:
+    """What ``contract`` makes of the covariance's derivative by the log of every free parameter.
+
+    ``contract`` reduces a matrix over ``x`` and ``z`` to numbers; ``white`` is its value for white noise.
+    """
+    k, g, h = kernel_slopes(params, x, z)
+    out = [contract(g * scaled_squares(x, z, j, scale)) for j, scale in enumerate(params["scales"])]
+    if sum(name == "length_scale" for name, _, _ in kernel.free(x.shape[1])) == 1:
+        out = [np.sum(out, axis=0)]
+    out.append(white if kernel.white_noise else contract(k))
+    return np.array(out + ([contract(h)] if h is not None else []))
+
+
+def likelihood_slope(kernel: KernelConfig, x, y, noise, counts=None, within=0.0):
+    """Log likelihood and its gradient by the logs of the free parameters.
+
+    By a parameter t it changes by ``(a' dK a - trace(K^-1 dK)) / 2`` with ``a = K^-1 y``
+    (Rasmussen and Williams 2006, 5.9); for conditions of ``counts`` rows, white noise also acts
+    inside them.
+    """
+    params = kernel.params(x.shape[1])
+    if counts is None:
+        lml, lower, z, jitter = log_likelihood(params, x, y, noise)
+        share = np.ones(len(x))
+    else:
+        lml, lower, z, jitter = collapsed_likelihood(params, x, y, counts, within, noise)
+        share = 1 / counts
+    inverse = forward(lower, np.eye(len(x)))
+    a = inverse.T @ z
+    weights = np.outer(a, a) - inverse.T @ inverse
+    white = params["white"] * (np.diag(weights) * share).sum()
+    if counts is not None and params["white"]:
+        row_noise = noise + params["white"]
+        white -= params["white"] * ((counts.sum() - len(y)) / row_noise - within / row_noise ** 2)
+    return lml, 0.5 * parameter_slopes(kernel, params, x, x, lambda d: np.vdot(weights, d), white)
+
+
 def solve(kernel: KernelConfig, x, y, noise, counts=None, within=0.0, y_mean=None, y_scale=None):
     """Exact fit. With ``counts`` the noise is per row and the points are conditions."""
     _check_finite(x, y, noise)

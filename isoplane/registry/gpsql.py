@@ -110,8 +110,9 @@ def sparse_predicted(kind, dims):
 def predicted(kind, dims, scales=None, with_std=True):
     """From ``p`` to ``f(pid, mean, std)`` in normalised units."""
     spread = """
-    pv as (select a.pid, sum(a.v * ki.v * b.v) q from kp a join ki on a.i = ki.i
-             join kp b on b.pid = a.pid and b.i = ki.j group by a.pid),
+    kl as materialized (select pid, list(v order by i) kv from kp group by pid),
+    kr as materialized (select j, list(v order by i) r from ki group by j),
+    pv as (select pid, sum(list_dot_product(kv, r) * kv[j + 1]) q from kl, kr group by pid),
     f as (select pid, m as mean, sqrt(greatest(1 - q, 0)) as std from pm join pv using (pid))"""
     return f"""
     kp as materialized (select p.pid, g.i, {kern(kind, 'p', 'g', dims, scales)} v from p, g),
@@ -151,3 +152,28 @@ def likelihoods(kind, scales):
     sol as (select * from gj where step = m),
     yw as (select cid, sum(g.y * a[g.i + 1][m + 1]) v from sol, g group by cid),
     within as (select sum(ssw) ssw, sum(n) n, sum(ln(n)) ln_n from g)"""
+
+
+def design_likelihoods(kind, dims, thetas):
+    """``dl(cid, lml)``: row-mode log likelihood of every candidate (length scales, constant), from ``g``.
+
+    The matrix loses its first row and column in every step; pivots and what they leave of
+    the target give determinant and quadratic form.
+    """
+    names = [f"l{k + 1}" for k in range(dims)]
+    listed = ", ".join(f"({i}, {', '.join(f'{v!r}::double' for v in t)})" for i, t in enumerate(thetas))
+    d2 = " + ".join(f"pow((a.x{k + 1} - b.x{k + 1}) / t.{n}, 2)" for k, n in enumerate(names))
+    return f"""
+    t(cid, {', '.join(names)}, c) as (values {listed}),
+    dk as (select t.cid, a.i i, b.i j, a.y, t.c * {KERNELS[kind].format(d2=d2)} + case when a.i = b.i then a.nz else 0 end v
+          from g a, g b, t),
+    d0 as (select cid, i, list(v order by j) || [any_value(y)] row_ from dk group by cid, i),
+    dg(cid, m, a, ld, q) as (
+      select cid, count(*), list(row_ order by i), 0.0::double, 0.0::double from d0 group by cid
+      union all
+      select cid, m, list_transform(rest, lambda r: list_transform(list_zip(r[2:], top[2:]), lambda z: z[1] - r[1] / top[1] * z[2])),
+        ld + ln(top[1]), q + pow(top[len(top)], 2) / top[1]
+      from (select *, a[1] as top, a[2:] as rest from dg) where len(a) > 0),
+    within as (select sum(ssw) ssw, sum(n) n, sum(ln(n)) ln_n from g),
+    dl as (select cid, -0.5 * q - 0.5 * ld - m / 2.0 * ln(2 * pi()) - (within.n - m) / 2.0 * ln(2 * pi() * 0.05)
+             - ssw / (2 * 0.05) - 0.5 * ln_n as lml from dg, within where len(a) = 0)"""

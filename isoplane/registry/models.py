@@ -140,10 +140,10 @@ def gp_weights(spark, sf):
 SCALES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
 
 
-def _candidate_sql(scales):
-    return gpsql.statement(gpsql.row_points(["l_discount"]), gpsql.likelihoods("matern32", scales), select="""
+def _candidate_sql(scales, digits=4):
+    return gpsql.statement(gpsql.row_points(["l_discount"]), gpsql.likelihoods("matern32", scales), select=f"""
     select sol.cid as candidate_id, round(-0.5 * yw.v - 0.5 * ld - m / 2.0 * ln(2 * pi())
-             - (within.n - m) / 2.0 * ln(2 * pi() * 0.05) - ssw / (2 * 0.05) - 0.5 * ln_n, 4) + 0.0 as lml
+             - (within.n - m) / 2.0 * ln(2 * pi() * 0.05) - ssw / (2 * 0.05) - 0.5 * ln_n, {digits}) + 0.0 as lml
     from sol join yw using (cid), within""")
 
 
@@ -180,12 +180,25 @@ def gp_search_scale(spark, sf):
     return spark.createDataFrame([(model.solution.lml,)], "lml double").select(rounded(F.col("lml"), 1).alias("lml"))
 
 
-@query("gp_search")
+PAIR_BOUNDS = np.log([b for _, _, b in M32.free(2)])
+PAIR_START = np.log([v for _, v, _ in M32.free(2)])
+PAIR_DESIGN = [np.exp(t).tolist() for t in search.candidate_thetas(PAIR_START, PAIR_BOUNDS, search.CANDIDATES, 42)]
+
+
+@query("gp_search", gpsql.statement(gpsql.row_points(PAIR), gpsql.design_likelihoods("matern32", 2, PAIR_DESIGN), select="""
+    select cid::int as candidate_id, round(l1, 6) + 0.0 as l_discount, round(l2, 6) + 0.0 as l_tax, round(c, 6) + 0.0 as constant,
+           round(lml, 2) + 0.0 as lml, true as reached from dl join t using (cid)"""))
 def gp_search(spark, sf):
+    """Likelihoods of the search's design, and whether the tuned model's likelihood reaches each."""
     model = models.fit_model(lineitem(spark, sf), ROW_SPEC, M32)
-    free = model.kernel.free(len(model.controls))
-    rows = [(i, name, value, *bounds, model.solution.lml) for i, (name, value, bounds) in enumerate(free)]
-    return spark.createDataFrame(rows, "i int, parameter string, value double, lower double, upper double, lml double")
+    points = gp.condition_collapse(scaling.scale_columns(lineitem(spark, sf), [*PAIR, TARGET]), PAIR, TARGET)
+    rows = collect_bounded(points.select(*PAIR, "mean", "count", "within"), gp.MAX_SUPPORT, "conditions")
+    x, y, counts, within = gp.to_arrays(rows, PAIR, "mean", "count", "within")
+    design = search.candidate_frame(spark, PAIR_START, PAIR_BOUNDS, search.CANDIDATES, 42)
+    scored = search.score_candidates(design, M32, x, y, gp.CONSTANT_NOISE, counts, float(within.sum()))
+    parameters = [rounded(F.exp(F.col("theta")[i]), 6).alias(c) for i, c in enumerate((*PAIR, "constant"))]
+    return scored.select(F.col("candidate_id").cast("int").alias("candidate_id"), *parameters, rounded(F.col("lml"), 2).alias("lml"),
+                         (F.lit(model.solution.lml) >= F.col("lml") - 1e-6).alias("reached"))
 
 
 # --- prediction ------------------------------------------------------------
@@ -442,6 +455,28 @@ def curve_1d(spark, sf):
     return shown(frames.curve_1d(model, "l_discount"), 1, "combo_id", "combo", "point_id", "label", x=8)
 
 
+@query("curve_tuned", gpsql.statement(
+    gpsql.row_points(["l_discount"]), f"""
+    lc as materialized (select candidate_id as c, lml from ({_candidate_sql(SCALE_GRID, 12)})),
+    top as (select arg_max(c, lml) as c from lc),
+    near as (select any_value(top.c) as c, max(lml) filter (lc.c = top.c - 1) as before, max(lml) filter (lc.c = top.c) as best,
+                    max(lml) filter (lc.c = top.c + 1) as after from lc, top),
+    opt as materialized (select exp(ln({SCALE_GRID[0]}) + (c + case when before is null or after is null then 0
+        else (before - after) / (2 * (before - 2 * best + after)) end) * ln({SCALE_GRID[-1] / SCALE_GRID[0]}) / {len(SCALE_GRID) - 1}) as l from near)""",
+    gpsql.solved("matern32", 1, ["(select l from opt)"]),
+    """gr as (select i::int as pid, lo + i / 299.0::double * (hi - lo) x
+        from (select min(l_discount) lo, max(l_discount) hi from lineitem), range(300) t(i))""",
+    "p as (select pid, (x - m_l_discount) / s_l_discount x1 from gr, s)", gpsql.predicted("matern32", 1, ["(select l from opt)"]), select=f"""
+    select pid as point_id, round(x, 8) + 0.0 as x, round(mean * s_{TARGET} + m_{TARGET}, 0) + 0.0 as mean,
+           round((mean - 1.96 * std) * s_{TARGET} + m_{TARGET}, 0) + 0.0 as lower,
+           round((mean + 1.96 * std) * s_{TARGET} + m_{TARGET}, 0) + 0.0 as upper from gr join f using (pid), s"""))
+def curve_tuned(spark, sf):
+    """A curve at the length scale that the search finds, against the vertex of a fine grid's best three."""
+    model = models.fit_model(lineitem(spark, sf), AnalysisSpec(("l_discount",), TARGET, mode="mean"), ONE_SCALE)
+    out = frames.curve_1d(model, "l_discount")
+    return shown(out.select("point_id", "x", "mean", "lower", "upper"), 0, "point_id", x=8)
+
+
 @query("scatter_1d", f"""
     select 0 as combo_id, 'All' as combo, l_discount + 0.0 as x, {TARGET} as y from lineitem
     union all select case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end, 'l_returnflag=' || l_returnflag,
