@@ -17,13 +17,13 @@ from isoplane.llm.arrays import MIX, MIX2, ascii_lower, blocks, mixed, span_hash
 from isoplane.llm.storage import stored
 
 DEPTH = 5
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 PIECE_ENDS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)
 #: Bits of the filter of frequent pairs: some per pair, never more than this.
 PAIR_BITS = 1 << 27
 BITS_EACH = 32
 #: Suffixes that a task of the last sort should hold.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 500_000
 BROADCAST_ROWS = 200_000
 
 
