@@ -4,7 +4,7 @@ Formulas are ordinary Python expressions over column names, ``df['any name']``
 and ``np.<function>``. Undefined results (zero divisors, logs of non-positive
 numbers, NaN) are NULL. Whole-column reductions such as ``x.mean()`` become one
 scalar subquery per formula; a median is selected beforehand without gathering
-the column.
+the column. ``x.rank()`` gives equal values the mean of their ranks.
 """
 
 import ast
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from isoplane.functions.scalars import defined, quotient
 from isoplane.operators.profiling import exact_medians
+from isoplane.operators.ranking import with_average_rank
 from isoplane.sources.tables import col, number, quoted
 
 
@@ -112,11 +113,19 @@ class _Formula:
             row = self._source([n for _, _, n in outer]).agg(packed.alias("row")).scalar()
             self.stats |= {key: row[f"s{i}"] for i, (key, _, _) in enumerate(outer)}
 
+    def ranks(self, tree):
+        """All whole-column ranks below a node, inner ones first."""
+        found = [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute)
+                 and n.func.attr == "rank" and not n.args and not n.keywords]
+        return found[::-1]
+
     def _source(self, nodes):
         return self.light if all(map(self.is_light, nodes)) else self.df
 
     def is_light(self, node):
-        """True when the node uses none of the columns built on reductions."""
+        """True when the node uses no rank and none of the columns built on reductions."""
+        if self.ranks(node):
+            return False
         names = {getattr(n, "id", getattr(n, "value", None)) for n in ast.walk(node)
                  if isinstance(n, (ast.Name, ast.Constant))}
         return not names & (set(self.df.columns) - set(self.light.columns))
@@ -278,6 +287,22 @@ def _shared_reductions(df: DataFrame, formulas) -> dict:
     return out
 
 
+def _with_ranks(df: DataFrame, light: DataFrame, known: dict, tree):
+    """``df`` with a helper column for every rank of a formula, what these nodes stand for, and the helpers."""
+    helpers = []
+    for node in _Formula(df, light).ranks(tree):
+        if ast.dump(node) in known:
+            continue
+        parsed = _Formula(df, light, known)
+        owner = node.func.value
+        if found := parsed.reductions(owner):
+            parsed._aggregate(found)
+        helpers.append("f_rank" + "_" * sum(c.startswith("f_rank") for c in df.columns))
+        df = with_average_rank(df, parsed.number(owner), helpers[-1])
+        known = parsed.stats | {ast.dump(node): F.col(helpers[-1])}
+    return df, known, helpers
+
+
 def derive_columns(df: DataFrame, expressions) -> DataFrame:
     """Add ``name = formula`` columns in order; later ones see earlier results.
 
@@ -290,11 +315,13 @@ def derive_columns(df: DataFrame, expressions) -> DataFrame:
     shared = _shared_reductions(df, formulas)
     for text, (name, formula) in zip(texts, formulas):
         try:
-            parsed = _Formula(df, light, {k: value for k, (value, names) in shared.items() if not names & made})
-            value = parsed.translate(formula)
+            known = {k: value for k, (value, names) in shared.items() if not names & made}
             tree = ast.parse(formula, mode="eval")
+            df, known, helpers = _with_ranks(df, light, known, tree)
+            parsed = _Formula(df, light, known)
+            value = parsed.translate(formula)
             stays_light = not parsed.reductions(tree) and parsed.is_light(tree)
-            df = df.withColumn(name, value)
+            df = df.withColumn(name, value).drop(*helpers)
             light = light.withColumn(name, value) if stays_light else light.drop(name)
             made.add(name)
         except Exception as error:

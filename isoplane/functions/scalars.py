@@ -43,3 +43,9 @@ def all_of(conditions) -> Column:
 def band(mean: Column, std: Column) -> tuple[Column, Column]:
     """95 % limits around a predicted mean."""
     return mean - BAND_WIDTH * std, mean + BAND_WIDTH * std
+
+
+def keyed_hash(columns, seed: int) -> Column:
+    """A number below 2^60 for the written values and a seed; other engines get the same from MD5."""
+    written = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(written), 1, 15), 16, 10).cast("long")

@@ -4,11 +4,17 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from isoplane.cluster import materialize
 from isoplane.functions.scalars import quotient
 from isoplane.sources.tables import col, number
 from isoplane.spec import CONTOUR_LEVELS, TOP_ROWS
 
 MEDIAN_BINS = 4096
+#: Items a sketch keeps per level, and how far around the middle rank it is asked; its error is below half of that.
+SKETCH_SIZE = 800
+SKETCH_MARGIN = 0.01
+#: Counted values of all columns that the driver sorts.
+MEDIAN_ROWS = 200_000
 
 
 def column_ranges(df: DataFrame, columns) -> DataFrame:
@@ -31,47 +37,103 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(col(column)).distinct().orderBy(col(column))
 
 
-def exact_medians(df: DataFrame, columns, weight: str | None = None, bins: int = MEDIAN_BINS) -> dict:
-    """Exact median of each column; ``weight`` counts a row that many times.
+def _brackets(values: DataFrame, columns, sketched: bool) -> dict:
+    """Per column number: least, greatest and bracketing values of the median, and the weight of all values.
 
-    Every pass counts the still possible values in equal-width bins, for all
-    columns at once, and keeps the bin with the middle rank: what is gathered is
-    ``bins`` counts per column and pass, whatever the size or skew of the data.
+    One read. The bracket comes from a quantile sketch, or is the whole range without one.
     """
-    values = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(columns)],
-                       (col(weight) if weight else F.lit(1)).cast("bigint").alias("w"))
-    bounds = values.agg(*[e for i in range(len(columns)) for e in (
-        F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"),
-        F.sum(F.when(F.col(f"v{i}").isNotNull(), F.col("w"))).alias(f"n{i}"))]).first()
-    found, open_ranges = {}, {}
+    parts = []
     for i in range(len(columns)):
-        lo, hi, n = bounds[f"lo{i}"], bounds[f"hi{i}"], bounds[f"n{i}"]
-        if n is None or lo == hi:
-            found[i] = lo
-        elif math.isinf(lo) or math.isinf(hi):
-            raise ValueError(f"{columns[i]!r} holds infinite values")
-        else:
-            open_ranges[i] = (lo, hi, 0)
+        v = F.col(f"v{i}")
+        parts += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.sum(F.when(v.isNotNull(), F.col("w"))).alias(f"n{i}")]
+        if sketched:
+            parts.append(F.kll_sketch_agg_double(v, F.lit(SKETCH_SIZE)).alias(f"k{i}"))
+    row = values.agg(*parts)
+    if sketched:
+        row = row.withColumns({f"{name}{i}": F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"k{i}", F.lit(0.5 + side)))
+                               for i in range(len(columns)) for name, side in (("a", -SKETCH_MARGIN), ("b", SKETCH_MARGIN))})
+    row = row.drop(*[f"k{i}" for i in range(len(columns))]).first().asDict()
+    return {i: (row[f"lo{i}"], row[f"hi{i}"], row.get(f"a{i}", row[f"lo{i}"]), row.get(f"b{i}", row[f"hi{i}"]), row[f"n{i}"])
+            for i in range(len(columns))}
+
+
+def _middle(counts, before: int, n: int):
+    """The one or two counted entries that hold the middle ranks, as ``(entry, weight before it)``; fewer if they lie elsewhere."""
+    holds, run = [], before
+    for r in counts:
+        holds += [(r, run)] * sum(run <= rank < run + r.w for rank in ((n - 1) // 2, n // 2))
+        run += r.w
+    return holds
+
+
+def _narrowed(inside: DataFrame, open_ranges: dict, totals: dict, bins: int) -> dict:
+    """Medians of counted values ``(i, v, w)`` by repeated equal-width counts between known bounds."""
+    found = {i: lo for i, (lo, hi, _) in open_ranges.items() if lo == hi}
+    open_ranges = {i: r for i, r in open_ranges.items() if i not in found}
     while open_ranges:
-        parts = [F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"), F.lit(lo).alias("lo"),
-                          F.lit(hi).alias("hi"), "w") for i, (lo, hi, _) in open_ranges.items()]
-        inside = values.select(F.inline(F.array(*parts))).where("v between lo and hi")
+        bounds = F.element_at(F.create_map(*[x for i, (lo, hi, _) in open_ranges.items() for x in (
+            F.lit(i), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))]), F.col("i"))
+        near = inside.where(F.col("i").isin(list(open_ranges))).withColumn("at", bounds).where("v between at.lo and at.hi")
         # Halves keep the width finite for any pair of doubles.
-        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        counts = inside.groupBy("i", F.floor(share * bins).alias("bin")).agg(
+        share = (F.col("v") / 2 - F.col("at.lo") / 2) / (F.col("at.hi") / 2 - F.col("at.lo") / 2)
+        counts = near.groupBy("i", F.floor(share * bins).alias("bin")).agg(
             F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
         for i in list(open_ranges):
-            run, n = open_ranges[i][2], bounds[f"n{i}"]
-            holds = []
-            for r in sorted((r for r in counts if r.i == i), key=lambda r: r.lo):
-                holds += [(r, run)] * sum(run <= rank < run + r.w for rank in ((n - 1) // 2, n // 2))
-                run += r.w
-            (first, before), (second, _) = holds
+            own = sorted((r for r in counts if r.i == i), key=lambda r: r.lo)
+            (first, before), (second, _) = _middle(own, open_ranges[i][2], totals[i])
             if first.lo == second.lo and first.lo < first.hi:
                 open_ranges[i] = (first.lo, first.hi, before)
             else:
                 found[i] = first.hi + (second.lo - first.hi) * 0.5
                 del open_ranges[i]
+    return found
+
+
+def exact_medians(df: DataFrame, columns, weight: str | None = None, bins: int = MEDIAN_BINS, sketched: bool = True) -> dict:
+    """Exact median of each column; ``weight`` counts a row that many times.
+
+    The source is read twice, whatever the distribution: a quantile sketch brackets the
+    middle of every column, then one aggregate counts the values inside the brackets and
+    how many lie below, which is written. Up to MEDIAN_ROWS counted values finish on the
+    driver; more are narrowed down by equal-width counts over what was written. Should a
+    bracket miss its median, or weights rule a sketch out, the bracket is the whole range.
+    """
+    values = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(columns)],
+                       (col(weight) if weight else F.lit(1)).cast("bigint").alias("w"))
+    brackets = _brackets(values, columns, sketched and weight is None)
+    found, todo = {}, {}
+    for i, (lo, hi, a, b, n) in brackets.items():
+        if n is None or lo == hi:
+            found[i] = lo
+        elif math.isinf(lo) or math.isinf(hi):
+            raise ValueError(f"{columns[i]!r} holds infinite values")
+        else:
+            todo[i] = (a, b)
+    if todo:
+        parts = [F.struct(F.lit(i).alias("i"), F.when(F.col(f"v{i}") < a, float("-inf")).when(F.col(f"v{i}") <= b, F.col(f"v{i}")).alias("v"), "w")
+                 for i, (a, b) in todo.items()]
+        counted = values.select(F.inline(F.array(*parts))).where("v is not null").groupBy("i", "v").agg(F.sum("w").alias("w"))
+        counted = materialize(counted)
+        below = {r.i: r.w for r in counted.where(F.col("v") == float("-inf")).collect()}
+        inside, totals = counted.where(F.col("v") > float("-inf")), {i: brackets[i][4] for i in todo}
+        rows = inside.limit(MEDIAN_ROWS + 1).collect()
+        if len(rows) <= MEDIAN_ROWS:
+            missed = []
+            for i in todo:
+                holds = _middle(sorted((r for r in rows if r.i == i), key=lambda r: r.v), below.get(i, 0), totals[i])
+                if len(holds) == 2:
+                    (first, _), (second, _) = holds
+                    found[i] = first.v + (second.v - first.v) * 0.5
+                else:
+                    missed.append(i)
+        else:
+            held = {r.i: r.w for r in inside.groupBy("i").agg(F.sum("w").alias("w")).collect()}
+            sure = [i for i in todo if below.get(i, 0) <= (totals[i] - 1) // 2 and totals[i] // 2 < below.get(i, 0) + held.get(i, 0)]
+            missed = [i for i in todo if i not in sure]
+            found |= _narrowed(inside, {i: (*todo[i], below.get(i, 0)) for i in sure}, totals, bins)
+        if missed:
+            again = exact_medians(df, [columns[i] for i in missed], weight, bins, sketched=False)
+            found |= {i: again[columns[i]] for i in missed}
     return {c: found[i] for i, c in enumerate(columns)}
 
 

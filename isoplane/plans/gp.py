@@ -23,7 +23,10 @@ MAX_SUPPORT = 2_000
 
 @dataclass
 class Solution:
-    """Dense result of a fit: prediction is ``k w`` and ``k** - |k A|**2 + |k B|**2``."""
+    """Result of a fit: prediction is ``k w`` and ``k** - |k A|**2 + |k B|**2``.
+
+    With ``noise`` it is an iterative fit: A preconditions the solves ``k** - k (K + noise)^-1 k'``.
+    """
 
     points: np.ndarray
     weights: np.ndarray
@@ -34,6 +37,7 @@ class Solution:
     y_scale: float
     lml: float
     jitter: float = 0.0
+    noise: np.ndarray | None = None
 
 
 def noise_column(model: str, constant: float = CONSTANT_NOISE, std="std", count="count") -> Column:
@@ -150,6 +154,65 @@ def solve(kernel: KernelConfig, x, y, noise, counts=None, within=0.0, y_mean=Non
     return Solution(x, inverse.T @ z, inverse.T.copy(), None, params, y_mean, y_scale, lml, jitter)
 
 
+def preconditioner(factor: np.ndarray, noise: np.ndarray):
+    """Function that solves ``(L L' + diag(noise)) u = b``, and that matrix's log determinant."""
+    scaled = factor / noise[:, None]
+    inner, _ = cholesky(np.eye(factor.shape[1]) + factor.T @ scaled)
+    scaled = forward(inner, scaled.T)
+
+    def solve_columns(b):
+        return b / noise[:, None] - scaled.T @ (scaled @ b)
+
+    return solve_columns, float(np.log(noise).sum() + 2 * np.log(np.diag(inner)).sum())
+
+
+def conjugate_gradients(product, precondition, b: np.ndarray, tolerance: float, max_steps: int):
+    """Solutions of ``A u = b`` for all columns, and every step's coefficients (0 once a column is solved).
+
+    A column is solved when its residual has fallen to ``tolerance`` of its length; more than
+    ``max_steps`` raise.
+    """
+    out, left = np.zeros_like(b), b.copy()
+    z = precondition(left)
+    way, rz = z.copy(), (left * z).sum(0)
+    enough, steps = tolerance * np.sqrt((b * b).sum(0)), []
+    while (open_ := np.sqrt((left * left).sum(0)) > enough).any():
+        if len(steps) == max_steps:
+            raise ValueError(f"conjugate gradients did not converge in {max_steps} steps; raise the rank or the noise")
+        moved = product(way)
+        alpha = np.where(open_, rz / np.where(open_, (way * moved).sum(0), 1.0), 0.0)
+        out += alpha * way
+        left -= alpha * moved
+        z = precondition(left)
+        new = (left * z).sum(0)
+        beta = np.where(open_, new / np.where(open_, rz, 1.0), 0.0)
+        way, rz = z + beta * way, np.where(open_, new, rz)
+        steps.append((alpha, beta))
+    return out, steps
+
+
+SOLVED_TOGETHER = 512
+VARIANCE_TOLERANCE = 1e-9
+
+
+def _explained(solution: Solution, k: np.ndarray) -> np.ndarray:
+    """``k (K + noise)^-1 k'`` for the rows of ``k``, by solves of many columns at a time."""
+    points, noise, params = solution.points, solution.noise, solution.params
+    precondition, _ = preconditioner(solution.shrink, noise)
+
+    def product(v):
+        out = noise[:, None] * v
+        for rows in row_blocks(points, len(points)):
+            out[rows] += kernel_block(params, points[rows], points) @ v
+        return out
+
+    total = np.empty(len(k))
+    for at in range(0, len(k), SOLVED_TOGETHER):
+        b = k[at:at + SOLVED_TOGETHER].T.copy()
+        total[at:at + SOLVED_TOGETHER] = (b * conjugate_gradients(product, precondition, b, VARIANCE_TOLERANCE, 1_000)[0]).sum(0)
+    return total
+
+
 def evaluate(solution: Solution, x: np.ndarray):
     """Mean and std at the rows of ``x``, in block-sized pieces."""
     mean, std = np.empty(len(x)), np.empty(len(x))
@@ -157,7 +220,10 @@ def evaluate(solution: Solution, x: np.ndarray):
     for rows in row_blocks(x, len(solution.points)):
         k = kernel_block(solution.params, x[rows], solution.points)
         mean[rows] = k @ solution.weights
-        variance = prior - np.square(k @ solution.shrink).sum(axis=1)
+        if solution.noise is not None:
+            variance = prior - _explained(solution, k)
+        else:
+            variance = prior - np.square(k @ solution.shrink).sum(axis=1)
         if solution.grow is not None:
             variance += np.square(k @ solution.grow).sum(axis=1)
         std[rows] = np.sqrt(np.maximum(variance, 0.0))

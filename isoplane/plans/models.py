@@ -12,12 +12,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from isoplane.cluster import collect_bounded, materialize
-from isoplane.functions.scalars import all_of
+from isoplane.functions.scalars import all_of, keyed_hash
 from isoplane.operators.encoding import MAX_COMBOS, MAX_LEVELS, combo_levels, dummy_column, dummy_names, observed_combos
 from isoplane.operators.profiling import fit_metrics
 from isoplane.operators.replicates import join_conditions
 from isoplane.operators.scaling import scaled, unscaled
-from isoplane.plans import gp, sparse
+from isoplane.plans import gp, iterative, sparse
 from isoplane.plans.search import search
 from isoplane.sources.tables import col, number, require_columns
 from isoplane.spec import AnalysisSpec, KernelConfig
@@ -140,7 +140,7 @@ def _support(conditions: DataFrame, spec: AnalysisSpec, scalers, levels, noise,
     and a hash ``key`` of the raw setting."""
     mean, scale = scalers[spec.target]
     conditions = conditions.withColumn(
-        "c_key", F.xxhash64(*[col(c) for c in [*spec.num_cols, *spec.cat_cols]], F.lit(seed)))
+        "c_key", keyed_hash([col(c) for c in [*spec.num_cols, *spec.cat_cols]], seed))
     value = (F.col("c_mean") - F.lit(mean)) / F.lit(scale)
     spread = F.col("c_std") / F.lit(scale)
     named = [*_features(spec, scalers, levels), F.col("c_key").alias("key")]
@@ -182,24 +182,36 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
               tune: bool = True, constant: float = gp.CONSTANT_NOISE, method: str = "exact",
               max_support: int = gp.MAX_SUPPORT, inducing: int | DataFrame = sparse.INDUCING, seed: int = 42,
               collapse: bool = True, conditions: DataFrame | None = None, search_options: dict | None = None,
-              max_levels: int = MAX_LEVELS, max_combos: int = MAX_COMBOS) -> Model:
+              max_levels: int = MAX_LEVELS, max_combos: int = MAX_COMBOS,
+              max_points: int = iterative.MAX_POINTS, solver_options: dict | None = None,
+              choice: str = "hash", per_point: bool = False) -> Model:
     """Fit the response model of ``spec``.
 
     ``tune=False`` keeps the kernel as given. The method is the caller's choice and never
     changes with the size: ``"exact"`` raises beyond ``max_support`` conditions, which can
-    be raised to what the driver can factor; ``"sparse"`` goes through inducing points.
+    be raised to what the driver can factor; ``"iterative"`` is as exact without a factor, by
+    conjugate gradients over kernel blocks on executors, up to ``max_points`` conditions, and
+    takes ``solver_options`` (``rank``, ``probes``, ``tolerance``); ``"sparse"`` goes through inducing points.
     ``inducing`` is how many settings to pick, at most ``max_support``, or a table of
-    settings in raw columns. ``collapse=False`` skips the summary of equal settings: for
+    settings in raw columns; ``choice`` picks them by a keyed hash (``"hash"``) or greedily where
+    the given kernel leaves most variance (``"pivots"``). ``per_point`` adds to every condition's noise the
+    variance that inducing points leave unexplained there. ``collapse=False`` skips the summary of equal settings: for
     sparse row models whose inputs hardly ever repeat, where it would only move the rows.
     ``search_options`` are those of the kernel search: ``n`` candidates, and ``starts`` and
-    ``max_steps`` (exact) or ``rounds`` (sparse). ``max_levels`` and ``max_combos`` bound the
+    ``max_steps`` (exact), ``max_steps`` alone (iterative) or ``rounds`` (sparse). ``max_levels`` and ``max_combos`` bound the
     levels of a category and their combinations. Replicate models leave out conditions of
     one row or with missing inputs and warn with their number.
     """
-    if method not in ("exact", "sparse"):
-        raise ValueError("method must be 'exact' or 'sparse'")
+    if method not in ("exact", "iterative", "sparse"):
+        raise ValueError("method must be 'exact', 'iterative' or 'sparse'")
+    if method == "iterative":
+        max_support = max_points
     if method == "sparse" and isinstance(inducing, int) and not 0 < inducing <= max_support:
         raise ValueError(f"inducing must be between 1 and max_support, {max_support}")
+    if choice not in ("hash", "pivots"):
+        raise ValueError("choice must be 'hash' or 'pivots'")
+    if per_point and (method != "sparse" or not collapse):
+        raise ValueError("per_point is for method='sparse' over summarised settings")
     tuning = {"seed": seed, **(search_options or {})}
     if not collapse and (spec.mode, method) != ("mean", "sparse"):
         raise ValueError("collapse=False is for mode='mean' with method='sparse'")
@@ -217,8 +229,9 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
     values = ["y", "noise", "count", "within"] + (["n_valid"] if by_row else [])
     rows = [] if method == "sparse" else points.select(*features, *values).limit(max_support + 1).collect()
     small = method != "sparse" and len(rows) <= max_support
-    if method == "exact" and not small:
-        raise ValueError(f"{trained.count()} conditions, more than max_support, {max_support}; raise it or use method='sparse'")
+    if method != "sparse" and not small:
+        limit, other = ("max_support", "method='iterative' or 'sparse'") if method == "exact" else ("max_points", "method='sparse'")
+        raise ValueError(f"{trained.count()} conditions, more than {limit}, {max_support}; raise it or use {other}")
     if small:
         x, y, noise, counts, within, *valid = gp.to_arrays(rows, features, *values)
         if len(x) == 0:
@@ -235,9 +248,16 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
             y_mean, y_scale = 0.0, 1.0
         else:
             y_mean, y_scale = float(y.mean()), float(y.std()) or 1.0
-        if tune:
-            kernel, _ = search(df.sparkSession, kernel, x, (y - y_mean) / y_scale, noise, **tuning, **extra)
-        solution = gp.solve(kernel, x, y, noise, y_mean=y_mean, y_scale=y_scale, **extra)
+        if method == "iterative":
+            solver = {"seed": seed, **(solver_options or {})}
+            if tune:
+                kernel, _ = iterative.search_iterative(df.sparkSession, kernel, x, (y - y_mean) / y_scale, noise, **extra,
+                                                       **solver, **(search_options or {}))
+            solution = iterative.solve_iterative(df.sparkSession, kernel, x, y, noise, y_mean=y_mean, y_scale=y_scale, **extra, **solver)
+        else:
+            if tune:
+                kernel, _ = search(df.sparkSession, kernel, x, (y - y_mean) / y_scale, noise, **tuning, **extra)
+            solution = gp.solve(kernel, x, y, noise, y_mean=y_mean, y_scale=y_scale, **extra)
     else:
         _reject_incomplete(points, features, spec.mode)
         y_mean, y_scale = 0.0, 1.0
@@ -249,13 +269,14 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
             given = collect_bounded(inducing.select(*_features(spec, scalers, levels)), max_support, "inducing points")
             z = gp.to_arrays(given, features)[0]
             z = z[np.lexsort(z.T[::-1])]
+        elif choice == "pivots":
+            z = sparse.pivoted_inducing(points, features, kernel.params(len(features)), inducing)
         else:
             z = sparse.choose_inducing(points, features, inducing, seed, "key")
         if tune:
-            kernel, _ = sparse.search_sparse(points, features, kernel, z, by_row, **tuning)
-        solution = sparse.solve_sparse(points, features, kernel, z, by_row, y_mean, y_scale)
-    return Model(spec, kernel, solution, scalers, levels, combos, conditions,
-                 "exact" if small else "sparse", constant)
+            kernel, _ = sparse.search_sparse(points, features, kernel, z, by_row, per_point=per_point, **tuning)
+        solution = sparse.solve_sparse(points, features, kernel, z, by_row, y_mean, y_scale, per_point)
+    return Model(spec, kernel, solution, scalers, levels, combos, conditions, method, constant)
 
 
 def fit_both(df: DataFrame, std_spec: AnalysisSpec, mean_spec: AnalysisSpec, **options):

@@ -21,6 +21,7 @@ STARTS = 8
 MAX_STEPS = 500
 GRADIENT = 1e-6
 RISE = 1e-4
+TIE = 1e-8
 EDGE = 0.05
 SCHEMA = "candidate_id long, theta array<double>, lml double"
 
@@ -150,7 +151,9 @@ def search(spark: SparkSession, kernel: KernelConfig, x, y, noise, counts=None,
     scored = score_candidates(candidate_frame(spark, start, bounds, n, seed), kernel, *data)
     first = scored.orderBy(F.desc("lml"), "candidate_id").limit(starts).repartition(starts)
     ends = improve_candidates(first, kernel, bounds, *data, max_steps=max_steps).collect()
-    top = max(ends, key=lambda r: (r.lml, -r.candidate_id))
+    # Climbs that end on one ridge differ by rounding only; the first of them wins.
+    best = max(r.lml for r in ends)
+    top = min((r for r in ends if r.lml == best or r.lml >= best - TIE * (1 + abs(best))), key=lambda r: r.candidate_id)
     if not top.done:
         warnings.warn(f"the kernel search stopped after {max_steps} steps without converging; raise max_steps", stacklevel=3)
     return kernel.with_free(x.shape[1], np.exp(top.theta)), top.lml

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from isoplane.functions.kernels import kernel_block, row_blocks
+from isoplane.functions.kernels import feature_matrix, kernel_block, row_blocks
+from isoplane.functions.scalars import keyed_hash
 from isoplane.plans.gp import Solution, _check_finite, cholesky, forward, to_arrays
 from isoplane.plans.search import candidate_thetas
 from isoplane.spec import KernelConfig
@@ -20,6 +22,12 @@ from isoplane.spec import KernelConfig
 INDUCING = 512
 GRAM_TASKS = 2_048
 TOLERANCE = 0.01
+#: Rounds of a search go on until its box is this share of the bounds.
+BOX = 0.02
+#: Points of most remaining variance that one pass brings to the driver.
+PIVOT_ROWS = 4_096
+#: Remaining variances, as shares of the amplitude, are compared at so many digits; nothing is left at the last.
+PIVOT_DIGITS = 9
 
 
 def choose_inducing(support: DataFrame, features, n: int = INDUCING, seed: int = 42, key: str | None = None) -> np.ndarray:
@@ -30,10 +38,10 @@ def choose_inducing(support: DataFrame, features, n: int = INDUCING, seed: int =
     other; the limit starts where about 8 n points are expected and widens until
     n are found.
     """
-    hashed = support.select(*features, (F.col(key) if key else F.xxhash64(*features, F.lit(seed))).alias("h"))
+    hashed = support.select(*features, (F.col(key) if key else keyed_hash([F.col(f) for f in features], seed)).alias("h"))
     share = min(1.0, 8 * n / max(support.count(), 1))
     while True:
-        limit = int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1
+        limit = int(share * (1 << 60))
         low = hashed.where(F.col("h") <= F.lit(limit)).groupBy("h").agg(
             F.min(F.struct(*features)).alias("x")).orderBy("h").limit(n)
         rows = low.select("x.*").collect()
@@ -42,33 +50,91 @@ def choose_inducing(support: DataFrame, features, n: int = INDUCING, seed: int =
         share = min(1.0, share * 16)
 
 
-def gram_sums(support: DataFrame, features, z: np.ndarray, param_sets: list[dict], collapsed: bool = False):
+def remaining_variance(params: dict, z: np.ndarray):
+    """Function of a struct of features: the share of the variance that the points ``z`` leave unexplained."""
+    inverse = forward(cholesky(kernel_block(params, z, z))[0], np.eye(len(z))).T
+
+    @F.arrow_udf("double")
+    def left(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            x = feature_matrix(batch)
+            out = np.empty(len(x))
+            for rows in row_blocks(x, len(z)):
+                out[rows] = np.square(kernel_block(params, x[rows], z) @ inverse).sum(1)
+            yield pa.array(np.round(1 - out / params["amplitude"], PIVOT_DIGITS))
+
+    return left
+
+
+def pivoted_inducing(support: DataFrame, features, params: dict, n: int = INDUCING) -> np.ndarray:
+    """Greedy choice: the next inducing point is the one whose variance the chosen ones explain least.
+
+    That is the pivot order of a Cholesky factor; ties go to the least features, and the
+    first point is the least of all. One pass over the support brings the PIVOT_ROWS points
+    of most remaining variance and the next one's value. Variances only fall as points
+    join, so the best of those points is the best of all while it lies above that value;
+    below it the next pass begins. Fewer than ``n`` points come back when they explain all.
+    """
+    amplitude, chosen = params["amplitude"], np.zeros((0, len(features)))
+    share = lambda left: np.round(left / amplitude, PIVOT_DIGITS)
+    points = support.select(*features)
+    while len(chosen) < n:
+        left = remaining_variance(params, chosen)(F.struct(*features)) if len(chosen) else F.lit(1.0)
+        rows = points.withColumn("p_left", left).where(F.col("p_left") > 0).orderBy(F.desc("p_left"), *features).limit(PIVOT_ROWS + 1).collect()
+        if not rows:
+            break
+        x, = to_arrays([r[:-1] for r in rows[:PIVOT_ROWS]], features)
+        bar = rows[PIVOT_ROWS]["p_left"] if len(rows) > PIVOT_ROWS else 0.0
+        x = x[np.lexsort(x.T[::-1])]
+        known = np.zeros((len(x), 0))
+        if len(chosen):
+            known = forward(cholesky(kernel_block(params, chosen, chosen))[0], kernel_block(params, chosen, x)).T
+        variance, first = amplitude - np.square(known).sum(1), True
+        while len(chosen) < n:
+            best = int(np.argmax(share(variance)))
+            if not first and share(variance[best]) <= bar or share(variance[best]) <= 0:
+                break
+            column = (kernel_block(params, x, x[best:best + 1])[:, 0] - known @ known[best]) / np.sqrt(variance[best])
+            known, chosen, first = np.column_stack([known, column]), np.vstack([chosen, x[best]]), False
+            variance = variance - column ** 2
+            variance[best] = 0.0
+        if first:
+            break
+    return chosen
+
+
+def gram_sums(support: DataFrame, features, z: np.ndarray, param_sets: list[dict], collapsed: bool = False, per_point: bool = False):
     """Per parameter set, all sums over the support that its solution and likelihood need.
 
     ``(K_zx W K_xz, K_zx W y, y W y, log of the noise, rows)``, from one pass for all sets,
     white noise included: a point stands for ``count`` rows (1 unless ``collapsed``) of noise
-    ``noise`` plus the set's white noise each. Every task reduces its points to one upper
+    ``noise`` plus the set's white noise each. ``per_point`` adds to a point's noise the variance
+    that the inducing points leave unexplained there (Snelson and Ghahramani 2006). Every task reduces its points to one upper
     triangle per set and Spark adds up the triangles row by row, so what reaches the driver
     depends on the inducing points only.
     """
     m = len(z)
     spark = support.sparkSession
-    shared = spark.sparkContext.broadcast((z, param_sets))
+    inverses = [forward(cholesky(kernel_block(p, z, z))[0], np.eye(m)).T if per_point else None for p in param_sets]
+    shared = spark.sparkContext.broadcast((z, param_sets, inverses))
 
     def reduce_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, sets = shared.value
+        points, sets, factors = shared.value
         sums = [np.zeros((m, m + 1)) for _ in sets]
         scalars = np.zeros((len(sets), 3))
         for batch in batches:
             x, y = batch[features].to_numpy(float), batch["y"].to_numpy(float)
             noise, count, within = (batch[c].to_numpy(float) for c in ("noise", "count", "within"))
-            for total, row, params in zip(sums, scalars, sets):
-                own = noise + params["white"]
-                w = count / own
-                row += ((w * y * y + within / own).sum(), (count * np.log(own)).sum(), count.sum())
+            for total, row, params, factor in zip(sums, scalars, sets, factors):
+                each = noise + params["white"]
+                row += ((within / each).sum(), ((count - 1) * np.log(each) + np.log(count)).sum(), count.sum())
                 for rows in row_blocks(x, m):
                     k = kernel_block(params, x[rows], points)
-                    wk = k * w[rows][:, None]
+                    own = each[rows] / count[rows]
+                    if factor is not None:
+                        own = own + np.maximum(params["amplitude"] - np.square(k @ factor).sum(1), 0.0)
+                    row[:2] += ((y[rows] ** 2 / own).sum(), np.log(own).sum())
+                    wk = k / own[:, None]
                     total[:, :m] += k.T @ wk
                     total[:, m] += wk.T @ y[rows]
         for s, (total, row) in enumerate(zip(sums, scalars)):
@@ -105,11 +171,11 @@ def _from_sums(params, z, gram, b, yy, log_noise, rows):
 
 
 def solve_sparse(support: DataFrame, features, kernel: KernelConfig, z: np.ndarray,
-                 collapsed: bool = False, y_mean: float = 0.0, y_scale: float = 1.0) -> Solution:
+                 collapsed: bool = False, y_mean: float = 0.0, y_scale: float = 1.0, per_point: bool = False) -> Solution:
     """Fit on ``support`` columns: features, normalised ``y``, ``noise`` and, if collapsed,
     ``count`` rows per point with ``noise`` per row and ``within`` sum of squares."""
     params = kernel.params(len(features))
-    (gram, b, yy, log_noise, rows), = gram_sums(support, features, z, [params], collapsed)
+    (gram, b, yy, log_noise, rows), = gram_sums(support, features, z, [params], collapsed, per_point)
     _check_finite(z, gram, b)
     lower_z, lower_a, v, lml, jitter = _from_sums(params, z, gram, b, yy, log_noise, rows)
     eye = np.eye(len(z))
@@ -119,11 +185,12 @@ def solve_sparse(support: DataFrame, features, kernel: KernelConfig, z: np.ndarr
 
 
 def search_sparse(support: DataFrame, features, kernel: KernelConfig, z: np.ndarray,
-                  collapsed: bool = False, n: int = 15, rounds: int = 8, seed: int = 42):
+                  collapsed: bool = False, n: int = 15, rounds: int = 12, seed: int = 42, per_point: bool = False):
     """Best kernel by the inducing-point likelihood; one pass per round for all candidates.
 
-    Rounds narrow the design around the best candidate until the last two rounds differ
-    by less than TOLERANCE in likelihood; ``rounds`` is the most, running out of them warns.
+    Rounds narrow the design around the best candidate until its box is at most BOX of the
+    bounds and the last two rounds differ by less than TOLERANCE in likelihood; ``rounds`` is
+    the most, running out of them warns.
     """
     free = kernel.free(len(features))
     outer = np.log([b for _, _, b in free])
@@ -134,17 +201,18 @@ def search_sparse(support: DataFrame, features, kernel: KernelConfig, z: np.ndar
         kernels = [kernel.with_free(len(features), np.exp(t)) for t in thetas]
         sets = [k.params(len(features)) for k in kernels]
         scores = []
-        for i, (params, sums) in enumerate(zip(sets, gram_sums(support, features, z, sets, collapsed))):
+        for i, (params, sums) in enumerate(zip(sets, gram_sums(support, features, z, sets, collapsed, per_point))):
             try:
                 scores.append((_from_sums(params, z, *sums)[3], -i))
             except ValueError:
                 scores.append((-np.inf, -i))
         before, (top, winner) = top, max(scores)
         best = thetas[-winner]
-        width = (outer[:, 1] - outer[:, 0]) * 0.35 ** (r + 1) / 2
+        share = 0.35 ** (r + 1)
+        width = (outer[:, 1] - outer[:, 0]) * share / 2
         bounds = np.column_stack([np.maximum(best - width, outer[:, 0]),
                                   np.minimum(best + width, outer[:, 1])])
-        if top - before < TOLERANCE:
+        if share <= BOX and top - before < TOLERANCE:
             break
     else:
         warnings.warn(f"the kernel search stopped after {rounds} rounds without converging; raise rounds", stacklevel=3)

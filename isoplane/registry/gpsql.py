@@ -76,35 +76,42 @@ def solved(kind, dims, scales=None):
 
 
 def inverse(name, matrix):
-    """``name(i, j, v)``: the inverse of the matrix in CTE ``matrix(i, j, v)``."""
+    """``name(i, j, v)``: the inverse of the positive matrix in CTE ``matrix(i, j, v)``, in place row by row."""
     return f"""
-    {name}_r as (select i, list(v order by j) || list((i = j)::int::double order by j) row_ from {matrix} group by i),
+    {name}_r as (select i, list(v order by j) row_ from {matrix} group by i),
     {name}_s as (select list(row_ order by i) a, count(*) m from {name}_r),
     {name}_g(step, m, a) as (
-      select 0, m, a from {name}_s
+      select 1, m, a from {name}_s
       union all
-      select step + 1, m, list_transform(range(1, m + 1), lambda r:
-        case when r = step + 1 then list_transform(a[r], lambda v: v / a[r][r])
-             else list_transform(range(1, 2 * m + 1),
-                    lambda q: a[r][q] - a[r][step + 1] / a[step + 1][step + 1] * a[step + 1][q]) end)
-      from {name}_g where step < m),
-    {name} as (select i.i, j.j, a[i.i + 1][m + 1 + j.j] v from {name}_g, range(m) i(i), range(m) j(j) where step = m)"""
+      select step + 1, m, list_transform(a, lambda r, n: case when n = step then top
+        else list_transform(list_zip(r[:step - 1] || [0.0::double] || r[step + 1:], top), lambda z: z[1] - r[step] * z[2]) end)
+      from (select step, m, a, list_transform(a[step][:step - 1] || [1.0::double] || a[step][step + 1:], lambda v: v / a[step][step]) as top
+            from {name}_g where step <= m)),
+    {name} as (select i.i, j.j, a[i.i + 1][j.j + 1] v from {name}_g, range(m) i(i), range(m) j(j) where step = m + 1)"""
 
 
-def sparse_predicted(kind, dims):
-    """Inducing-point predictions ``f(pid, mean, std)`` at the support points ``g``, given ``z(i, x1..)``."""
+def sparse_predicted(kind, dims, per_point=False):
+    """Inducing-point predictions ``f(pid, mean, std)`` at the support points ``g``, given ``z(i, x1..)``.
+
+    ``per_point`` adds the variance that ``z`` leaves unexplained to every point's noise.
+    """
+    left = ("1 - list_sum(list_transform(list_zip(kv, (select list(list_value(r) order by i) from zr)), "
+            "lambda c: c[1] * list_dot_product(kv, c[2][1])))")
     return ", ".join([
-        f"kzz as (select a.i, b.i j, {kern(kind, 'a', 'b', dims)} v from z a, z b)",
+        f"kzz as (select a.i, b.i j, {kern(kind, 'a', 'b', dims)} v from z a, z b)", inverse("zi", "kzz"),
+        "zr as materialized (select i, list(v order by j) r from zi group by i)",
         f"kp as materialized (select g.i pid, z.i, {kern(kind, 'g', 'z', dims)} v, y, nz from g, z)",
-        """ka as (select i, j, v + gram as v from kzz join (
-             select a.i, b.i j, sum(a.v * b.v / a.nz) gram from kp a join kp b using (pid) group by all) using (i, j))""",
-        "kb as (select i, sum(v * y / nz) b from kp group by i)", inverse("zi", "kzz"), inverse("ai", "ka"),
+        "kl as materialized (select pid, list(v order by i) kv from kp group by pid)",
+        f"own as materialized (select pid, nz + {left if per_point else '0'} as d from kl join g on g.i = pid)",
+        """kc as materialized (select i, list(v order by pid) v, list(v / d order by pid) wv, list(y order by pid) ys
+             from kp join own using (pid) group by i)""",
+        "ka as (select a.i, b.i j, kzz.v + list_dot_product(a.v, b.wv) as v from kc a, kc b join kzz on kzz.i = a.i and kzz.j = b.i)",
+        "kb as (select i, list_dot_product(wv, ys) b from kc)", inverse("ai", "ka"),
         "w as (select ai.i, sum(ai.v * b) w from ai join kb on kb.i = ai.j group by ai.i)",
-        "d as (select i, j, zi.v - ai.v v from zi join ai using (i, j))",
-        """f as (select pid, mean, sqrt(greatest(1 - q, 0)) std from
-             (select pid, sum(v * w) mean from kp join w using (i) group by pid) join
-             (select a.pid, sum(a.v * d.v * b.v) q from kp a join d on a.i = d.i join kp b on b.pid = a.pid and b.i = d.j
-              group by a.pid) using (pid))"""])
+        "wl as (select list(w order by i) wl from w)",
+        "d as materialized (select i, list(zi.v - ai.v order by j) r from zi join ai using (i, j) group by i)",
+        """f as (select pid, any_value(list_dot_product(kv, wl)) mean, sqrt(greatest(1 - sum(kv[d.i + 1] * list_dot_product(kv, r)), 0)) std
+             from kl, wl, d group by pid)"""])
 
 
 def predicted(kind, dims, scales=None, with_std=True):

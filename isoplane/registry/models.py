@@ -1,5 +1,7 @@
 """Kernels, fits, predictions and the tables behind curves and surfaces."""
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from isoplane.functions.kernels import kernel_column, kernel_profile, kernel_sum
 from isoplane.functions.scalars import band, rounded
 from isoplane.operators import grids, profiling, replicates, scaling
 from isoplane.operators.encoding import category_combos
-from isoplane.plans import blocks, frames, gp, models, requests, search
+from isoplane.plans import block_fits, blocks, frames, gp, models, requests, search
 from isoplane.registry import gpsql, query
 from isoplane.registry.shared import shown, table
 from isoplane.spec import AnalysisSpec, KernelConfig
@@ -278,11 +280,18 @@ def gp_sparse_predict(spark, sf):
 TRIPLE = ("l_quantity", *PAIR)
 
 
-@query("gp_sparse_large", gpsql.statement(
-    gpsql.row_points(TRIPLE), "z as (select row_number() over (order by x2, x3) - 1 i, 0.0::double x1, x2, x3 "
-    "from (select distinct x2, x3 from g))", gpsql.sparse_predicted("matern32", 3), select="""
-    select l_quantity, l_discount, l_tax, round(mean, 5) + 0.0 as pred_mean, round(std, 5) + 0.0 as pred_std
-    from g join f on g.i = f.pid"""))
+SAMPLE_Z = """z as (select row_number() over (order by h) - 1 i, x1, x2, x3 from (
+    select *, ('0x' || substr(md5(concat_ws('|', l_quantity, l_discount, l_tax, '42')), 1, 15))::bigint as h from g order by h limit 512))"""
+
+
+def _sparse_sql(inducing, digits, per_point=False):
+    return gpsql.statement(gpsql.row_points(TRIPLE), inducing, gpsql.sparse_predicted("matern32", 3, per_point), select=f"""
+        select l_quantity, l_discount, l_tax, round(mean, {digits}) + 0.0 as pred_mean, round(std, {digits}) + 0.0 as pred_std
+        from g join f on g.i = f.pid""")
+
+
+@query("gp_sparse_large", _sparse_sql("z as (select row_number() over (order by x2, x3) - 1 i, 0.0::double x1, x2, x3 "
+                                      "from (select distinct x2, x3 from g))", 5))
 def gp_sparse_large(spark, sf):
     """Every setting of three inputs through the 99 settings of two, at the mean of the third."""
     df = lineitem(spark, sf)
@@ -293,12 +302,62 @@ def gp_sparse_large(spark, sf):
     return shown(fitted_conditions(model), 5)
 
 
-@query("gp_sparse_sample")
+@query("gp_sparse_sample", _sparse_sql(SAMPLE_Z, 5))
 def gp_sparse_sample(spark, sf):
     """The same settings through 512 of them, picked by hash."""
     spec = AnalysisSpec(TRIPLE, TARGET, mode="mean")
     model = models.fit_model(lineitem(spark, sf), spec, M32, tune=False, method="sparse")
-    return shown(fitted_conditions(model), 6)
+    return shown(fitted_conditions(model), 5)
+
+
+@query("gp_sparse_fitc", _sparse_sql("z as (select row_number() over (order by x2, x3) - 1 i, 0.0::double x1, x2, x3 "
+                                     "from (select distinct x2, x3 from g))", 5, per_point=True))
+def gp_sparse_fitc(spark, sf):
+    """As ``gp_sparse_large``, with every setting's unexplained variance added to its noise."""
+    df = lineitem(spark, sf)
+    settings = df.select(*PAIR).distinct().withColumn("l_quantity", df.agg(F.avg("l_quantity")).scalar())
+    model = models.fit_model(df, AnalysisSpec(TRIPLE, TARGET, mode="mean"), M32, tune=False, method="sparse",
+                             inducing=settings, per_point=True)
+    return shown(fitted_conditions(model), 5)
+
+
+PIVOTS = 8
+
+
+@query("gp_pivots", gpsql.statement(gpsql.row_points(PAIR), f"""
+    pk as materialized (select a.i, list({gpsql.kern('matern32', 'a', 'b', 2)} order by b.i) k from g a, g b group by a.i),
+    pm as materialized (select list(k order by i) km, count(*) m from pk),
+    pv(step, place, var, cols) as (
+      select 0, -1::bigint, list_transform(range(any_value(m)), lambda x: 1.0::double), list_transform(range(any_value(m)), lambda x: []::double[]) from pm
+      union all
+      select step + 1, best, list_transform(list_zip(var, fresh), lambda c: c[1] - c[2] * c[2]),
+             list_transform(list_zip(cols, fresh), lambda c: list_append(c[1], c[2]))
+      from (select *, list_transform(list_zip(km[best + 1], cols), lambda c:
+                      (c[1] - coalesce(list_sum(list_transform(list_zip(c[2], cols[best + 1]), lambda p: p[1] * p[2])), 0)) / sqrt(var[best + 1])) as fresh
+            from (select pv.*, km, list_position(list_transform(var, lambda v: round(v, 9)), list_max(list_transform(var, lambda v: round(v, 9)))) - 1 as best
+                  from pv, pm where step < {PIVOTS})))""", select="""
+    select step::int as step, l_discount, l_tax from pv join g on g.i = pv.place where step > 0"""))
+def gp_pivots(spark, sf):
+    """The first inducing points of a greedy choice, in raw units."""
+    model = models.fit_model(lineitem(spark, sf), ROW_SPEC, M32, tune=False, method="sparse", inducing=PIVOTS, choice="pivots")
+    raw = model.solution.points * [model.scalers[c][1] for c in PAIR] + [model.scalers[c][0] for c in PAIR]
+    rows = [(k, *map(float, point)) for k, point in enumerate(raw, 1)]
+    return shown(spark.createDataFrame(rows, "step int, l_discount double, l_tax double"), 6, "step")
+
+
+@query("gp_iterative", _fitted_sql(gpsql.row_points(PAIR)))
+def gp_iterative(spark, sf):
+    """The exact fit by conjugate gradients, preconditioned by a factor of 16 of the settings."""
+    return shown(fitted_conditions(row_model(spark, sf, method="iterative", solver_options={"rank": 16})), 6)
+
+
+@query("gp_iterative_likelihood", CANDIDATE_SQL)
+def gp_iterative_likelihood(spark, sf):
+    """Likelihoods of the same candidates without a factor of the covariance, at a rank of all settings."""
+    spec = AnalysisSpec(("l_discount",), TARGET, mode="mean")
+    found = [models.fit_model(lineitem(spark, sf), spec, replace(M32, length_scale=s), tune=False, method="iterative") for s in SCALES]
+    rows = [(i, model.solution.lml) for i, model in enumerate(found)]
+    return spark.createDataFrame(rows, "candidate_id int, lml double").select("candidate_id", rounded(F.col("lml"), 4).alias("lml"))
 
 
 @query("row_response_model", _fitted_sql(gpsql.row_points(PAIR)))
@@ -373,6 +432,22 @@ def gp_per_block_sparse(spark, sf):
     return _per_block(spark, sf, method="sparse")
 
 
+BLOCK_SQL = " union all ".join("select * from (" + gpsql.statement(
+    gpsql.row_points(["l_discount"], table=f"(select * from lineitem where l_returnflag = '{v}')"), gpsql.solved("matern32", 1),
+    gpsql.at_conditions(1), gpsql.predicted("matern32", 1),
+    f"v as (select l_discount as d, mean * s_{TARGET} + m_{TARGET} as mean, std * s_{TARGET} as std from g join f on g.i = f.pid, s)",
+    select=f"""select l_orderkey, l_linenumber, round(mean, 3) + 0.0 as pred_mean, round(std, 3) + 0.0 as pred_std
+        from lineitem li join v on li.l_discount + 0.0 = v.d where l_returnflag = '{v}'""") + ")" for v in FLAGS[0][1])
+
+
+@query("gp_block_models", BLOCK_SQL)
+def gp_block_models(spark, sf):
+    """All rows scored by the model of their own block, each with its own scalers."""
+    df, spec = lineitem(spark, sf), AnalysisSpec(("l_discount",), TARGET, mode="mean")
+    fitted = materialize(block_fits.fit_blocks(df, "l_returnflag", spec, M32, tune=False))
+    return shown(block_fits.predict_blocks(fitted, df, "l_returnflag", spec).select(*LINE, "pred_mean", "pred_std"), 3, *LINE)
+
+
 # --- grids -----------------------------------------------------------------
 
 def _grid_sql(column, name, n, log=False):

@@ -160,6 +160,17 @@ def derive_with_aggregates(spark, sf):
                  6, *LINE, "above", centred=4)
 
 
+@query("derive_rank", """
+    with r as (select *, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0 as p,
+                      rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as q from lineitem)
+    select l_orderkey, l_linenumber, round(p, 1)::double as price_rank, round((q - 1) / (max(q) over () - 1), 6) + 0.0 as share from r""")
+def derive_rank(spark, sf):
+    """Ranks of a column with few ties and of one with many, inside formulas."""
+    df = derive_columns(table(spark, sf, "lineitem"), [
+        "price_rank = l_extendedprice.rank()", "share = (l_quantity.rank() - 1) / (l_quantity.rank().max() - 1)"])
+    return shown(df.select(*LINE, "price_rank", "share"), 6, *LINE, price_rank=1)
+
+
 @query("complete_cases", """
     select l_quantity, l_discount, l_extendedprice from lineitem
     where l_quantity is not null and l_discount is not null and l_extendedprice is not null""")

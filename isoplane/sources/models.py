@@ -55,16 +55,17 @@ class ModelStore:
         """Make this the current model of its mode."""
         spark, s = model.conditions.sparkSession, model.solution
         grow = s.grow if s.grow is not None else np.zeros((len(s.points), 0))
-        support = [(i, x.tolist(), float(w), a.tolist(), b.tolist())
-                   for i, (x, w, a, b) in enumerate(zip(s.points, s.weights, s.shrink, grow))]
+        noise = s.noise if s.noise is not None else [None] * len(s.points)
+        support = [(i, x.tolist(), float(w), a.tolist(), b.tolist(), None if d is None else float(d))
+                   for i, (x, w, a, b, d) in enumerate(zip(s.points, s.weights, s.shrink, grow, noise))]
         meta = {"spec": asdict(model.spec), "kernel": asdict(model.kernel), "scalers": model.scalers,
                 "levels": model.levels, "combos": model.combos, "method": model.method,
                 "constant": model.constant, "y_mean": s.y_mean, "y_scale": s.y_scale, "lml": s.lml,
-                "jitter": s.jitter, "sparse": s.grow is not None}
+                "jitter": s.jitter, "sparse": s.grow is not None, "iterative": s.noise is not None}
         mode, version = model.spec.mode, f"version={uuid.uuid4().hex}"
         model.conditions.write.parquet(self._table(mode, f"{version}/conditions"))
         spark.createDataFrame(support, "i int, x array<double>, w double, shrink array<double>, "
-                              "grow array<double>").write.parquet(self._table(mode, f"{version}/support"))
+                              "grow array<double>, noise double").write.parquet(self._table(mode, f"{version}/support"))
         spark.createDataFrame([(json.dumps(meta, default=_typed),)], "meta string").write.parquet(
             self._table(mode, f"{version}/meta"))
         spark.createDataFrame([(version,)], "version string").coalesce(1).withColumn(
@@ -87,7 +88,7 @@ class ModelStore:
         solution = Solution(points, np.array([r.w for r in rows]), np.array([r.shrink for r in rows]),
                             np.array([r.grow for r in rows]) if meta["sparse"] else None,
                             kernel.params(points.shape[1]), meta["y_mean"], meta["y_scale"], meta["lml"],
-                            meta["jitter"])
+                            meta["jitter"], np.array([r.noise for r in rows]) if meta.get("iterative") else None)
         return Model(spec, kernel, solution, {k: tuple(v) for k, v in meta["scalers"].items()},
                      meta["levels"], meta["combos"], spark.read.parquet(self._table(mode, f"{version}/conditions")),
                      meta["method"], meta["constant"])

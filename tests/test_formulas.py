@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -124,3 +125,32 @@ def test_rounding_leaves_large_values(spark):
         rounded(F.col("v"), 8).alias("v")).collect()]
     assert out == values
     assert spark.range(1).select(rounded(F.lit(-0.125), 2).alias("v")).first().v == -0.13
+
+
+def test_average_ranks(spark):
+    """As pandas ranks: ties share the mean, missing values have none; ranks nest in other formulas."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"x": rng.integers(0, 40, 500).astype(float), "f_rank": rng.normal(size=500), "i": range(500)})
+    pdf.loc[::7, "x"] = None
+    df = spark.createDataFrame(pdf).repartition(6)
+    out = derive_columns(df, ["r = x.rank()", "s = (2 * f_rank).rank() / f_rank.rank().max()", "t = (x - x.mean()).rank() - r.rank().mean()",
+                              "u = (-x.rank()).rank()"]).orderBy("i").toPandas()
+    assert out.columns.tolist() == ["x", "f_rank", "i", "r", "s", "t", "u"] and len(out) == 500
+    assert out.r.to_numpy() == pytest.approx(pdf.x.rank().to_numpy(), nan_ok=True)
+    assert out.s.to_numpy() == pytest.approx((pdf.f_rank.rank() / 500).to_numpy())
+    assert out.t.to_numpy() == pytest.approx((pdf.x.rank() - pdf.x.rank().rank().mean()).to_numpy(), nan_ok=True)
+    assert out.u.to_numpy() == pytest.approx((-pdf.x.rank()).rank().to_numpy(), nan_ok=True)
+    empty = derive_columns(df.limit(0), ["r = x.rank()"])
+    assert empty.columns == ["x", "f_rank", "i", "r"] and empty.count() == 0
+    nothing = derive_columns(df.where("isnan(x)"), ["r = x.rank()"])
+    assert nothing.where("r is null").count() == nothing.count() > 0
+    with pytest.raises(ValueError, match="rank"):
+        derive_columns(df, ["r = np.rank(x)"])
+
+
+def test_ranks_of_a_large_table_spread_frequent_values(spark, monkeypatch):
+    from isoplane.operators import ranking, replicates
+    monkeypatch.setattr(replicates, "BROADCAST_ROWS", 5)
+    df = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") % 50).alias("x"))
+    got = ranking.with_average_rank(df, F.col("x"), "r").orderBy("id").toPandas()
+    assert got.r.to_numpy() == pytest.approx(got.x.rank().to_numpy()) and len(got) == 2000

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,35 @@ def test_ranges(spark):
     assert [tuple(r) for r in prof.column_ranges(df, ["a", "b"]).collect()] == [("a", 1.0, 5.0), ("b", 2.0, 2.0)]
     assert [r.a for r in prof.distinct_values(df, "a").collect()] == [1, 5]
     assert tuple(prof.score_summary(df, "a").first()) == (3.0, 5.0, 1.0, 2)
+
+
+def test_medians_read_the_source_twice(spark, monkeypatch):
+    """The sketch's bracket, brackets that miss, and more values than the driver sorts give the same medians."""
+    from isoplane.operators import profiling
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"a": rng.normal(size=3001), "b": rng.integers(0, 5, 3001) * 1e300, "c": np.exp(rng.normal(0, 20, 3001)),
+                        "d": np.where(rng.random(3001) < 0.6, 1.0, rng.random(3001)), "e": 2.0, "f": None})
+    pdf.loc[::9, "a"] = np.nan
+    pdf["f"] = pdf["f"].astype(float)
+    df = spark.createDataFrame(pdf).repartition(5)
+    want = {c: None if c == "f" else pdf[c].median() for c in pdf}
+
+    def check():
+        got = profiling.exact_medians(df, list(pdf))
+        assert got["f"] is None and all(got[c] == pytest.approx(want[c], rel=1e-15) for c in "abcde")
+
+    check()
+    monkeypatch.setattr(profiling, "MEDIAN_ROWS", 3)
+    check()
+    real, reads = profiling._brackets, []
+
+    def missing(values, columns, sketched):
+        reads.append(sketched)
+        found = real(values, columns, sketched)
+        return {i: (lo, hi, hi, hi, n) if sketched and i == 0 else (lo, hi, a, b, n) for i, (lo, hi, a, b, n) in found.items()}
+
+    monkeypatch.setattr(profiling, "_brackets", missing)
+    check()
+    monkeypatch.setattr(profiling, "MEDIAN_ROWS", 200_000)
+    check()
+    assert reads == [True, False, True, False]
