@@ -33,7 +33,7 @@ class Diagram:
 
     def __init__(self, names: list[str], counts: dict[int, tuple[int, ...]]):
         self.order = list(names)
-        self.zero = (0,) * len(next(iter(counts.values()), (0,)))
+        self.zero = (0,) * len(next(iter(counts.values()), (0, 0, 0)))
         self.levels = [{} for _ in names]
         leaves, layer = {}, {}
         for mask, weight in counts.items():

@@ -48,7 +48,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(q.split("_")[0][2:]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q.split("_")[0][2:]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_token_query_matches_the_library(spark, duck):
