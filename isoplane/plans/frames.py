@@ -185,5 +185,6 @@ def pair_curves(std_curve: DataFrame, row_curve: DataFrame) -> DataFrame:
 
 
 def pair_surfaces(std_surface: DataFrame, row_surface: DataFrame) -> DataFrame:
-    """Replicate and row surfaces side by side."""
-    return _pair(std_surface, row_surface, ("point_id",))
+    """Replicate and row surfaces side by side, combination by combination where both have some."""
+    by_combo = all("combo_id" in s.columns for s in (std_surface, row_surface))
+    return _pair(std_surface, row_surface, ("combo_id", "point_id") if by_combo else ("point_id",))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from isoplane.cluster import collect_bounded, materialize
 from isoplane.functions.kernels import kernel_column, kernel_profile, kernel_sums, squared_distance
 from isoplane.functions.scalars import band, rounded
-from isoplane.operators import grids, profiling, replicates, scaling
+from isoplane.operators import contours, grids, profiling, replicates, scaling
+from isoplane.operators.contours import ROUND_STEPS
 from isoplane.operators.encoding import category_combos
 from isoplane.plans import block_fits, blocks, frames, gp, models, requests, search
 from isoplane.registry import gpsql, query
 from isoplane.registry.shared import shown, table
-from isoplane.spec import AnalysisSpec, KernelConfig
+from isoplane.spec import SURFACE_POINTS, AnalysisSpec, KernelConfig
 
 LINE = ["l_orderkey", "l_linenumber"]
 PAIR = ("l_discount", "l_tax")
@@ -589,6 +590,46 @@ def surface_bands(spark, sf):
     return frames.surface_bands(surface).select("point_id", "mean_band", "std_band")
 
 
+# The least round step with which 41 steps span the range, and the levels around it.
+LEVEL_CTES = f"""
+    rg as (select min(mean) lo, max(mean) hi from sf),
+    rs as (select lo, hi, min(p * s) as step, case when abs(lo + hi) / 2 < 100 * (hi - lo) then 0
+             else sign(lo) * pow(10, floor(log10(abs(lo + hi) / 2))) end as origin
+           from rg, (select unnest({list(ROUND_STEPS)}::double[]) as s), (select unnest([-1, 0, 1]) as q),
+                lateral (select pow(10::double, floor(log10((hi - lo) / 41)) + q) as p) where p * s >= (hi - lo) / 41 group by lo, hi),
+    lv as (select origin, step, floor((lo - origin) / step)::bigint as k0, ceil((hi - origin) / step)::bigint as k1 from rs)"""
+
+
+@query("contour_levels_2d", gpsql.statement(*SURFACE_CTES, LEVEL_CTES, select="""
+    select (k - k0)::int as level_id, round(origin + k * step, 4) + 0.0 as level from lv, lateral (select unnest(range(k0, k1 + 1)) as k)"""))
+def contour_levels_2d(spark, sf):
+    """The rounded values at which a surface's contours are drawn."""
+    surface = frames.surface_2d(row_model(spark, sf), *PAIR)
+    return shown(contours.contour_levels(surface, "mean"), 4, "level_id")
+
+
+@query("contour_lines_2d", gpsql.statement(*SURFACE_CTES, LEVEL_CTES, """
+    sq as materialized (select a.point_id as cell, a.x as xa, b.x as xb, a.y as ya, c.y as yb, a.mean as v0, b.mean as v1, c.mean as v2, d.mean as v3
+        from sf a join sf b on b.point_id = a.point_id + 1 join sf c on c.point_id = a.point_id + 101 join sf d on d.point_id = a.point_id + 100
+        where a.point_id % 100 < 99),
+    cr as materialized (select sq.*, origin + k * step as z from sq, lv, lateral (select unnest(range(k0, k1 + 1)) as k)
+        where least(v0, v1, v2, v3) < origin + k * step and greatest(v0, v1, v2, v3) >= origin + k * step),
+    ed as (select cell, z, (v0 + v1 + v2 + v3) / 4 >= z as mid, v0 >= z as one, list_filter([
+            case when (v0 >= z) <> (v1 >= z) then {'e': 0, 'x': xa + (z - v0) / (v1 - v0) * (xb - xa), 'y': ya} end,
+            case when (v1 >= z) <> (v2 >= z) then {'e': 1, 'x': xb, 'y': ya + (z - v1) / (v2 - v1) * (yb - ya)} end,
+            case when (v2 >= z) <> (v3 >= z) then {'e': 2, 'x': xb + (z - v2) / (v3 - v2) * (xa - xb), 'y': yb} end,
+            case when (v3 >= z) <> (v0 >= z) then {'e': 3, 'x': xa, 'y': yb + (z - v3) / (v0 - v3) * (ya - yb)} end], lambda p: p is not null) as es from cr),
+    ln as (select cell, z, unnest(case when len(es) = 2 then [[es[1], es[2]]] when mid = one then [[es[1], es[2]], [es[3], es[4]]]
+        else [[es[4], es[1]], [es[2], es[3]]] end) as ab from ed),
+    ends as (select cell, z, case when (ab[1].x, ab[1].y) <= (ab[2].x, ab[2].y) then ab else [ab[2], ab[1]] end as ab from ln)""", select="""
+    select round(z, 4) + 0.0 as level, cell::bigint as cell, round(ab[1].x, 5) + 0.0 as x0, round(ab[1].y, 5) + 0.0 as y0,
+           round(ab[2].x, 5) + 0.0 as x1, round(ab[2].y, 5) + 0.0 as y1 from ends"""))
+def contour_lines_2d(spark, sf):
+    """Contour lines of a surface's mean as straight pieces."""
+    surface = materialize(frames.surface_2d(row_model(spark, sf), *PAIR))
+    return shown(contours.contour_lines(surface, "mean", SURFACE_POINTS), 5, "cell", level=4)
+
+
 @query("scatter_2d", f"select l_discount + 0.0 as x, l_tax + 0.0 as y, {TARGET} as z from lineitem")
 def scatter_2d(spark, sf):
     df = lineitem(spark, sf)
