@@ -24,7 +24,7 @@ HEADLINE = [
     "scan_lineitem", "derive_columns", "derive_with_aggregates", "scaler_transform", "one_hot",
     "replicate_groups", "replicate_outlier_trim", "replicate_outlier_flags", "column_medians", "histogram_30",
     "parameter_correlation", "score_sorted", "condition_collapse", "kernel_centre", "kernel_cross", "gp_search",
-    "gp_predict_std", "gp_metrics", "both_models", "gp_per_block", "curve_1d", "surface_2d", "lhs_design", "score_design",
+    "gp_predict_std", "gp_metrics", "both_models", "gp_per_block", "curve_1d", "curve_tuned", "surface_2d", "lhs_design", "score_design",
 ]
 
 

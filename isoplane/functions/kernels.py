@@ -76,9 +76,8 @@ def kernel_sums(kernel: KernelConfig, support):
 def kernel_block(params: dict, x: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Covariances between all rows of ``x`` and of ``z`` (no white noise)."""
     d2 = np.zeros((len(x), len(z)))
-    for k, scale in enumerate(params["scales"]):
-        step = np.subtract.outer(x[:, k] / scale, z[:, k] / scale)
-        d2 += step * step
+    for k in range(len(params["scales"])):
+        d2 += scaled_squares(params, x, z, k)
     if params["type"] == "rbf":
         base = np.exp(-0.5 * d2)
     elif params["type"] == "rq":
@@ -98,8 +97,8 @@ def kernel_slopes(params: dict, x: np.ndarray, z: np.ndarray):
     rational quadratic's alpha by ``h`` (None for other kernels).
     """
     d2 = np.zeros((len(x), len(z)))
-    for j, scale in enumerate(params["scales"]):
-        d2 += scaled_squares(x, z, j, scale)
+    for j in range(len(params["scales"])):
+        d2 += scaled_squares(params, x, z, j)
     h, amplitude = None, params["amplitude"]
     if params["type"] == "rbf":
         k = g = amplitude * np.exp(-0.5 * d2)
@@ -120,8 +119,16 @@ def kernel_slopes(params: dict, x: np.ndarray, z: np.ndarray):
     return k, g, h
 
 
-def scaled_squares(x: np.ndarray, z: np.ndarray, j: int, scale: float) -> np.ndarray:
-    """``((x_j - z_j) / scale)**2`` for all rows of ``x`` and ``z``."""
+def scaled_squares(params: dict, x: np.ndarray, z: np.ndarray, j: int) -> np.ndarray:
+    """What input ``j`` adds to the squared distance of all rows of ``x`` and ``z``.
+
+    The last ``coded`` inputs are category codes: two levels differ as their columns would, one
+    per level and of one scale, by twice an inverse square; a missing one (below 0) has no column.
+    """
+    scale = params["scales"][j]
+    if j >= len(params["scales"]) - params.get("coded", 0):
+        sides = np.add.outer((x[:, j] >= 0).astype(float), (z[:, j] >= 0).astype(float))
+        return np.where(np.equal.outer(x[:, j], z[:, j]), 0.0, sides / scale ** 2)
     step = np.subtract.outer(x[:, j] / scale, z[:, j] / scale)
     return step * step
 

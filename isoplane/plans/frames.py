@@ -13,6 +13,7 @@ from isoplane.spec import CONTOUR_LEVELS, CURVE_POINTS, SURFACE_POINTS, unscale_
 
 def held_values(model: Model) -> dict:
     """Median of every input over the training data, raw units; dummies too."""
+    model.require_dummies()
     if "medians" not in model.cache:
         encoded = model_conditions(model.conditions, model.spec).select(
             *[col(c) for c in model.spec.num_cols], "c_count",
@@ -61,6 +62,7 @@ def prediction_frame(points: DataFrame, swept: dict, medians: dict, fixed: Colum
 
 def combo_frame(model: Model) -> DataFrame:
     """``combo_id, combo, fixed`` for "All" and every observed combination."""
+    model.require_dummies()
     rows = [(c["combo_id"], c["label"], {k: float(v) for k, v in c["fixed"].items()})
             for c in with_all(model.combos)]
     return model.conditions.sparkSession.createDataFrame(

@@ -107,7 +107,7 @@ def parameter_slopes(kernel: KernelConfig, params: dict, x: np.ndarray, z: np.nd
     ``contract`` reduces a matrix over ``x`` and ``z`` to numbers; ``white`` is its value for white noise.
     """
     k, g, h = kernel_slopes(params, x, z)
-    out = [contract(g * scaled_squares(x, z, j, scale)) for j, scale in enumerate(params["scales"])]
+    out = [contract(g * scaled_squares(params, x, z, j)) for j in range(len(params["scales"]))]
     if sum(name == "length_scale" for name, _, _ in kernel.free(x.shape[1])) == 1:
         out = [np.sum(out, axis=0)]
     out.append(white if kernel.white_noise else contract(k))

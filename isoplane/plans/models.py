@@ -6,14 +6,14 @@ from that summary.
 """
 
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from isoplane.cluster import collect_bounded, materialize
 from isoplane.functions.scalars import all_of, keyed_hash
-from isoplane.operators.encoding import MAX_COMBOS, MAX_LEVELS, combo_levels, dummy_column, dummy_names, observed_combos
+from isoplane.operators.encoding import MAX_COMBOS, MAX_LEVELS, code_column, combo_levels, dummy_column, dummy_names, observed_combos
 from isoplane.operators.profiling import fit_metrics
 from isoplane.operators.replicates import join_conditions
 from isoplane.operators.scaling import scaled, unscaled
@@ -40,12 +40,19 @@ class Model:
 
     @property
     def controls(self) -> list[str]:
-        """Model inputs: numerics, then one dummy per category level."""
-        return [*self.spec.num_cols, *dummy_names(self.levels)]
+        """Model inputs: numerics, then one dummy per category level or, coded, one code per category."""
+        return [*self.spec.num_cols, *(self.spec.cat_cols if self.kernel.coded else dummy_names(self.levels))]
+
+    def require_dummies(self) -> None:
+        """Raise when categories are coded: curves hold and combine columns of levels."""
+        if self.kernel.coded:
+            raise ValueError("curves and surfaces need a model with encoding='one_hot'")
 
     def inputs(self, encoded: bool = False) -> list[Column]:
         """Scaled features of raw columns; ``encoded`` rows carry dummy columns already."""
-        inputs = _features(self.spec, self.scalers, {} if encoded else self.levels)
+        if encoded:
+            self.require_dummies()
+        inputs = _features(self.spec, self.scalers, {} if encoded else self.levels, self.kernel.coded)
         return inputs + [col(d).cast("double") for d in dummy_names(self.levels) if encoded]
 
     def unscale(self, value: Column, spread: bool = False) -> Column:
@@ -128,14 +135,14 @@ def model_conditions(conditions: DataFrame, spec: AnalysisSpec) -> DataFrame:
     return conditions
 
 
-def _features(spec: AnalysisSpec, scalers, levels) -> list[Column]:
+def _features(spec: AnalysisSpec, scalers, levels, coded: int = 0) -> list[Column]:
     """Model inputs of raw columns as ``f0, f1, ...``."""
     inputs = [scaled(_transformed(c, spec), scalers[c]) for c in spec.num_cols]
-    inputs += [dummy_column(c, v).cast("double") for c, vs in levels.items() for v in vs]
+    inputs += [code_column(c) for c in spec.cat_cols] if coded else [dummy_column(c, v).cast("double") for c, vs in levels.items() for v in vs]
     return [x.alias(f"f{i}") for i, x in enumerate(inputs)]
 
 
-def _support(conditions: DataFrame, spec: AnalysisSpec, scalers, levels, noise, constant, seed):
+def _support(conditions: DataFrame, spec: AnalysisSpec, scalers, levels, noise, constant, seed, coded=0):
     """Support points in model units: features ``f0..``, ``y``, ``noise``, ``count``, ``within``
     and a hash ``key`` of the raw setting."""
     mean, scale = scalers[spec.target]
@@ -143,7 +150,7 @@ def _support(conditions: DataFrame, spec: AnalysisSpec, scalers, levels, noise,
         "c_key", keyed_hash([col(c) for c in [*spec.num_cols, *spec.cat_cols]], seed))
     value = (F.col("c_mean") - F.lit(mean)) / F.lit(scale)
     spread = F.col("c_std") / F.lit(scale)
-    named = [*_features(spec, scalers, levels), F.col("c_key").alias("key")]
+    named = [*_features(spec, scalers, levels, coded), F.col("c_key").alias("key")]
     if spec.mode == "std":
         y = value if spec.statistic == "mean" else spread
         points = conditions.select(*named, y.alias("y"), spread.alias("std"), F.col("c_count").alias("count")).withColumn(
@@ -184,7 +191,7 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
               collapse: bool = True, conditions: DataFrame | None = None, search_options: dict | None = None,
               max_levels: int = MAX_LEVELS, max_combos: int = MAX_COMBOS,
               max_points: int = iterative.MAX_POINTS, solver_options: dict | None = None,
-              choice: str = "hash", per_point: bool = False) -> Model:
+              choice: str = "hash", per_point: bool = False, encoding: str = "one_hot") -> Model:
     """Fit the response model of ``spec``.
 
     ``tune=False`` keeps the kernel as given. The method is the caller's choice and never
@@ -195,7 +202,10 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
     ``inducing`` is how many settings to pick, at most ``max_support``, or a table of
     settings in raw columns; ``choice`` picks them by a keyed hash (``"hash"``) or greedily where
     the given kernel leaves most variance (``"pivots"``). ``per_point`` adds to every condition's noise the
-    variance that inducing points leave unexplained there. ``collapse=False`` skips the summary of equal settings: for
+    variance that inducing points leave unexplained there. ``encoding="codes"`` gives every category one
+    input and one length scale instead of a column and scale per level: the same model where
+    a category's scales are equal, for any number of levels; levels not seen in training count
+    as one more. ``collapse=False`` skips the summary of equal settings: for
     sparse row models whose inputs hardly ever repeat, where it would only move the rows.
     ``search_options`` are those of the kernel search: ``n`` candidates, and ``starts`` and
     ``max_steps`` (exact), ``max_steps`` alone (iterative) or ``rounds`` (sparse). ``max_levels`` and ``max_combos`` bound the
@@ -215,16 +225,18 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
     tuning = {"seed": seed, **(search_options or {})}
     if not collapse and (spec.mode, method) != ("mean", "sparse"):
         raise ValueError("collapse=False is for mode='mean' with method='sparse'")
-    kernel = kernel or KernelConfig()
+    if encoding not in ("one_hot", "codes"):
+        raise ValueError("encoding must be 'one_hot' or 'codes'")
+    kernel = replace(kernel or KernelConfig(), coded=len(spec.cat_cols) if encoding == "codes" else 0)
     if conditions is None:
         conditions = condition_table(df, spec, collapse)
         conditions = materialize(conditions) if collapse else conditions
     scalers = scalers_from_conditions(conditions, spec)
-    combos = observed_combos(conditions, spec.cat_cols, max_combos, max_levels)
-    levels = combo_levels(combos, spec.cat_cols)
+    combos = [] if kernel.coded else observed_combos(conditions, spec.cat_cols, max_combos, max_levels)
+    levels = combo_levels(combos, spec.cat_cols) if combos else {}
     trained = model_conditions(conditions, spec)
     _warn_of_dropped(conditions, spec)
-    points, features = _support(trained, spec, scalers, levels, spec.noise, constant, seed)
+    points, features = _support(trained, spec, scalers, levels, spec.noise, constant, seed, kernel.coded)
     by_row = spec.mode == "mean"
     values = ["y", "noise", "count", "within"] + (["n_valid"] if by_row else [])
     rows = [] if method == "sparse" else points.select(*features, *values).limit(max_support + 1).collect()
@@ -266,7 +278,7 @@ def fit_model(df: DataFrame, spec: AnalysisSpec, kernel: KernelConfig | None = N
             y_mean, y_scale = row[0], row[1] or 1.0
             points = points.withColumn("y", (F.col("y") - y_mean) / y_scale)
         if isinstance(inducing, DataFrame):
-            given = collect_bounded(inducing.select(*_features(spec, scalers, levels)), max_support, "inducing points")
+            given = collect_bounded(inducing.select(*_features(spec, scalers, levels, kernel.coded)), max_support, "inducing points")
             z = gp.to_arrays(given, features)[0]
             z = z[np.lexsort(z.T[::-1])]
         elif choice == "pivots":

@@ -553,6 +553,15 @@ def curve_tuned(spark, sf):
     return shown(out.select("point_id", "x", "mean", "lower", "upper"), 0, "point_id", x=8)
 
 
+@query("gp_coded_categories", gpsql.statement(
+    gpsql.row_points(["l_discount"], FLAGS), gpsql.solved("matern32", 4), gpsql.at_conditions(4), gpsql.predicted("matern32", 4),
+    select="""select l_discount, l_returnflag, round(mean, 6) + 0.0 as pred_mean, round(std, 6) + 0.0 as pred_std from g join f on g.i = f.pid"""))
+def gp_coded_categories(spark, sf):
+    """A category as one coded input, against a column per level."""
+    model = models.fit_model(lineitem(spark, sf), FLAG_SPEC, M32, tune=False, encoding="codes")
+    return shown(fitted_conditions(model), 6, "l_returnflag")
+
+
 @query("scatter_1d", f"""
     select 0 as combo_id, 'All' as combo, l_discount + 0.0 as x, {TARGET} as y from lineitem
     union all select case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end, 'l_returnflag=' || l_returnflag,

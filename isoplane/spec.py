@@ -51,6 +51,8 @@ class KernelConfig:
     noise_bounds: tuple = (1e-8, 1e-2)
     rq_alpha: float = 1.0
     rq_alpha_bounds: tuple = (1e-2, 1e2)
+    #: How many of the last inputs are category codes.
+    coded: int = 0
 
     def __post_init__(self):
         if self.kernel_type not in ("rbf", "matern", "rq"):
@@ -113,7 +115,8 @@ class KernelConfig:
         """Plain values for use inside tasks."""
         return {"type": self.kernel_type, "nu": self.nu, "scales": self.scales(n_features),
                 "amplitude": 1.0 if self.white_noise else self.constant,
-                "white": self.noise_level if self.white_noise else 0.0, "alpha": self.rq_alpha}
+                "white": self.noise_level if self.white_noise else 0.0, "alpha": self.rq_alpha,
+                "coded": self.coded}
 
 
 @dataclass(frozen=True)

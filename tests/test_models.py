@@ -537,3 +537,34 @@ def test_surfaces_by_combination(df):
     plain = frames.surface_2d(model, "a", "b", 6).toPandas().sort_values("point_id")
     whole = every[every.combo_id == 0].sort_values("point_id")
     assert whole["mean"].to_numpy() == pytest.approx(plain["mean"].to_numpy()) and whole.combo.unique().tolist() == ["All"]
+    other = frames.surface_2d(model, "a", "b", 2, by_combo=True)
+    pairs = frames.pair_surfaces(other, other)
+    assert pairs.count() == other.count() and pairs.where("std_mean <> row_mean or std_combo <> row_combo").count() == 0
+
+
+def test_codes_equal_columns_of_one_scale(spark, df, pdf):
+    """Missing and repeated categories included; unseen levels and many levels work without a list of them."""
+    some = spark.createDataFrame(pdf.assign(c=pdf.c.where(pdf.index % 11 > 0, None), d=[f"d{i % 3}" for i in pdf.index]))
+    for spec in (AnalysisSpec(("a", "b"), "y", cat_cols=("c", "d"), mode="mean"), AnalysisSpec(("a",), "y", cat_cols=("c",), noise="constant")):
+        plain = models.fit_model(some, spec, KERNELS[2], tune=False)
+        coded = models.fit_model(some, spec, KERNELS[2], tune=False, encoding="codes")
+        assert coded.controls == [*spec.num_cols, *spec.cat_cols] and len(plain.controls) > len(coded.controls)
+        assert coded.solution.lml == pytest.approx(plain.solution.lml)
+        a, b = (models.predict_rows(m, some).orderBy("a", "b", "c", "y").toPandas() for m in (plain, coded))
+        assert b.pred_mean.to_numpy() == pytest.approx(a.pred_mean.to_numpy(), abs=1e-8)
+        assert b.pred_std.to_numpy() == pytest.approx(a.pred_std.to_numpy(), abs=1e-6)
+    tuned = models.fit_model(some, spec, KERNELS[2], encoding="codes")
+    assert tuned.solution.lml >= coded.solution.lml and len(tuned.kernel.length_scale) == 2
+    new = models.predict_rows(coded, some.limit(1).withColumn("c", F.lit("never seen"))).first()
+    assert np.isfinite(new.pred_mean) and new.pred_std > 0
+    with pytest.raises(ValueError, match="encoding='one_hot'"):
+        frames.curve_1d(coded, "a")
+
+
+def test_ten_thousand_levels(spark):
+    many = spark.range(20_000).select((F.col("id") % 10_000).cast("string").alias("c"), (F.col("id") % 7 / 7).alias("a"),
+                                      (F.col("id") % 10_000 / 10_000 + F.col("id") % 7).alias("y"))
+    spec = AnalysisSpec(("a",), "y", cat_cols=("c",), mode="mean")
+    model = models.fit_model(many, spec, KERNELS[0], tune=False, method="sparse", inducing=50, encoding="codes")
+    assert len(model.controls) == 2 and np.isfinite(model.solution.lml)
+    assert models.predict_rows(model, many).where("pred_mean is null").count() == 0
