@@ -46,6 +46,7 @@ def blocks(batches, column, limit=BLOCK_BYTES):
             at = offsets[first:last + 1]
             yield batch.slice(first, last - first), data[at[0]:at[-1]], at - at[0]
             first = last
+    pa.default_memory_pool().release_unused()  # workers live on for other stages
 
 
 def ascii_lower(data):

@@ -7,7 +7,7 @@ from isoplane.llm.decontamination import leaks
 from isoplane.llm.exact_dedup import exact_duplicates
 from isoplane.llm.filter_audit import failure_masks, filter_audit
 from isoplane.llm.licenses import AGREE, BASE, NEAR, RARE, TEMPLATES, license_scan
-from isoplane.llm.mixing import BLOCK_ROWS, PARTS, mixed
+from isoplane.llm.mixing import BLOCK_ROWS, SCALE, mixed
 from isoplane.llm.near_duplicates import near_duplicates
 from isoplane.llm.quality import fit_network, quality_scores
 from isoplane.llm.rarity_digest import edited_likeness, fit_ranks
@@ -187,33 +187,32 @@ def op6_url_language_model(spark, sf_dir):
 MIX_SQL = f"""
     with recursive k as (select doc_id, source, ('0x' || substr(sha256(coalesce(doc_id::varchar, '')), 1, 15))::bigint as key from documents),
     r as (select *, row_number() over (partition by source order by key, doc_id) - 1 as rank from k),
-    n as (select source, count(*) as rows, sqrt(count(*)::double) as target from documents group by source),
-    s as (select source, row_number() over (order by source nulls first) - 1 as idx, ceil(rows / {BLOCK_ROWS})::bigint as blocks,
-        greatest(1, floor(target / sum(target) over () * {PARTS} + 0.5))::bigint as parts from n),
-    w as (select *, parts / sum(parts) over () as weight from s),
-    marks as (select 0 as since union select blocks // parts from s union select ceil(blocks / parts)::bigint from s),
-    lists as (select list(parts order by idx) as ps, list(blocks order by idx) as bs from s),
-    e0 as (select since, lead(since) over (order by since) - since as rounds,
-        list_transform(range(1, len(ps) + 1), lambda i: greatest(0, least(ps[i], bs[i] - ps[i] * since))::bigint) as c from marks, lists),
-    e1 as (select *, list_sum(c)::bigint as length from e0 where list_sum(c) > 0),
-    eras as (select *, row_number() over (order by since) - 1 as era,
-        coalesce(sum(rounds * length) over (order by since rows between unbounded preceding and 1 preceding), 0)::bigint as base from e1),
-    edf as (
-        select era, c, length, 0::bigint as t, list_transform(c, lambda x: 0::bigint) as done, -1::bigint as idx, -1::bigint as nth from eras
+    n as (select source, count(*) as rows, sqrt(count(*)::double) as target, ceil(count(*) / {BLOCK_ROWS})::bigint as blocks from documents group by source),
+    q as (select *, row_number() over (order by source nulls first) - 1 as idx, greatest(1, floor(target / sum(target) over ()
+        * least({SCALE}, {1 << 61}::bigint // sum(blocks) over ()) + 0.5))::bigint as share from n),
+    g as (select *, share / sum(share) over () as weight, coalesce(sum(blocks) over (w rows between unbounded preceding and 1 preceding), 0)::hugeint as gone,
+        sum(share) over (w rows between current row and unbounded following)::hugeint as live from q window w as (order by blocks / share, idx)),
+    s as (select *, gone + (live * blocks + share - 1) // share as e from g),
+    ends as (select 0::hugeint as e union select e from s),
+    phases as (select ends.e, coalesce(sum(blocks) filter (s.e <= ends.e), 0)::hugeint as gone,
+        coalesce(sum(share) filter (s.e > ends.e), 0)::hugeint as live from ends, s group by ends.e),
+    lists as (select list(blocks order by idx) as bs, list(share order by idx) as ss, list(e order by idx) as es, sum(blocks) as total from s),
+    ph as (select list({{'e': e, 'gone': gone, 'live': live}} order by e) as ph from phases),
+    walk as (
+        select 0::hugeint as t, list_transform(bs, lambda x: 0::hugeint) as done, 0 as k, -1::bigint as idx, -1::hugeint as nth from lists
         union all
-        select era, c, length, t + 1, list_transform(done, lambda x, i: x + case when i = p.i then 1 else 0 end), p.i - 1, done[p.i]
-        from (select *, list_min(list_filter(list_transform(range(1, len(c) + 1), lambda i: case when done[i] < c[i]
-            and done[i] * length // c[i] <= t then {{'due': ((done[i] + 1) * length + c[i] - 1) // c[i], 'i': i}} end),
-            lambda y: y is not null)) as p from edf where t < length)),
-    slots as (select era, idx, nth, t - 1 as slot, nth * length // c[idx + 1] as release,
-        ((nth + 1) * length + c[idx + 1] - 1) // c[idx + 1] as deadline from edf where idx >= 0),
-    b as (select doc_id, r.source, idx, parts, weight, rank // {BLOCK_ROWS} as block, rank % {BLOCK_ROWS} as row
-        from r join w on r.source is not distinct from w.source)
-    select doc_id, b.source, weight::double as weight, block, base + (block // parts - since) * length + release as release,
-        base + (block // parts - since) * length + deadline as deadline, base + (block // parts - since) * length + slot as slot,
-        (base + (block // parts - since) * length + slot) * {BLOCK_ROWS} + row as place
-    from b join eras on block // parts >= since and block // parts < since + rounds
-        join slots on slots.era = eras.era and slots.idx = b.idx and nth = block % parts"""
+        select t + 1, list_transform(done, lambda x, i: x + case when i = p.i then 1 else 0 end), k2, p.i - 1, done[p.i]
+        from (select *, list_min(list_filter(list_transform(range(1, len(bs) + 1), lambda i: case when done[i] < bs[i]
+                and (es[i] <= t + 1 or done[i] * ph[k2 + 1].live < ss[i] * (t + 1 - ph[k2 + 1].gone))
+                then {{'due': (done[i] + 1)::double / ss[i]::double, 'i': i}} end), lambda y: y is not null)) as p
+            from (select *, case when k + 2 <= len(ph) and ph[k + 2].e <= t + 1 then k + 1 else k end as k2 from walk, lists, ph where t < total))),
+    slots as (select w.idx, w.nth, w.t - 1 as slot, min(x.gone + (x.live * w.nth) // o.share) as release,
+            min(x.gone + (x.live * (w.nth + 1) + o.share - 1) // o.share) as deadline
+        from walk w join s o using (idx), s x group by all),
+    b as (select doc_id, r.source, idx, weight, rank // {BLOCK_ROWS} as block, rank % {BLOCK_ROWS} as row
+        from r join s on r.source is not distinct from s.source)
+    select doc_id, b.source, weight::double as weight, block, release::bigint as release, deadline::bigint as deadline, slot::bigint as slot,
+        (slot * {BLOCK_ROWS} + row)::bigint as place from b join slots on slots.idx = b.idx and nth = block"""
 
 
 @query("op3_pfair_mix", MIX_SQL)
@@ -282,7 +281,7 @@ NEAR_SQL = """
 @query("op5_minhash_bayes", NEAR_SQL)
 def op5_minhash_bayes(spark, sf_dir):
     """Groups of all documents that share four fifths of their two-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=2, threshold=0.8)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, threshold=0.8).drop("t")
 
 
 @query("op8_section_tokens")

@@ -74,3 +74,21 @@ def test_hot_source_among_a_thousand_keeps_its_target(spark):
         for x in counts if t % 50 == 0 else ("hot", s):
             share = min(counts[x], target[x] * (t - phases[k][1]) / phases[k][2])
             assert abs(done[x] - share) < 1 + 1e-6, (t, x, done[x], share)
+
+
+def test_skewed_sources_match_sql(spark):
+    """Sources of very different sizes, repeated rows and rows without a source, place by place."""
+    import duckdb
+    import pandas as pd
+
+    from isoplane.llm.queries import MIX_SQL
+
+    sizes = {"hot": 1500, "b": 700, "c": 251, "d": 50, "e": 1, None: 33}
+    frame = pd.DataFrame([(len(s or "") * 10_000 + i + ord((s or "n")[0]) * 10**6, s) for s, n in sizes.items() for i in range(n)], columns=["doc_id", "source"])
+    con = duckdb.connect()
+    con.register("frame", frame)
+    con.execute("create table documents as select * from frame")
+    want = con.execute(f"select doc_id, source, block, release, deadline, slot, place, weight from ({MIX_SQL}) order by place").fetchall()
+    out = op.mixed(spark.createDataFrame(frame, "doc_id long, source string")).orderBy("place").collect()
+    assert [(r.doc_id, r.source, r.block, r.release, r.deadline, r.slot, r.place) for r in out] == [w[:7] for w in want]
+    assert [r.weight for r in out] == pytest.approx([w[7] for w in want], rel=1e-12) and len({w[7] for w in want}) == 6

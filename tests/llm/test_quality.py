@@ -88,3 +88,27 @@ def test_without_both_classes_the_share_is_the_score(spark):
     assert {r.score for r in op.quality_scores(docs, 0.9).collect()} == {0.9}
     bad = spark.createDataFrame([(i, 0) for i in range(8)], "doc_id long, quality int")
     assert op.fit_network(docs, bad) < 0.7
+
+
+def plain_probability(weights, raw):
+    """The network on one text, one chunk, window and filter at a time."""
+    w = {k: v.astype(np.float64) for k, v in weights.items()}
+    again = [any(raw[i:i + 8] == raw[i - lag:i - lag + 8] for lag in range(1, op.LAG + 1) if i >= lag) and i + 8 <= len(raw) for i in range(len(raw))]
+    step, found = op.CHUNK - op.OVERLAP, []
+    for first in range(0, max(1, len(raw) - op.OVERLAP), step):
+        codes = list(raw[first:first + op.CHUNK]) + [0] * (op.CHUNK - len(raw[first:first + op.CHUNK]))
+        twice = again[first:first + op.CHUNK] + [False] * (op.CHUNK - len(again[first:first + op.CHUNK]))
+        best = np.full(op.FILTERS, -np.inf)
+        for at in range(0, op.CHUNK - op.WIDTH + 1, op.STRIDE):
+            value = sum(w["embed"][codes[at + k]] @ w["filters"][k] + twice[at + k] * w["again"][k] for k in range(op.WIDTH))
+            best = np.maximum(best, value)
+        found.append(np.maximum(best + w["bias"], 0))
+    both = np.concatenate([np.mean(found, axis=0), np.max(found, axis=0)])
+    return 1 / (1 + np.exp(-(both @ w["out"] + w["offset"][0])))
+
+
+def test_forward_pass_matches_plain_loops():
+    net = op.Network(3)
+    texts = ["", "x", "eight by", prose(1, 90), junk(1, 60), "ünïcödé " * 120, prose(2, 200) + "repeat me " * 40]
+    got = net.probability(*bytes_of(texts))
+    assert got == pytest.approx([plain_probability(net.weights, t.encode()) for t in texts], rel=1e-4)

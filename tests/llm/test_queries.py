@@ -132,3 +132,61 @@ def test_pipeline_stages_match_plain_versions(spark, duck):
         at += len(ids)
     out = staged(corpus_pipeline.tokens, staged(corpus_pipeline.mixing, docs)).collect()
     assert sorted((r.start, r.doc_id, r.ids_crc32) for r in out) == want
+
+
+def test_line_token_query_matches_one_token_at_a_time(spark, duck):
+    """All lines of all documents, each token given to the line that holds most of its characters."""
+    from tests.llm.test_token_counts import encoding
+
+    e, want = encoding(), {}
+    sizes = {}
+    for doc, text in duck.execute("select doc_id, text from documents").fetchall():
+        text = text or ""
+        starts = [0] + [i + 1 for i, c in enumerate(text) if c == "\n" and i + 1 < len(text)]
+        ends = starts[1:] + [len(text)]
+        counts, across = [0] * len(starts), [0] * len(starts)
+        char, at, line = [k for k, c in enumerate(text) for _ in c.encode()], 0, 0
+        for token in e.encode_ordinary(text):
+            size = sizes.setdefault(token, len(e.decode_single_token_bytes(token)))
+            first, last = char[at], char[at + size - 1]
+            at += size
+            while ends[line] <= first:
+                line += 1
+            touched = [k for k in range(line, len(starts)) if starts[k] <= last]
+            best = max(touched, key=lambda k: (min(ends[k], last + 1) - max(starts[k], first), -k))
+            counts[best] += 1
+            across[best] += len(touched) > 1
+        want[doc] = list(zip(starts, ends, counts, across))
+    got = {}
+    for r in sorted(queries.QUERIES["op8_section_tokens"](spark, SF_DIR).collect(), key=lambda r: (r.doc_id, r.section)):
+        got.setdefault(r.doc_id, []).append((r["first"], r["last"], r.n_tokens, r.n_crossing))
+    assert got == want
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, repeated rows and columns named like the operators' own pass every stage; empty tables stay empty."""
+    from pyspark.sql import functions as F
+
+    plain = queries.table(spark, SF_DIR, "documents").limit(30)
+    odd = spark.createDataFrame([(900_001, None, None, None, 0), (None, "a row without a name", "en", "s", 20), (900_002, "", "en", "s", 0)], plain.schema)
+    docs = plain.unionByName(odd).unionByName(odd)
+    extra = {"slot": F.lit("mine"), "part": F.lit(77), "weight": F.lit(0.5), "u1": F.lit("u"), "__part": F.lit(1), "t": F.lit("x"), "lang 2": F.col("lang")}
+    docs = docs.withColumns(extra)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = corpus_pipeline.new_folder(spark, f"test-odd-{name}")
+        stage(spark, docs, SF_DIR).write.parquet(path)
+        after = spark.read.parquet(path)
+        assert after.columns == names and after.dtypes == docs.dtypes
+        bad = after.where("slot <> 'mine' or part <> 77 or weight <> 0.5 or u1 <> 'u' or __part <> 1 or t <> 'x' or not lang <=> `lang 2`")
+        assert bad.count() == 0
+        if name == "mixing":
+            assert after.count() == docs.count()
+        if name == "near_duplicates":
+            assert after.where("doc_id is null").count() == docs.where("doc_id is null").count()
+        docs = after
+    out = corpus_pipeline.tokens(spark, docs, SF_DIR)
+    assert out.count() == docs.count() > 0
+    empty = plain.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF_DIR).count() == 0, name
