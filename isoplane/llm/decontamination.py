@@ -1,7 +1,8 @@
 """Benchmark passages in documents, by q-gram lemma filtering.
 
 Both sides are lower-cased and everything but letters and digits becomes one space. A
-benchmark item is cut into overlapping windows. A text region within k edits of a
+benchmark item is cut into overlapping windows, which begin so densely that every piece
+of a window's length lies within the edits of one. A text region within k edits of a
 window of m characters shares at least ``m - q + 1 - k * q`` q-grams with it, all on
 diagonals at most k apart. Shared q-grams are therefore counted per window in
 overlapping bands of diagonals, and the bands that reach the bound are verified by an
@@ -15,21 +16,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from isoplane.llm.arrays import MIX, blocks, ragged
+from isoplane.llm.arrays import MIX, blocks, mixed, ragged, span_hashes, word_spans
 
 Q = 8
 WINDOW = 96
 SHORTEST = 24
 EDITS = 0.08
 BLOCK_CHARS = 2 << 20
+#: Bytes of documents looked at together; arrays over them take some eighty times as much.
+TEXT_BYTES = 1 << 20
 TABLE_BITS = 22
 SPACE = 32
+#: Second bytes of the letters and digits among U+0080 to U+00BF: feminine and masculine ordinal, micro, superscripts, fractions.
+LATIN_WORD = np.array([0xAA, 0xBA, 0xB5, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE], np.uint8)
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray):
     """One byte per character of the normalised texts, their offsets, and each one's place in its text.
 
-    Characters beyond ASCII are folded to 128 codes by their last bits.
+    Characters beyond ASCII are folded to 128 codes by their last bits; among them the
+    punctuation of Latin-1, the general punctuation block and CJK punctuation count as such.
     """
     if not len(data):
         return data, np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
@@ -37,7 +43,9 @@ def symbols(data: np.ndarray, offsets: np.ndarray):
     end = np.append(lead[1:], len(data)) - 1
     out = data[lead].copy()
     wide = np.flatnonzero(out >= 0xC0)
-    out[wide] = 128 | ((data[end[wide] - 1] & 1) << 6) | (data[end[wide]] & 0x3F)
+    head, second = out[wide], data[lead[wide] + 1]
+    mark = (head == 0xC2) & ~np.isin(second, LATIN_WORD) | (head == 0xE2) & (second <= 0x81) | (head == 0xE3) & (second == 0x80)
+    out[wide] = np.where(mark, SPACE, 128 | ((data[end[wide] - 1] & 1) << 6) | (data[end[wide]] & 0x3F))
     first = np.searchsorted(lead, offsets)
     place = np.arange(len(out)) - np.repeat(first[:-1], np.diff(first))
     word = (out >= 128) | ((out >= 97) & (out <= 122)) | ((out >= 48) & (out <= 57))
@@ -65,30 +73,40 @@ def slot(grams, bits=TABLE_BITS):
 
 
 class Index:
-    """q-grams of the windows of some benchmark items."""
+    """q-grams of some benchmark items by place, their windows, and short items by their words."""
 
     def __init__(self, items, q=Q, window=WINDOW, shortest=SHORTEST, edits=EDITS):
-        self.q, self.item, self.text, grams, where = q, [], [], [], []
+        self.q, self.window = q, window
+        self.step = max(1, 2 * int(window * edits) or window // 2)
+        self.item, self.text, self.begin, bodies, self.short, self.short_item = [], [], [], [], [], []
+        first, regular = [], []
         for item, text in items:
             body, _, _ = symbols(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
             body = body[:-1] if len(body) and body[-1] == SPACE else body
             if len(body) < shortest:
+                if len(body):
+                    self.short.append(body)
+                    self.short_item.append(item)
                 continue
-            starts = [*range(0, max(1, len(body) - window), window // 2)]
+            starts = [*range(0, max(1, len(body) - window), self.step)]
+            first.append(len(self.item))
+            regular.append(len(starts))
             if len(body) > window:
                 starts.append(len(body) - window)
+            bodies.append(body)
             for s in starts:
                 self.item.append(item)
                 self.text.append(body[s:s + window])
+                self.begin.append(s)
+        self.first, self.regular, self.begin = (np.array(x, np.int64) for x in (first, regular, self.begin))
+        self.length = np.array([len(b) for b in bodies], np.int64)
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.edits = (self.size * edits).astype(np.int64)
         self.bound = np.maximum(1, self.size - q + 1 - self.edits * q)
-        for w, text in enumerate(self.text):
-            found = q_grams(text, q)
-            grams.append(found)
-            where.append(np.stack([np.full(len(found), w), np.arange(len(found))], 1))
-        every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        places = np.concatenate(where) if where else np.zeros((0, 2), np.int64)
+        found = [q_grams(body, q) for body in bodies]
+        many = np.array([len(f) for f in found], np.int64)
+        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        places = np.stack([np.repeat(np.arange(len(found)), many), ragged(np.zeros(len(found), np.int64), many)], 1)
         order = np.argsort(every, kind="stable")
         self.places = places[order].astype(np.int32)
         self.grams, self.starts = np.unique(every[order], return_index=True)
@@ -103,6 +121,41 @@ class Index:
         vars(out).update(arrays)
         return out
 
+    def windows_at(self, item, place):
+        """All windows that hold the q-gram at a place of an item: (row, window)."""
+        last_start = np.maximum(self.length[item] - self.window, 0)
+        size = np.minimum(self.window, self.length[item])
+        low = np.maximum(-((size - self.q - place) // self.step), 0)
+        many = np.maximum(np.minimum(place // self.step, self.regular[item] - 1) - low + 1, 0)
+        rows = np.repeat(np.arange(len(item)), many)
+        end = np.flatnonzero((last_start > 0) & (place >= last_start))
+        return np.concatenate([rows, end]), np.concatenate([ragged(self.first[item] + low, many), (self.first + self.regular)[item[end]]])
+
+    def runs(self, text, offsets):
+        """Short items as whole runs of words: (document, short item, first symbol)."""
+        if not self.short or not len(text):
+            return []
+        starts, ends = word_spans(text != SPACE, offsets)
+        words = span_hashes(text, starts, ends)
+        owner = np.searchsorted(offsets, starts, "right") - 1
+        found = []
+        by_words = {}
+        for k, body in enumerate(self.short):
+            a, b = word_spans(body != SPACE, np.array([0, len(body)]))
+            by_words.setdefault(len(a), []).append((k, span_hashes(body, a, b)))
+        for n, items in by_words.items():
+            if len(words) < n:
+                continue
+            whole = owner[:len(words) - n + 1] == owner[n - 1:]
+            run = lambda h, m, n=n: sum(mixed(h[j:j + m] + np.uint64(j)) for j in range(n))
+            at = np.flatnonzero(whole & np.isin(run(words, len(whole)), np.concatenate([run(h, 1) for _, h in items])))
+            for i in at:
+                for k, _ in items:
+                    body = self.short[k]
+                    if np.array_equal(text[starts[i]:starts[i] + len(body)], body) and ends[i + n - 1] == starts[i] + len(body):
+                        found.append((int(owner[i]), k, int(starts[i])))
+        return found
+
     def matches(self, text, offsets):
         """Verified regions of a block: (document, window, first symbol, edits)."""
         if not len(self.grams) or len(text) < self.q:
@@ -126,7 +179,8 @@ class Index:
             return []
         many = self.counts[number]
         post = self.places[ragged(self.starts[number], many)]
-        window, diagonal = post[:, 0].astype(np.int64), np.repeat(at, many) - post[:, 1]
+        rows, window = self.windows_at(post[:, 0].astype(np.int64), post[:, 1].astype(np.int64))
+        diagonal = (np.repeat(at, many) - post[:, 1])[rows] + self.begin[window]
         width = 2 * (self.edits[window] + 1)
         shift = 1 << 34
         bands = [(2 * ((diagonal + width * 4) // width), 0), (2 * ((diagonal + width * 4 - width // 2) // width) + 1, 1)]
@@ -177,6 +231,18 @@ def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **options):
         yield benchmark.sparkSession.sparkContext.broadcast(vars(Index(items, **options)))
 
 
+def regions(spans):
+    """Overlapping ``(first, last, window, edits)`` as one region each: first, last, distinct windows, least edits."""
+    out = []
+    for first, last, window, edits in sorted(spans):
+        if out and first <= out[-1][1]:
+            was = out[-1]
+            out[-1] = (was[0], max(was[1], last), was[2] | {window}, min(was[3], edits))
+        else:
+            out.append((first, last, {window}, edits))
+    return [(first, last, len(windows), edits) for first, last, windows, edits in out]
+
+
 def _with_folded(docs):
     return docs.select("*", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("__folded"))
 
@@ -184,11 +250,12 @@ def _with_folded(docs):
 def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Benchmark passages found in ``docs`` (``doc_id``, ``text``).
 
-    One row per row of ``docs`` and benchmark item (``item_id``, ``text``) of which a window is
-    found: ``doc_id``, ``item_id``, ``first`` and ``last`` (characters of the lower-cased text
-    that the windows found span), ``windows`` (how many) and ``edits`` (the least of theirs).
-    Null and empty texts contain nothing. Items with fewer than ``shortest`` normalised
-    characters match nothing; those with fewer than ``window`` are looked for as a whole.
+    One row per row of ``docs``, benchmark item (``item_id``, ``text``) and region in which windows
+    of it are found: ``doc_id``, ``item_id``, ``first`` and ``last`` (characters of the lower-cased
+    text that overlapping windows span), ``windows`` (how many) and ``edits`` (the least of theirs).
+    Null and empty texts contain nothing. Items with fewer than ``window`` normalised characters
+    are looked for as a whole, those with fewer than ``shortest`` as exact runs of whole words;
+    items without any letter or digit match nothing.
     Repeated rows and items are reported repeatedly. Other columns are ignored; an empty
     table on either side gives an empty result. ``options``: ``q``, ``window``,
     ``shortest``, ``edits`` (a share of the window), ``block_chars``.
@@ -199,26 +266,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     for index in indexes(benchmark, **options):
         def search(batches, index=index):
             known = Index.of(index.value)
-            for part, data, offsets in blocks(batches, "__folded"):
+            for part, data, offsets in blocks(batches, "__folded", TEXT_BYTES):
                 text, at, place = symbols(data, offsets)
-                groups = {}
+                spans = {}
                 for doc, window, start, edits in known.matches(text, at):
                     stop = min(start + int(known.size[window]), int(at[doc + 1])) - 1
-                    groups.setdefault((doc, window), []).append((int(place[start]), int(place[stop]), edits))
-                best = {}
-                for (doc, window), spans in groups.items():
-                    best.setdefault((doc, known.item[window]), []).append(
-                        (min(s[0] for s in spans), max(s[1] for s in spans), min(s[2] for s in spans)))
+                    spans.setdefault((doc, known.item[window]), []).append((int(place[start]), int(place[stop]), window, edits))
+                for doc, short, start in known.runs(text, at):
+                    stop = start + len(known.short[short]) - 1
+                    spans.setdefault((doc, known.short_item[short]), []).append((int(place[start]), int(place[stop]), -1, 0))
+                best = [(doc, item, *region) for (doc, item), found in spans.items() for region in regions(found)]
                 if best:
-                    ids = part.column(0)
-                    keys = sorted(best, key=lambda key: (key[0], str(key[1])))
-                    spans = [best[key] for key in keys]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[d].as_py() for d, _ in keys], ids.type), pa.array([i for _, i in keys]),
-                         pa.array([min(s[0] for s in x) for x in spans], pa.int64()),
-                         pa.array([max(s[1] for s in x) for x in spans], pa.int64()),
-                         pa.array([len(x) for x in spans], pa.int64()), pa.array([min(s[2] for s in x) for x in spans], pa.int64())],
-                        ["doc_id", "item_id", "first", "last", "windows", "edits"])
+                    best.sort(key=lambda r: (r[0], str(r[1]), r[2]))
+                    doc, item, *numbers = zip(*best)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(item), *[pa.array(v, pa.int64()) for v in numbers]],
+                                                     ["doc_id", "item_id", "first", "last", "windows", "edits"])
 
         found = rows.mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}, first long, last long, windows long, edits long")
         out = found if out is None else out.unionByName(found)
@@ -231,9 +293,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     for index in indexes(benchmark, **options):
         def keep(batches, index=index):
             known = Index.of(index.value)
-            for part, data, offsets in blocks(batches, "__folded"):
+            for part, data, offsets in blocks(batches, "__folded", TEXT_BYTES):
                 text, at, _ = symbols(data, offsets)
-                bad = {doc for doc, *_ in known.matches(text, at)}
+                bad = {doc for doc, *_ in [*known.matches(text, at), *known.runs(text, at)]}
                 yield part.drop_columns(["__folded"]).filter(pa.array([i not in bad for i in range(part.num_rows)]))
 
         out = _with_folded(out).mapInArrow(keep, docs.schema)
