@@ -264,11 +264,11 @@ def replicate_metrics(spark, sf):
     return requests.response_table(fitted, df).select("r2", "mae", "rmse")
 
 
-def _fitted_sql(points, kind="matern32", scale="1.0", shift="0.0"):
+def _fitted_sql(points, kind="matern32", scale="1.0", shift="0.0", digits=6):
     return gpsql.statement(
         points, gpsql.solved(kind, 2), gpsql.at_conditions(2), gpsql.predicted(kind, 2),
-        select=f"""select l_discount, l_tax, round(mean * {scale} + {shift}, 6) + 0.0 as pred_mean,
-            round(std * {scale}, 6) + 0.0 as pred_std from g join f on g.i = f.pid"""
+        select=f"""select l_discount, l_tax, round(mean * {scale} + {shift}, {digits}) + 0.0 as pred_mean,
+            round(std * {scale}, {digits}) + 0.0 as pred_std from g join f on g.i = f.pid"""
                + (", nm" if scale != "1.0" else ""))
 
 
@@ -346,10 +346,10 @@ def gp_pivots(spark, sf):
     return shown(spark.createDataFrame(rows, "step int, l_discount double, l_tax double"), 6, "step")
 
 
-@query("gp_iterative", _fitted_sql(gpsql.row_points(PAIR)))
+@query("gp_iterative", _fitted_sql(gpsql.row_points(PAIR), digits=5))
 def gp_iterative(spark, sf):
     """The exact fit by conjugate gradients, preconditioned by a factor of 16 of the settings."""
-    return shown(fitted_conditions(row_model(spark, sf, method="iterative", solver_options={"rank": 16})), 6)
+    return shown(fitted_conditions(row_model(spark, sf, method="iterative", solver_options={"rank": 16})), 5, l_discount=6, l_tax=6)
 
 
 @query("gp_iterative_likelihood", CANDIDATE_SQL)
@@ -535,22 +535,28 @@ def curve_1d(spark, sf):
     gpsql.row_points(["l_discount"]), f"""
     lc as materialized (select candidate_id as c, lml from ({_candidate_sql(SCALE_GRID, 12)})),
     top as (select arg_max(c, lml) as c from lc),
-    near as (select any_value(top.c) as c, max(lml) filter (lc.c = top.c - 1) as before, max(lml) filter (lc.c = top.c) as best,
-                    max(lml) filter (lc.c = top.c + 1) as after from lc, top),
-    opt as materialized (select exp(ln({SCALE_GRID[0]}) + (c + case when before is null or after is null then 0
-        else (before - after) / (2 * (before - 2 * best + after)) end) * ln({SCALE_GRID[-1] / SCALE_GRID[0]}) / {len(SCALE_GRID) - 1}) as l from near)""",
+    near as (select any_value(top.c) as c, any_value(lc.lml) filter (lc.c = top.c) as f0, {', '.join(
+        f"coalesce(max(lc.lml) filter (lc.c = top.c {d:+d}), null) as f{n}" for n, d in zip("abcd", (-2, -1, 1, 2)))} from lc, top),
+    bend as (select c, (fa - 8 * fb + 8 * fc - fd) / 12 as d1, (-fa + 16 * fb - 30 * f0 + 16 * fc - fd) / 12 as d2, (fd - 2 * fc + 2 * fb - fa) / 2 as d3 from near),
+    opt as materialized (select exp(ln({SCALE_GRID[0]}) + (c + coalesce(-d1 / d2 - d3 * pow(d1 / d2, 2) / (2 * d2), 0))
+        * ln({SCALE_GRID[-1] / SCALE_GRID[0]}) / {len(SCALE_GRID) - 1}) as l from bend)""",
     gpsql.solved("matern32", 1, ["(select l from opt)"]),
     """gr as (select i::int as pid, lo + i / 299.0::double * (hi - lo) x
         from (select min(l_discount) lo, max(l_discount) hi from lineitem), range(300) t(i))""",
     "p as (select pid, (x - m_l_discount) / s_l_discount x1 from gr, s)", gpsql.predicted("matern32", 1, ["(select l from opt)"]), select=f"""
-    select pid as point_id, round(x, 8) + 0.0 as x, round(mean * s_{TARGET} + m_{TARGET}, 0) + 0.0 as mean,
-           round((mean - 1.96 * std) * s_{TARGET} + m_{TARGET}, 0) + 0.0 as lower,
-           round((mean + 1.96 * std) * s_{TARGET} + m_{TARGET}, 0) + 0.0 as upper from gr join f using (pid), s"""))
+    select pid as point_id, round(x, 8) + 0.0 as x, round((mean * s_{TARGET} + m_{TARGET}) / 100, 0) + 0.0 as mean,
+           round(((mean - 1.96 * std) * s_{TARGET} + m_{TARGET}) / 100, 0) + 0.0 as lower,
+           round(((mean + 1.96 * std) * s_{TARGET} + m_{TARGET}) / 100, 0) + 0.0 as upper from gr join f using (pid), s"""))
 def curve_tuned(spark, sf):
-    """A curve at the length scale that the search finds, against the vertex of a fine grid's best three."""
+    """A curve, in hundreds, at the length scale that the search finds, against the peak of a fine grid of likelihoods.
+
+    The grid gives the peak to about a millionth, hence so few digits. Two points from a
+    bound or nearer, the grid's best point counts.
+    """
     model = models.fit_model(lineitem(spark, sf), AnalysisSpec(("l_discount",), TARGET, mode="mean"), ONE_SCALE)
     out = frames.curve_1d(model, "l_discount")
-    return shown(out.select("point_id", "x", "mean", "lower", "upper"), 0, "point_id", x=8)
+    values = [(F.col(c) / 100).alias(c) for c in ("mean", "lower", "upper")]
+    return shown(out.select("point_id", "x", *values), 0, "point_id", x=8)
 
 
 @query("gp_coded_categories", gpsql.statement(
