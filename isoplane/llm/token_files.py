@@ -32,8 +32,8 @@ HEAD_BYTES = struct.calcsize(HEAD)
 BLOCK = 256
 PERCENTILE = 0.9
 PAGE_IDS = 1 << 16
-PAGES_PER_FILE = 256
-CACHE = 300_000
+PAGES_PER_FILE = 64
+CACHE = 100_000
 
 # The pieces that the word vocabulary's own pattern yields on lower-case
 # Latin-1 text; all other texts, and other vocabularies, go to the library whole.
@@ -238,7 +238,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 before = 0
-                for at, names, counts, ids in read_pages(content.as_py()):
+                for at, names, counts, ids in read_pages(memoryview(content.as_buffer())):
                     ends = np.cumsum(counts)
                     each = [ids[e - c:e] for e, c in zip(ends, counts)]
                     columns = [pa.array([name] * len(names)), pa.array([at] * len(names), pa.int64()), pa.array(names, pa.int64()),
@@ -271,9 +271,9 @@ def page_index(tokens: DataFrame) -> DataFrame:
 
 
 def read_order(docs: DataFrame) -> tuple[DataFrame, list | None]:
-    """``docs`` with the columns that give its rows' order in Parquet files, if it was read from some."""
+    """``doc_id`` and ``text`` of ``docs`` with columns for its rows' order in Parquet files, if it was read from some."""
     try:
-        out = docs.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("__part"),
+        out = docs.select("doc_id", "text", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("__part"),
                           F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     except AnalysisException:  # not read from files
         return docs, None
