@@ -4,6 +4,11 @@ Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage befo
 kept; ``run`` applies them to ``documents``. All but the last return the columns of
 ``documents``. The mix takes effect through the order of the rows in its files, in
 which the last stage writes the token ids.
+
+In every stage a null text counts as empty and repeated rows are judged alike; rows
+without a doc_id are judged like others but never named a copy; a null source is a
+source of its own; further columns pass unchanged, whatever their names; an empty table
+stays empty.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,6 +22,7 @@ from isoplane.llm.storage import new_folder
 from isoplane.llm.token_files import read_order, read_tokens, write_tokens
 
 FILE_ROWS = 20_000
+FILE_BYTES = 64 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +44,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix, by file and by row within a file."""
-    rows = docs.count()
-    parts = max(1, -(-rows // FILE_ROWS))
-    bound = rows + MAX_SOURCES * BLOCK_ROWS  # every source's last block may be short
-    out = mixed(docs)
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-size["rows"] // FILE_ROWS), -(-size["bytes"] // FILE_BYTES))
+    bound = size["rows"] + MAX_SOURCES * BLOCK_ROWS  # every source's last block may be short
+    # Other columns travel under names that the schedule does not use.
+    own = {c: f"u{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "source")}
+    out = mixed(docs.select([F.col(f"`{c}`").alias(own.get(c, c)) for c in docs.columns]))
     ordered = out.withColumn("part", F.floor(F.col("place") * parts / F.lit(bound)).cast("int"))
-    return ordered.repartitionById(parts, F.col("part")).sortWithinPartitions("place").select([F.col(f"`{c}`") for c in docs.columns])
+    dealt = ordered.repartitionById(parts, F.col("part")).sortWithinPartitions("place")
+    return dealt.select([F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
