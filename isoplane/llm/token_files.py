@@ -33,7 +33,7 @@ BLOCK = 256
 PERCENTILE = 0.9
 PAGE_IDS = 1 << 16
 PAGES_PER_FILE = 64
-CACHE = 100_000
+CACHE = 300_000
 
 # The pieces that the word vocabulary's own pattern yields on lower-case
 # Latin-1 text; all other texts, and other vocabularies, go to the library whole.
