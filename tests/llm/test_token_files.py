@@ -48,6 +48,28 @@ def test_pieces_equal_the_library():
         assert encode(text).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_many_texts_at_once_equal_the_library():
+    encode = op.Encoder(open(WORDS).read())
+    r = random.Random(4)
+    parts = ["can't", "'S", "'re", "'ve ", "''s", "it'll", "!'d", "'", "x'y", "1²3", "Étonètre", "ß", "\n", "  ", "中", "<|endoftext|>", "word"]
+    texts = ["", " ", *("".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(500)), "long" * 50, "long" * 50 + "er", ""]
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encode.encoded(texts)] == want
+    assert encode.encoded([]) == [] and [len(x) for x in encode.encoded(["", ""])] == [0, 0]
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(op, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    encode = op.Encoder(open(WORDS).read())
+    texts = ["one two one, three twelveletters twelvelettres", "two"]
+    assert [x.tolist() for x in encode.encoded(texts)] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tasks_share_the_encoder():
+    definition = open(WORDS).read()
+    assert op.encoder_of(definition) is op.encoder_of(definition)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_written_and_read_back(spark, name):
     path = public_tokenizers.path(name)
