@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from isoplane.functions.kernels import feature_matrix, kernel_block, row_blocks
-from isoplane.functions.scalars import keyed_hash
 from isoplane.plans.gp import Solution, _check_finite, cholesky, forward, to_arrays
 from isoplane.plans.search import candidate_thetas
 from isoplane.spec import KernelConfig
@@ -38,10 +37,11 @@ def choose_inducing(support: DataFrame, features, n: int = INDUCING, seed: int =
     other; the limit starts where about 8 n points are expected and widens until
     n are found.
     """
-    hashed = support.select(*features, (F.col(key) if key else keyed_hash([F.col(f) for f in features], seed)).alias("h"))
+    hashed = support.select(*features, (F.col(key) if key else F.xxhash64(*features, F.lit(seed))).alias("h"))
+    least, most = (0, 1 << 60) if key else (-1 << 63, (1 << 63) - 1)
     share = min(1.0, 8 * n / max(support.count(), 1))
     while True:
-        limit = int(share * (1 << 60))
+        limit = most if share >= 1 else least + int(share * (most - least))
         low = hashed.where(F.col("h") <= F.lit(limit)).groupBy("h").agg(
             F.min(F.struct(*features)).alias("x")).orderBy("h").limit(n)
         rows = low.select("x.*").collect()
