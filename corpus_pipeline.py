@@ -23,10 +23,24 @@ from isoplane.llm.token_files import read_order, read_tokens, write_tokens
 
 FILE_ROWS = 20_000
 FILE_BYTES = 64 << 20
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of a few hundred whole texts for Python, unless the session has a smaller number of its own.
+
+    An executor keeps the memory of its largest batches outside its heap for all later
+    stages; 10,000 texts, the default, are tens of MB in each task.
+    """
+    rows = int(spark.conf.get(ARROW_ROWS))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the cut; the network learns from ``labels``."""
+    small_batches(spark)
     model = fit_network(docs, table(spark, sf_dir, "labels"))
     scored = quality_scores(docs, model, "__quality")
     return scored.where(F.col("__quality") >= QUALITY_CUT).select([F.col(f"`{c}`") for c in docs.columns])
@@ -34,11 +48,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles."""
+    small_batches(spark)
     return without_copies(docs, near_duplicates(docs, words=5, threshold=0.8))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ``benchmark``."""
+    small_batches(spark)
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -57,6 +73,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written in the order of the mix and read back, one row per document."""
+    small_batches(spark)
     folder = new_folder(spark, "tokens")
     ordered, order = read_order(docs)
     write_tokens(ordered, word_vocabulary(), folder, order=order)

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from isoplane.llm import queries
 from isoplane.llm.mixing import mixed
+from tests.llm.helpers import documents
 from tests.llm.test_near_duplicates import brute_force
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -190,3 +191,15 @@ def test_pipeline_stages_on_odd_rows(spark):
     empty = plain.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF_DIR).count() == 0, name
+
+
+def test_pipeline_stages_send_small_batches(spark):
+    """A stage bounds the rows of an Arrow batch, which an executor's memory grows with; a smaller number stays."""
+    docs = documents(spark, [(1, "a b c", "s")])
+    for before, after in (("10000", "500"), ("0", "500"), ("64", "64")):
+        spark.conf.set(corpus_pipeline.ARROW_ROWS, before)
+        try:
+            corpus_pipeline.tokens(spark, docs, SF_DIR)
+            assert spark.conf.get(corpus_pipeline.ARROW_ROWS) == after
+        finally:
+            spark.conf.unset(corpus_pipeline.ARROW_ROWS)
