@@ -19,11 +19,10 @@ from isoplane.llm.near_duplicates import near_duplicates, without_copies
 from isoplane.llm.quality import fit_network, quality_scores
 from isoplane.llm.queries import QUALITY_CUT, table, word_vocabulary
 from isoplane.llm.storage import new_folder
-from isoplane.llm.token_files import read_order, read_tokens, write_tokens
+from isoplane.llm.token_files import ARROW_ROWS, read_order, read_tokens, write_tokens
 
 FILE_ROWS = 20_000
 FILE_BYTES = 64 << 20
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 500
 
 

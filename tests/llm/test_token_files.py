@@ -108,3 +108,12 @@ def test_empty_table(spark):
     folder = new_folder(spark, "test")
     op.write_tokens(spark.createDataFrame([], DOCS), WORDS, folder)
     assert op.read_tokens(spark, folder).count() == 0
+
+
+def test_files_are_read_one_at_a_time(spark, monkeypatch):
+    folder = new_folder(spark, "test")
+    op.write_tokens(documents(spark, [(i, prose(i, 9), "s") for i in range(40)]), WORDS, folder)
+    seen, materialize, before = [], op.materialize, spark.conf.get(op.ARROW_ROWS)
+    monkeypatch.setattr(op, "materialize", lambda df: seen.append(spark.conf.get(op.ARROW_ROWS)) or materialize(df))
+    assert op.read_tokens(spark, folder).count() == 40
+    assert seen == ["1"] and spark.conf.get(op.ARROW_ROWS) == before
